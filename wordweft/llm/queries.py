@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from wordweft.llm.adaptive_rules import op2_adaptive_rules
+from wordweft.llm.bilinear_lm import op10_bilinear_lm
 from wordweft.llm.bpe import op5_bpe
 from wordweft.llm.chat_format import op6_chat_format
 from wordweft.llm.length_buckets import op9_packing
 
-QUERIES = {f.__name__: f for f in (op2_adaptive_rules, op5_bpe, op6_chat_format, op9_packing)}
+QUERIES = {f.__name__: f for f in (op2_adaptive_rules, op5_bpe, op6_chat_format, op9_packing, op10_bilinear_lm)}
 
 ORACLE_SQL: dict[str, str] = {}
