@@ -7,7 +7,8 @@ from wordweft.llm.bilinear_lm import op10_bilinear_lm
 from wordweft.llm.bpe import op5_bpe
 from wordweft.llm.chat_format import op6_chat_format
 from wordweft.llm.length_buckets import op9_packing
+from wordweft.llm.rule_ensemble import op1_rule_ensemble
 
-QUERIES = {f.__name__: f for f in (op2_adaptive_rules, op5_bpe, op6_chat_format, op9_packing, op10_bilinear_lm)}
+QUERIES = {f.__name__: f for f in (op1_rule_ensemble, op2_adaptive_rules, op5_bpe, op6_chat_format, op9_packing, op10_bilinear_lm)}
 
 ORACLE_SQL: dict[str, str] = {}
