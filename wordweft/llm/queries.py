@@ -6,10 +6,11 @@ from wordweft.llm.adaptive_rules import op2_adaptive_rules
 from wordweft.llm.bilinear_lm import op10_bilinear_lm
 from wordweft.llm.bpe import op5_bpe
 from wordweft.llm.chat_format import op6_chat_format
+from wordweft.llm.dart_minhash import op7_dart_minhash
 from wordweft.llm.length_buckets import op9_packing
 from wordweft.llm.rule_ensemble import op1_rule_ensemble
 from wordweft.llm.secret_scan import op4_secret_scan
 
-QUERIES = {f.__name__: f for f in (op1_rule_ensemble, op2_adaptive_rules, op4_secret_scan, op5_bpe, op6_chat_format, op9_packing, op10_bilinear_lm)}
+QUERIES = {f.__name__: f for f in (op1_rule_ensemble, op2_adaptive_rules, op4_secret_scan, op5_bpe, op6_chat_format, op7_dart_minhash, op9_packing, op10_bilinear_lm)}
 
 ORACLE_SQL: dict[str, str] = {}
