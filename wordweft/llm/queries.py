@@ -8,10 +8,11 @@ from wordweft.llm.bpe import op5_bpe
 from wordweft.llm.chat_format import op6_chat_format
 from wordweft.llm.dart_minhash import op7_dart_minhash
 from wordweft.llm.length_buckets import op9_packing
+from wordweft.llm.progressive_jpeg import op3_progressive_jpeg
 from wordweft.llm.rule_ensemble import op1_rule_ensemble
 from wordweft.llm.secret_scan import op4_secret_scan
 from wordweft.llm.suffix_dedup import op8_suffix_dedup
 
-QUERIES = {f.__name__: f for f in (op1_rule_ensemble, op2_adaptive_rules, op4_secret_scan, op5_bpe, op6_chat_format, op7_dart_minhash, op8_suffix_dedup, op9_packing, op10_bilinear_lm)}
+QUERIES = {f.__name__: f for f in (op1_rule_ensemble, op2_adaptive_rules, op3_progressive_jpeg, op4_secret_scan, op5_bpe, op6_chat_format, op7_dart_minhash, op8_suffix_dedup, op9_packing, op10_bilinear_lm)}
 
 ORACLE_SQL: dict[str, str] = {}
