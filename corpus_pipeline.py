@@ -1,13 +1,77 @@
-"""The corpus pipeline: five stages, each written as Parquet and read again as the next one's documents."""
+"""The corpus pipeline: five stages, each written as Parquet and read again as the next one's documents.
+
+1. quality: documents that the rule ensemble rejects go; it learns from the labels outside the held-out third.
+2. near_duplicates: of each class of near-duplicates the document with the least doc_id stays; rows without doc_id stay.
+3. repeated_strings: bytes covered by strings of 400 bytes that start elsewhere too go; a document may become empty, but stays.
+4. secrets: every span that the scan finds is replaced by a mark.
+5. packing: each document's length in words, its bucket and its batch.
+
+Whatever columns documents have besides doc_id and text travel along untouched, under any name; n_chars, where it is there,
+follows the text. Null texts stay null and count as empty.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wordweft.llm import dart_minhash, length_buckets, rule_ensemble, secret_scan, suffix_dedup
+from wordweft.llm.common import WORD, cut
+
+BESIDE = "_beside"
+
+
+def _packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and one struct of all other columns, so that no operator meets their names."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", (F.struct(*others) if others else F.lit(None).cast("string")).alias(BESIDE))
+
+
+def _unpacked(docs: DataFrame, like: DataFrame, text: Column | None = None) -> DataFrame:
+    """The columns of `like` again, in order."""
+    new = F.col("text") if text is None else text
+    at = {"doc_id": F.col("doc_id"), "text": new}
+    if text is not None and "n_chars" in like.columns:
+        at["n_chars"] = F.when(new.isNull(), F.col(f"{BESIDE}.n_chars")).otherwise(F.length(new)).cast(like.schema["n_chars"].dataType)
+    return docs.select(*(at.get(c, F.col(f"{BESIDE}.`{c}`")).alias(c) for c in like.columns))
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    ensemble = rule_ensemble.learn(docs.select("doc_id", "text"), labels, ~rule_ensemble.held_out())
+    return _unpacked(rule_ensemble.classify(_packed(docs), ensemble).where("predicted = 1"), docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    classes = dart_minhash.near_duplicates(docs.select("doc_id", "text"))
+    first = cut(classes.where("doc_id = class_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("copies")), "first-of-class")
+    kept = _packed(docs).join(first.select("doc_id"), "doc_id", "left_semi")
+    if first.where("copies > 1").limit(1).count():  # repeated rows share their doc_id
+        kept = kept.dropDuplicates(["doc_id"])
+    return _unpacked(kept, docs).unionByName(docs.where(F.col("doc_id").isNull()))
+
+
+def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    done = suffix_dedup.remove_repeats(_packed(docs), with_text=True, carry=("text", BESIDE))
+    return _unpacked(done, docs, F.coalesce("kept_text", "text"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(_packed(docs), ["doc_id", "text", BESIDE])
+    return _unpacked(found, docs, secret_scan.redact(F.col("text"), F.col("spans")))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    lengths = cut(docs.select("doc_id", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).alias("n")), "lengths")
+    return length_buckets.pack(lengths, F.col("n")).select("doc_id", F.col("length").alias("n_tokens"), "bucket", "bucket_len", "batch_id")
 
-from wordweft.llm.common import cut
 
-STAGES = []
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+STAGES: list[tuple[str, Stage]] = [(f.__name__, f) for f in (quality, near_duplicates, repeated_strings, secrets, packing)]
 
+#: Near-duplicate classes and the learnt ensemble have no SQL form; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 

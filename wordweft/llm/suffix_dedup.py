@@ -182,23 +182,22 @@ def _intervals(flags: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
 
 
-def _summaries(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Per row: digest, n_bytes, sha256 of the text, and the keys of its segments (twice where the string comes twice)."""
+def _summaries(docs: DataFrame, key: str, text: str, carry: tuple[str, ...]) -> DataFrame:
+    """Per row: the carried columns, digest, n_bytes, sha256 of the text, and the keys of its segments (twice where the string comes twice)."""
 
-    def summarize(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for k, t in zip(b[key], b[text], strict=True):
-                raw = (t or "").encode("utf-8", "surrogatepass")
-                keys = np.empty(0, dtype=np.int64)
-                if len(raw) >= WIDTH:
-                    own, _, _, twice = runs(np.frombuffer(raw, dtype=np.uint8))
-                    keys = np.concatenate([own, own[twice]])
-                out.append((k, xxhash.xxh3_128_digest(raw), len(raw), hashlib.sha256(raw).hexdigest(), keys))
-            yield pd.DataFrame(out, columns=[key, "digest", "n_bytes", "sha256", "keys"])
+    @F.pandas_udf("digest binary, n_bytes bigint, sha256 string, keys array<bigint>")
+    def summary(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for t in texts:
+            raw = (t or "").encode("utf-8", "surrogatepass")
+            keys = np.empty(0, dtype=np.int64)
+            if len(raw) >= WIDTH:
+                own, _, _, twice = runs(np.frombuffer(raw, dtype=np.uint8))
+                keys = np.concatenate([own, own[twice]])
+            out.append((xxhash.xxh3_128_digest(raw), len(raw), hashlib.sha256(raw).hexdigest(), keys))
+        return pd.DataFrame(out, columns=["digest", "n_bytes", "sha256", "keys"])
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInPandas(summarize, f"{key} {kind}, digest binary, n_bytes bigint, sha256 string, keys array<bigint>")
+    return docs.select(key, *carry, summary(text).alias("_s")).select(key, *carry, "_s.*")
 
 
 def _segments(texts: DataFrame) -> DataFrame:
@@ -302,9 +301,9 @@ def _keep(raw: bytes, spans) -> tuple[list[tuple[int, int]], bytes]:
     return [(a, b) for a, b in merged], b"".join([*kept, raw[at:]])
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
-    """key, n_bytes, n_removed, n_spans, kept_sha256 of every row of docs; with_text adds kept_text, where broken UTF-8 at a cut is dropped, null if nothing is removed."""
-    rows = cut(_summaries(docs, key, text), "summaries")
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """key, the carried columns of docs, n_bytes, n_removed, n_spans, kept_sha256 of every row of docs; with_text adds kept_text, where broken UTF-8 at a cut is dropped, null if nothing is removed."""
+    rows = cut(_summaries(docs, key, text, carry), "summaries")
     nodes = cut(rows.groupBy("digest").agg(F.count(F.lit(1)).alias("c"), F.first("keys").alias("keys")).where(F.size("keys") > 0), "repeat-nodes")
     keyed = nodes.select("digest", "c", F.explode("keys").alias("key"))
     often = keyed.groupBy("key").agg(F.sum("c").alias("n")).where("n > 1").select("key")
@@ -346,9 +345,10 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wit
             yield pd.DataFrame(out, columns=["digest", *names])
 
     changed = texts.select("digest", "text").join(spans, "digest").mapInPandas(clean, "digest binary, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept_text string" * with_text)
-    out = rows.select(key, "digest", "n_bytes", "sha256").join(changed, "digest", "left")
+    out = rows.select(key, *carry, "digest", "n_bytes", "sha256").join(changed, "digest", "left")
     return out.select(
         key,
+        *carry,
         "n_bytes",
         F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"),
