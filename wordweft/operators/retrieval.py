@@ -15,19 +15,16 @@ BLOCK = 256
 def top_k(queries: DataFrame, corpus: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, id, score, rank) of the k corpus vectors (id, v) of largest cosine for each query (query_id, v); ties by id.
 
-    A stated query set meets all vectors in blocks: each corpus partition keeps k rows a query before anything is shuffled.
+    A stated query set meets all vectors in blocks: the limit on row_number lets every partition drop all but k rows a query before the shuffle.
     """
     blocks = queries.withColumn("block", F.floor(F.row_number().over(Window.orderBy("query_id")) / BLOCK)).groupBy("block").agg(F.collect_list(F.struct("query_id", F.col("v").alias("q"))).alias("qs"))
     scored = corpus.crossJoin(blocks).select("id", "v", F.explode("qs").alias("q")).select(F.col("q.query_id").alias("query_id"), "id", cosine_similarity(F.col("q.q"), F.col("v")).alias("score"))
-    return rank(scored.withColumn("near", F.spark_partition_id()), k)
+    return rank(scored, k)
 
 
 def rank(scored: DataFrame, k: int | None = None) -> DataFrame:
-    """(query_id, id, score, rank): best first, equal scores by id; with k, that many a query, cut in every partition first."""
-    order = [F.desc(F.col("score")), F.col("id")]
-    if k is not None and "near" in scored.columns:
-        scored = scored.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "near").orderBy(*order))).where(F.col("r") <= k).drop("r", "near")
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
+    """(query_id, id, score, rank): best first, equal scores by id; a limit k is applied in every partition before the shuffle too."""
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
     return (ranked if k is None else ranked.where(F.col("rank") <= k)).select("query_id", "id", "score", "rank")
 
 
