@@ -95,6 +95,6 @@ def bits_of_text(text: Column, num_bits: int) -> Column:
 def text_of_bits(bits: Column) -> Column:
     """The text of bits (rounded to 0 or 1), trailing zero bytes dropped, broken UTF-8 replaced."""
     joined = F.array_join(F.transform(bits, lambda b: F.round(b).cast("int").cast("string")), "")
-    nibbles = F.transform(F.sequence(F.lit(0), F.size(bits) / 4 - 1).cast("array<int>"), lambda i: F.conv(F.substring(joined, i * 4 + 1, F.lit(4)), 2, 16))
+    nibbles = F.transform(F.sequence(F.lit(0), (F.size(bits) / 4).cast("int") - 1), lambda i: F.conv(F.substring(joined, i * 4 + 1, F.lit(4)), 2, 16))
     whole = F.regexp_replace(F.array_join(nibbles, ""), "(?:00)+$", "")
     return F.when(F.size(bits) < 8, F.lit("")).otherwise(F.decode(F.unhex(F.when(F.length(whole) % 2 == 0, whole).otherwise(F.concat(whole, F.lit("0")))), "UTF-8"))

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from wordweft.functions.unicode import strip_all
 
 # Java has U+0300 to U+036F outside \w, where this splitting wants them inside.
-WORD_CLASS = r"[\p{L}\p{N}_̀-ͯ]"
-TOKEN = rf"{WORD_CLASS}+|[^\p{{L}}\p{{N}}_\s\x1c-\x1f\x85\p{{Z}}̀-ͯ]|[\s\x1c-\x1f\x85\p{{Z}}]+"
+WORD_CLASS = r"[\p{L}\p{N}_\u0300-\u036f]"
+TOKEN = rf"{WORD_CLASS}+|[^\p{{L}}\p{{N}}_\s\x1c-\x1f\x85\p{{Z}}\u0300-\u036f]|[\s\x1c-\x1f\x85\p{{Z}}]+"
 # The letters that context lookup may change, by language.
 TARGETS = {"yor": "oes", "ibo": "iuoe"}
 
@@ -141,7 +141,7 @@ def viterbi_decode(docs: DataFrame, candidates: DataFrame, unigrams: DataFrame,
     def decoded(toks: pd.Series, forms: pd.Series, steps: pd.Series) -> pd.Series:
         import re
 
-        word = re.compile(r"[\ẁ-ͯ]+")
+        word = re.compile(r"[\w\u0300-\u036f]+")
 
         def one(ts, fs, ss) -> list[str]:
             table: dict[str, list[tuple[int, str]]] = {}

@@ -1,16 +1,397 @@
-"""Registered queries of the text operators and their SQL twins."""
+"""Registered queries of the text operators and their SQL twins, each over its whole tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from wordweft.functions import prompts, spoken, text, unicode, vectors
+from wordweft.operators import language_id, lexicon, restoration, retrieval, subwords, tagger
+from wordweft.plans import twins
 from wordweft.session import table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = twins.SQL
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+
+
+def _rounded(c, digits: int = 6):
+    return F.round(c, digits)
+
+
+def _values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+# ---------------------------------------------------------------- texts
+
+
+@query
+def mask_pii(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", text.mask_pii(F.col("text")).alias("masked"))
+
+
+@query
+def pii_findings(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", text.pii_findings(F.col("text")).alias("x")).select("doc_id", *(F.col(f"x.{k}").cast("long").alias(k) for k in ("email", "ssn", "credit_card", "phone")))
+
+
+@query
+def clean_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", text.clean_text(F.col("html")).alias("cleaned"))
+
+
+@query
+def clean_text_keep_urls(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return pages.select("page_id", text.clean_text(F.concat_ws(" ", "url", "html"), remove_urls=False).alias("cleaned"), text.clean_text(F.col("url")).alias("url_left"))
+
+
+@query
+def tts_digits(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", spoken.expand_numbers(F.col("text"), "yo").alias("spoken"))
+
+
+@query
+def tts_abbreviations(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", spoken.expand_abbreviations(F.col("text"), "ig").alias("spoken"))
+
+
+@query
+def tts_normalize(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", spoken.speak(F.col("text"), "ig").alias("spoken"))
+
+
+@query
+def naija_normalize(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", spoken.speak_naija(F.col("text")).alias("spoken"))
+
+
+@query
+def stopwords_table(spark, sf_dir):
+    return _values(spark, [(lang, w) for lang in spoken.STOPWORDS for w in spoken.stopwords(lang)], "lang string, word string").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("word").alias("first_word"))
+
+
+@query
+def stopword_filter(spark, sf_dir):
+    words = F.filter(F.split(F.col("text"), r"[ \n]"), lambda w: w != "")
+    return _docs(spark, sf_dir).select("doc_id", F.array_join(text.filter_stopwords(words, spoken.stopwords("pcm")), " ").alias("kept"))
+
+
+@query
+def split_sentences(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.posexplode(text.split_sentences(F.col("text"))).alias("pos", "sentence")).select("doc_id", F.col("pos").cast("long").alias("pos"), "sentence")
+
+
+@query
+def chunk_text(spark, sf_dir):
+    pieces = text.chunk_text(F.col("text"), 300)
+    return _docs(spark, sf_dir).select("doc_id", pieces.alias("p")).select("doc_id", F.size("p").cast("long").alias("n"), (F.array_join("p", " ")).alias("rejoined"), F.array_max(F.transform("p", lambda x: F.when(x.contains(" "), F.length(x)).otherwise(0))).cast("long").alias("longest"))
+
+
+@query
+def format_currency(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.format_currency(F.col("o_totalprice"), "₦").alias("price"), text.format_currency(F.col("o_orderpriority"), "$").alias("no_number"))
+
+
+@query
+def steg_bits(spark, sf_dir):
+    marked = F.concat(F.lit("id-"), F.col("item_id").cast("string"))
+    bits = text.bits_of_text(marked, 96)
+    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.transform(bits, lambda b: b.cast("string")), "").alias("bits"), text.text_of_bits(bits).alias("back"))
+
+
+# ---------------------------------------------------------------- codes and prompts
+
+_CODES = ["yo", "YOR", " ig ", "pt-BR", "pt_BR", "arb", "ar", "ara_nocase", "<yor>", "<es>", "de", "auto", "xx", "fr-CA", "vi", None]
+
+
+@query
+def resolve_tag(spark, sf_dir):
+    return _values(spark, [(i, c) for i, c in enumerate(_CODES)], "i long, code string").select("i", prompts.resolve_tag(F.col("code")).alias("tag"), prompts.resolve_tag(F.col("code"), False).alias("tag_nocase"))
+
+
+@query
+def normalize_lang(spark, sf_dir):
+    return _values(spark, [(i, c) for i, c in enumerate(_CODES)], "i long, code string").select("i", prompts.normalize_lang(F.col("code")).alias("lang"), prompts.normalize_lang(F.col("code"), arabic=False).alias("lang_first_spec"))
+
+
+@query
+def build_hint(spark, sf_dir):
+    pair = F.create_map(F.lit("w"), F.col("n_name"), F.lit("r"), F.col("n_regionkey").cast("string"))
+    return table(spark, sf_dir, "nation").select("n_nationkey", prompts.build_hint(pair).alias("hint"))
+
+
+@query
+def question_prompt(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select("item_id", prompts.question_messages(F.col("text"), 4, "yo").alias("m")).select("item_id", F.col("m")[0]["content"].alias("system"), F.col("m")[1]["content"].alias("user"))
+
+
+@query
+def question_parse(spark, sf_dir):
+    answers = F.concat(F.lit('Sure: {"questions": [" what is '), F.col("n_name"), F.lit('? ", "", "why?"]} ok'))
+    broken = F.concat(F.lit('{"questions": ["what is '), F.col("n_name"), F.lit('?", "who'))
+    return table(spark, sf_dir, "nation").select("n_nationkey", F.array_join(prompts.parse_questions(answers), "|").alias("whole"), F.array_join(prompts.parse_questions(broken), "|").alias("recovered"))
+
+
+@query
+def question_languages(spark, sf_dir):
+    return prompts.question_languages(spark).groupBy("weak").agg(F.count(F.lit(1)).alias("n"), F.max("name").alias("last_name"))
+
+
+@query
+def chat_messages(spark, sf_dir):
+    made = prompts.chat_messages(table(spark, sf_dir, "conversations"), "You are helpful.")
+    return made.select("conv_id", F.size("messages").cast("long").alias("n"), F.array_join(F.transform("messages", lambda m: F.concat_ws(": ", m["role"], m["content"])), "\n").alias("chat"))
+
+
+@query
+def title_inputs(spark, sf_dir):
+    return prompts.title_inputs(table(spark, sf_dir, "conversations"), 5000)
+
+
+# ---------------------------------------------------------------- marks
+
+
+@query
+def strip_diacritics(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", unicode.strip_native(F.col("text")).alias("stripped"))
+
+
+@query
+def strip_all_marks(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", unicode.strip_column(F.col("text"), "all").alias("stripped"), unicode.nfc_column(F.col("text")).alias("nfc"))
+
+
+@query
+def diacritic_density(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", _rounded(unicode.density_native(F.col("text"))).alias("density"))
+
+
+@query
+def latin_share(spark, sf_dir):
+    share = F.regexp_count("text", F.lit(r"\p{IsLatin}")) / F.regexp_count("text", F.lit(r"\p{L}"))
+    return _docs(spark, sf_dir).select("doc_id", F.coalesce(_rounded(share), F.lit(1.0)).alias("latin"))
+
+
+@query
+def grapheme_counts(spark, sf_dir):
+    graphemes = F.explode(unicode.graphemes_column(F.col("text"))).alias("g")
+    return _docs(spark, sf_dir).select("lang", graphemes).groupBy("lang", "g").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def align_marks(spark, sf_dir):
+    bare = unicode.strip_native(F.col("text"))
+    return _docs(spark, sf_dir).select("doc_id", bare.alias("bare"), "text").select("doc_id", unicode.align_column(F.col("bare"), F.col("text")).alias("aligned"))
+
+
+# ---------------------------------------------------------------- language identification
+
+
+def _lid(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    return docs, language_id.scores(docs, *language_id.train(docs))
+
+
+@query
+def lid_features(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.explode(language_id.features(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def lid_scores(spark, sf_dir):
+    return _lid(spark, sf_dir)[1].select("doc_id", "class", _rounded(F.col("score")).alias("score"))
+
+
+@query
+def lid_predict(spark, sf_dir):
+    return language_id.predict(_lid(spark, sf_dir)[1])
+
+
+@query
+def lid_proba(spark, sf_dir):
+    return language_id.probabilities(_lid(spark, sf_dir)[1]).select("doc_id", "class", _rounded(F.col("proba")).alias("proba"))
+
+
+def _candidates(spark, sf_dir):
+    docs, scored = _lid(spark, sf_dir)
+    proba = language_id.probabilities(scored)
+    return docs, proba.select("doc_id", F.col("class").alias("label"), F.round("proba", 9).alias("p"), F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc(F.round("proba", 9)), "class")).alias("rank"))
+
+
+@query
+def lid_coverage(spark, sf_dir):
+    docs, candidates = _candidates(spark, sf_dir)
+    return language_id.coverage(candidates, docs)
+
+
+@query
+def lid_traffic(spark, sf_dir):
+    priors = language_id.prior_table(_values(spark, [("de", 5.0), ("en", -5.0), ("es", 1.0)], "label string, log_prior_ratio double"), 0.2)
+    return language_id.traffic(_candidates(spark, sf_dir)[1], priors, top_k=2).select("doc_id", "label", F.col("rank").cast("long").alias("rank"), _rounded(F.col("proba"), 5).alias("proba"))
+
+
+# ---------------------------------------------------------------- restoration
+
+
+def _marked(spark, sf_dir, lang):
+    return _docs(spark, sf_dir).where(F.col("lang") == lang)
+
+
+@query
+def diac_tokenize(spark, sf_dir):
+    counted = _docs(spark, sf_dir).select("doc_id", F.explode(restoration.tokens(F.col("text"))).alias("token")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("tokens"), F.sum(restoration.is_word(F.col("token")).cast("long")).alias("words"))
+    return counted
+
+
+@query
+def knn_train(spark, sf_dir):
+    model = restoration.knn_train(_marked(spark, sf_dir, "es"), unicode.strip_native(F.col("word")))
+    return model.where("width = 5").select("ctx", "out")
+
+
+@query
+def knn_decode(spark, sf_dir):
+    docs = _marked(spark, sf_dir, "es")
+    model = restoration.knn_train(docs, unicode.strip_native(F.col("word")))
+    return restoration.knn_decode(docs.select("doc_id", unicode.strip_native(F.col("text")).alias("text")), model, "aeioun")
+
+
+@query
+def viterbi_unigrams(spark, sf_dir):
+    _, unigrams, _ = restoration.viterbi_train(_marked(spark, sf_dir, "es"), unicode.strip_native(F.col("word")))
+    return unigrams.select("form", _rounded(F.col("logp")).alias("logp"))
+
+
+@query
+def viterbi_decode(spark, sf_dir):
+    docs = _marked(spark, sf_dir, "fr")
+    tables = restoration.viterbi_train(docs, unicode.strip_native(F.col("word")))
+    return restoration.viterbi_decode(docs.select("doc_id", unicode.strip_native(F.col("text")).alias("text")), *tables)
+
+
+@query
+def plan_windows(spark, sf_dir):
+    windows = F.posexplode(tagger.plan_windows(F.length("text"))).alias("i", "w")
+    return _docs(spark, sf_dir).select("doc_id", windows).select("doc_id", F.col("i").cast("long").alias("i"), *(F.col(f"w.{c}").cast("long").alias(c) for c in ("start", "end", "accept_start", "accept_end")))
+
+
+@query
+def protected_spans(spark, sf_dir):
+    words = F.concat_ws(" ", "url", F.lit("@you me@x.org A_B `c d` example.com"), F.substring("html", 1, 2000))
+    return table(spark, sf_dir, "pages").select("page_id", F.array_join(tagger.protected_spans(words), "|").alias("spans"))
+
+
+@query
+def joint_decode(spark, sf_dir):
+    # Deterministic logits over positions of the embeddings: three shapes and three tones.
+    v = F.col("embedding").cast("array<double>")
+    logits = table(spark, sf_dir, "embeddings").select(F.lit(0).cast("long").alias("doc_id"), F.col("vec_id").alias("pos"), F.lit("yor").alias("lang"), F.element_at(F.array(F.lit("o"), F.lit("e"), F.lit("x")), (F.col("label") % 3 + 1).cast("int")).alias("base"), F.slice(v, 1, 3).alias("shapes"), F.slice(v, 4, 3).alias("tones"))
+    legal = _values(spark, [("yor", "o", s, t) for s in (0, 1) for t in (0, 1, 2)] + [("yor", "e", 0, 0), ("yor", "e", 1, 2)], "lang string, base string, shape_id int, tone_id int")
+    return tagger.decode(logits, legal).select("pos", F.col("shape_id").cast("long").alias("shape_id"), F.col("tone_id").cast("long").alias("tone_id"), _rounded(F.col("confidence")).alias("confidence"))
+
+
+@query
+def drop_case_endings(spark, sf_dir):
+    chars = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") * 10000000 + F.col("l_partkey")).alias("pos"), (F.col("l_quantity") > 10).alias("arabic"), F.col("l_returnflag").alias("tone"), (F.col("l_linestatus") == "F").alias("typed"))
+    return tagger.drop_case_endings(chars).select("doc_id", F.col("pos").cast("long").alias("pos"), "tone")
+
+
+# ---------------------------------------------------------------- lexicon
+
+
+def _lexicon(spark, sf_dir):
+    return lexicon.build(_docs(spark, sf_dir), unicode.strip_native(F.col("variant")))
+
+
+@query
+def lexicon_build(spark, sf_dir):
+    return _lexicon(spark, sf_dir)
+
+
+@query
+def lexicon_variants(spark, sf_dir):
+    words = _docs(spark, sf_dir).select("lang", F.explode(lexicon.words_of(F.col("text"))).alias("word")).distinct().withColumn("key", F.lower(unicode.strip_native(F.col("word"))))
+    return lexicon.variants(words, _lexicon(spark, sf_dir)).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"), F.sum("cnt").alias("cnt"))
+
+
+@query
+def lexicon_ambiguity(spark, sf_dir):
+    return lexicon.ambiguity(_lexicon(spark, sf_dir))
+
+
+@query
+def oov_rate(spark, sf_dir):
+    return lexicon.oov_rate(_docs(spark, sf_dir), _lexicon(spark, sf_dir), unicode.strip_native(F.col("word"))).select("doc_id", _rounded(F.col("oov")).alias("oov"))
+
+
+@query
+def label_space(spark, sf_dir):
+    """Legal combinations of French and Spanish letters."""
+    parts = None
+    for lang, code in (("fr", "fra"), ("es", "spa")):
+        own = _marked(spark, sf_dir, lang).select(F.lit(code).alias("lang"), F.explode(unicode.factorize_column(F.col("text"), code)).alias("f")).select("lang", "f.*")
+        parts = own if parts is None else parts.unionByName(own)
+    return tagger.label_space(parts)[1].select("lang", "base", F.array_join("shape", "+").alias("shape"), "tone")
+
+
+# ---------------------------------------------------------------- tokens and vectors
+
+
+@query
+def subword_round_trip(spark, sf_dir):
+    """Token counts by the byte-level vocabulary, and whether decoding gives the text back."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    coded = _docs(spark, sf_dir).withColumn("ids", subwords.encode(F.col("text"), path))
+    return coded.select("doc_id", "lang", F.size("ids").cast("long").alias("n_tokens"), (subwords.decode(F.col("ids"), path) == F.col("text")).alias("same"))
+
+
+@query
+def cosine_pairs(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    nxt = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b"))
+    return e.join(nxt, "vec_id").select("vec_id", _rounded(vectors.cosine_similarity(F.col("embedding"), F.col("b"))).alias("cosine"))
+
+
+@query
+def semantic_topk(spark, sf_dir):
+    """The stated query set: every vector whose id is divisible by 100, against all vectors."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    found = retrieval.top_k(e.where("id % 100 = 0").withColumnRenamed("id", "query_id"), e, 5)
+    return found.select("query_id", "id", _rounded(F.col("score"), 5).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query
+def rerank_rank(spark, sf_dir):
+    v = F.col("embedding").cast("array<double>")
+    scored = table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("query_id"), F.col("vec_id").alias("id"), F.round(vectors.pair_score(F.slice(v, 1, 2)), 6).alias("score"))
+    return retrieval.rank(scored).select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+# ---------------------------------------------------------------- the flagship
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    """Detect, clean, mask, normalize: doc_id, detected language, masked text, spoken text and mark density."""
+    docs, scored = _lid(spark, sf_dir)
+    done = docs.withColumn("masked", text.mask_pii(text.clean_text(F.col("text"))))
+    return done.join(language_id.predict(scored).withColumnRenamed("lang", "detected"), "doc_id").select("doc_id", "detected", "masked", spoken.speak(F.col("masked"), "ig").alias("spoken"), _rounded(unicode.density_native(F.col("text"))).alias("density"))
+
+
+@query
+def pipeline_flagship(spark, sf_dir):
+    return flagship(spark, sf_dir).select("doc_id", "detected", F.length("masked").cast("long").alias("chars"), "density")
