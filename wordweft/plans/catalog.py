@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from wordweft.functions import prompts, spoken, text, unicode, vectors
 from wordweft.operators import language_id, lexicon, restoration, retrieval, subwords, tagger
 from wordweft.plans import twins
-from wordweft.session import table
+from wordweft.session import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -23,7 +23,7 @@ def query(f: Query) -> Query:
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
 def _rounded(c, digits: int = 6):
