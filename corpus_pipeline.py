@@ -31,10 +31,11 @@ def _packed(docs: DataFrame) -> DataFrame:
 
 def _unpacked(docs: DataFrame, like: DataFrame, text: Column | None = None) -> DataFrame:
     """The columns of `like` again, in order."""
-    new = F.col("text") if text is None else text
-    at = {"doc_id": F.col("doc_id"), "text": new}
+    # The new text gets a name of its own first: inside lambdas, `text` would be taken for an alias of the same select.
+    docs = docs.withColumn("_after", F.col("text") if text is None else text)
+    at = {"doc_id": F.col("doc_id"), "text": F.col("_after")}
     if text is not None and "n_chars" in like.columns:
-        at["n_chars"] = F.when(new.isNull(), F.col(f"{BESIDE}.n_chars")).otherwise(F.length(new)).cast(like.schema["n_chars"].dataType)
+        at["n_chars"] = F.when(F.col("_after").isNull(), F.col(f"{BESIDE}.n_chars")).otherwise(F.length("_after")).cast(like.schema["n_chars"].dataType)
     return docs.select(*(at.get(c, F.col(f"{BESIDE}.`{c}`")).alias(c) for c in like.columns))
 
 
