@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -39,7 +40,20 @@ def cut(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def drop(*written: DataFrame) -> None:
+    """Deletes tables that cut() wrote and nothing reads any more, and lets Spark drop the shuffle files of what made them."""
+    spark = written[0].sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for df in written:
+        path = jvm.org.apache.hadoop.fs.Path(df._cut_path)
+        path.getFileSystem(conf).delete(path, True)
+    gc.collect()
+    jvm.System.gc()  # else the files of finished shuffles stay until the driver happens to collect its garbage
 
 
 def in_fold(doc_id: Column, modulus: int, remainder: int) -> Column:

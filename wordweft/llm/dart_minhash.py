@@ -26,9 +26,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordweft.llm.common import cut
+from wordweft.llm.common import cut, drop
 
-ROWS, BANDS = 5, 50
+ROWS, BANDS = 8, 64
 K = ROWS * BANDS
 SIZE = 5
 SIMILARITY = 0.8
@@ -182,8 +182,11 @@ def components(edges: DataFrame, what: str = "labels") -> DataFrame:
         root = labels.select(F.col("id").alias("to"), F.col("label").alias("up"))
         new = cut(lower.join(root, "to").select("id", F.least("to", "up").alias("new"), "label"), what)
         changed = new.where(F.col("new") != F.col("label")).limit(1).count()
-        labels = new.select("id", F.col("new").alias("label"))
+        drop(labels)
+        labels = cut(new.select("id", F.col("new").alias("label")), what)
+        drop(new)
         if not changed:
+            drop(both)
             return labels
 
 
@@ -192,6 +195,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     signed = cut(signatures(docs.where(F.col(key).isNotNull()), key, text), "signatures")
     nodes = signed.groupBy("digest").agg(F.min(key).alias("id"), F.max("n").alias("n"), F.max("bands").alias("bands"))
     nodes = cut(nodes, "texts")
+    # Bands are only needed of one row a text from here on.
     members = nodes.select("id", "n", F.explode("bands").alias("bucket"))
     leaders = members.groupBy("bucket").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("m")).where("m > 1").select("bucket", "least")
     shared = cut(members.join(leaders, "bucket").select("bucket", "least", "id", "n"), "buckets")
@@ -219,9 +223,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     fresh = cut(pairs.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
     more = cut(verified(fresh, sets, similarity).where("near").select("a", "b"), "more-links")
     if more.limit(1).count():
+        drop(labels)
         labels = components(linked.union(more), "final-labels")
+    drop(shared, stars, sets, linked, rest, fresh, more)
     of_text = nodes.select("digest", "id").join(labels, "id", "left").select("digest", F.coalesce("label", "id").alias("class_id"))
-    known = signed.select(key, "digest").join(of_text, "digest").select(key, "class_id")
+    known = cut(signed.select(key, "digest").join(of_text, "digest").select(key, "class_id"), "classes")
+    drop(signed, nodes, labels)
     return known.unionByName(docs.where(F.col(key).isNull()).select(key, F.lit(None).cast("long").alias("class_id")))
 
 
