@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordweft.llm.common import cut
+from wordweft.llm.common import cut, drop
 
 WIDTH = 400
 GRAM = 160
@@ -247,8 +247,8 @@ def _by_blocks(segments: DataFrame) -> DataFrame:
     return segments.mapInPandas(resolve, "sid binary, stretches array<int>")
 
 
-def _by_hashes(segments: DataFrame) -> DataFrame:
-    """The same for keys with very many segments: every string's 128-bit hash meets its equals."""
+def _by_hashes(segments: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same, and the table that was written for it, for keys with very many segments: every string's 128-bit hash meets its equals."""
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -282,7 +282,7 @@ def _by_hashes(segments: DataFrame) -> DataFrame:
 
         return at.map(of)
 
-    return found.select("sid", stretches("at").alias("stretches"))
+    return found.select("sid", stretches("at").alias("stretches")), strings
 
 
 def _keep(raw: bytes, spans) -> tuple[list[tuple[int, int]], bytes]:
@@ -307,7 +307,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wit
     nodes = cut(rows.groupBy("digest").agg(F.count(F.lit(1)).alias("c"), F.first("keys").alias("keys")).where(F.size("keys") > 0), "repeat-nodes")
     keyed = nodes.select("digest", "c", F.explode("keys").alias("key"))
     often = keyed.groupBy("key").agg(F.sum("c").alias("n")).where("n > 1").select("key")
-    repeated = keyed.join(often, "key").groupBy("digest").agg(F.collect_set("key").alias("repeated"), F.first("c").alias("c"))
+    repeated = cut(keyed.join(often, "key").groupBy("digest").agg(F.collect_set("key").alias("repeated"), F.first("c").alias("c")), "repeated-keys")
+    drop(nodes)
 
     @F.pandas_udf("binary")
     def digest_of(texts: pd.Series) -> pd.Series:
@@ -319,19 +320,22 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wit
     long_texts = docs.select(key, F.col(text).alias("text")).where(F.octet_length(text) >= WIDTH)
     read = long_texts.join(wanted.withColumnRenamed("digest", "of").withColumnRenamed(key, "_k"), F.col(key).eqNullSafe(F.col("_k")))
     texts = cut(read.where(digest_of("text") == F.col("of")).select(F.col("of").alias("digest"), "text", "repeated", "c").dropDuplicates(["digest"]), "repeat-texts")
+    drop(repeated)
     segments = cut(_segments(texts), "segments")
     distinct = segments.groupBy("key", "sid").agg(F.sum("c").alias("weight"), F.max("twice").alias("twice"), F.first("bytes").alias("bytes"))
     distinct = cut(distinct, "distinct-segments")
+    places = cut(segments.select("digest", "sid", "first", "n"), "segment-places")
+    drop(segments)
     by_key = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.max("twice").alias("within")).where("kinds > 1 or within").drop("within")
     unsettled = distinct.join(by_key, "key")
     blocks = _by_blocks(unsettled.where(F.col("kinds") <= MOST).select("key", "sid", "bytes", "weight").repartition("key").sortWithinPartitions("key"))
-    hashed = _by_hashes(unsettled.where(F.col("kinds") > MOST).select("sid", "bytes", "weight"))
+    hashed, *strings = _by_hashes(unsettled.where(F.col("kinds") > MOST).select("sid", "bytes", "weight"))
     whole = distinct.where("weight > 1").select("sid")
-    places = segments.select("digest", "sid", "first", "n")
     pairs = F.transform(F.sequence(F.lit(0), (F.size("stretches") / 2).cast("int") - 1), lambda i: F.struct((F.col("first") + F.get("stretches", 2 * i)).alias("a"), (F.col("first") + F.get("stretches", 2 * i + 1)).alias("b")))
     some = places.join(blocks.unionByName(hashed).where(F.size("stretches") > 0).join(whole, "sid", "left_anti"), "sid").select("digest", F.explode(pairs).alias("s"))
     all_of = places.join(whole, "sid").select("digest", F.struct(F.col("first").alias("a"), (F.col("first") + F.col("n")).alias("b")).alias("s"))
-    spans = some.unionByName(all_of).groupBy("digest").agg(F.collect_list("s").alias("spans"))  # bounded by the text's length
+    spans = cut(some.unionByName(all_of).groupBy("digest").agg(F.collect_list("s").alias("spans")), "spans")  # bounded by the text's length
+    drop(distinct, places, *strings)
     names = ["n_removed", "n_spans", "kept_sha256", *(["kept_text"] if with_text else [])]
 
     def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -344,7 +348,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wit
                 out.append((*row, kept.decode("utf-8", "ignore")) if with_text else row)
             yield pd.DataFrame(out, columns=["digest", *names])
 
-    changed = texts.select("digest", "text").join(spans, "digest").mapInPandas(clean, "digest binary, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept_text string" * with_text)
+    changed = cut(texts.select("digest", "text").join(spans, "digest").mapInPandas(clean, "digest binary, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept_text string" * with_text), "changed-texts")
+    drop(texts, spans)
     out = rows.select(key, *carry, "digest", "n_bytes", "sha256").join(changed, "digest", "left")
     return out.select(
         key,
