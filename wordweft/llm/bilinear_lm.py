@@ -62,11 +62,20 @@ def count_tokens(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(text).mapInPandas(counted, "token string, c bigint").groupBy("token").agg(F.sum("c").alias("c"))
 
 
-def train(cells: np.ndarray, counts: np.ndarray, classes: int = CLASSES, width: int = 32, steps: int = 300, batch: int = 4096, noise: int = 64, seed: int = 7) -> np.ndarray:
+def _dealt(counts: np.ndarray, batches: int, rng: np.random.Generator) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """One epoch: places of cells and weights that add up to every cell's count. Heavy cells are split over all batches, so that no batch is one cell's."""
+    heavy = np.flatnonzero(counts * batches * 10 > counts.sum())
+    light = rng.permutation(np.flatnonzero(counts * batches * 10 <= counts.sum()))
+    for part in np.array_split(light, batches):
+        yield np.concatenate([heavy, part]), np.concatenate([counts[heavy] / batches, counts[part]])
+
+
+def train(cells: np.ndarray, counts: np.ndarray, classes: int = CLASSES, width: int = 32, steps: int = 300, batch: int = 4096, noise: int = 64, seed: int = 7, epochs: int = 4) -> np.ndarray:
     """log10 P(class | two classes before) of shape (classes + 1, classes + 1, classes), fitted by NCE to counted cells.
 
     cells holds ((before2 * (classes + 1)) + before1) * classes + class. The score of a class is the product of its vector with
     a prediction that is linear in the vectors of the context, plus its bias. Noise comes from the class frequencies.
+    Every epoch goes over every cell, weighted by its count, in steps / epochs updates; batch bounds the cells held at once.
     """
     rng = np.random.default_rng(seed)
     r, q = rng.normal(0, 0.1, (classes + 1, width)), rng.normal(0, 0.1, (classes, width))
@@ -75,7 +84,6 @@ def train(cells: np.ndarray, counts: np.ndarray, classes: int = CLASSES, width:
     if len(cells):
         order = np.argsort(cells)
         cells, counts = cells[order], counts[order]
-        ends = np.cumsum(counts, dtype=np.float64)
         target, ctx = cells % classes, cells // classes
         p1, p2 = ctx % (classes + 1), ctx // (classes + 1)
         share = (np.bincount(target, counts, classes) + 1) / (counts.sum() + classes)
@@ -84,28 +92,34 @@ def train(cells: np.ndarray, counts: np.ndarray, classes: int = CLASSES, width:
         cum = np.cumsum(share)
         weights = [r, q, c1, c2, bias]
         squares = [np.full_like(w, 1e-6) for w in weights]
-        for step in range(steps):
-            i = np.minimum(np.searchsorted(ends, rng.random(batch) * ends[-1], side="right"), len(ends) - 1)
-            a, b, w = p1[i], p2[i], target[i]
+        steps = max(1, steps // epochs) * epochs
+        dealt = (x for _ in range(epochs) for x in _dealt(counts, steps // epochs, rng))
+        for step, (cell, times) in enumerate(dealt):
+            sums = [np.zeros_like(w) for w in weights]
             n = np.minimum(np.searchsorted(cum, rng.random(noise) * cum[-1], side="right"), classes - 1)
-            ra, rb = r[a], r[b]
-            guess = ra @ c1 + rb @ c2
-            true = 1 / (1 + np.exp(-np.clip((guess * q[w]).sum(1) + bias[w] - log_noise[w], -30, 30))) - 1
-            fake = 1 / (1 + np.exp(-np.clip(guess @ q[n].T + bias[n] - log_noise[n], -30, 30)))
-            d_guess = true[:, None] * q[w] + fake @ q[n]
-            one = np.zeros((classes, batch))
-            one[w, np.arange(batch)] = true
-            d_q = one @ guess
-            np.add.at(d_q, n, fake.T @ guess)
-            d_bias = one.sum(1) + np.bincount(n, fake.sum(0), classes)
-            d_r = np.zeros((classes + 1, width))
-            for at, d in ((a, d_guess @ c1.T), (b, d_guess @ c2.T)):
-                pick = np.zeros((classes + 1, batch))
-                pick[at, np.arange(batch)] = 1
-                d_r += pick @ d
+            for start in range(0, len(cell), batch):
+                i, m = cell[start : start + batch], times[start : start + batch]
+                a, b, w = p1[i], p2[i], target[i]
+                ra, rb = r[a], r[b]
+                guess = ra @ c1 + rb @ c2
+                true = m * (1 / (1 + np.exp(-np.clip((guess * q[w]).sum(1) + bias[w] - log_noise[w], -30, 30))) - 1)
+                fake = m[:, None] / (1 + np.exp(-np.clip(guess @ q[n].T + bias[n] - log_noise[n], -30, 30)))
+                d_guess = true[:, None] * q[w] + fake @ q[n]
+                one = np.zeros((classes, len(i)))
+                one[w, np.arange(len(i))] = true
+                d_q = one @ guess
+                np.add.at(d_q, n, fake.T @ guess)
+                d_bias = one.sum(1) + np.bincount(n, fake.sum(0), classes)
+                d_r = np.zeros((classes + 1, width))
+                for at, d in ((a, d_guess @ c1.T), (b, d_guess @ c2.T)):
+                    pick = np.zeros((classes + 1, len(i)))
+                    pick[at, np.arange(len(i))] = 1
+                    d_r += pick @ d
+                for s, d in zip(sums, (d_r, d_q, ra.T @ d_guess, rb.T @ d_guess, d_bias), strict=True):
+                    s += d
             rate = 0.15 * (1 - step / steps) + 0.005
-            for x, d, s in zip(weights, (d_r, d_q, ra.T @ d_guess, rb.T @ d_guess, d_bias), squares, strict=True):
-                d = d / batch
+            for x, d, s in zip(weights, sums, squares, strict=True):
+                d = d / max(times.sum(), 1e-300)
                 s += d * d
                 x -= rate * d / np.sqrt(s)
     table = np.empty((classes + 1, classes + 1, classes), dtype=np.float32)
