@@ -34,8 +34,8 @@ def transfer_case(original: Column, restored: Column) -> Column:
     return F.when(upper, F.upper(restored)).when(capital, F.concat(F.upper(F.substring(restored, 1, 1)), F.lower(F.substring(restored, F.lit(2), F.length(restored))))).otherwise(restored)
 
 
-def _placed_words(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.posexplode(tokens(F.col("text"))).alias("pos", "token"))
+def _placed_words(docs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    return docs.select("doc_id", *by, F.posexplode(tokens(F.col("text"))).alias("pos", "token"))
 
 
 def _contexts(words: DataFrame, word: str) -> DataFrame:
@@ -44,53 +44,57 @@ def _contexts(words: DataFrame, word: str) -> DataFrame:
     return words.withColumn("at", F.explode(F.sequence(F.lit(1), F.length(word)))).withColumn("ctx", F.substring(padded, F.col("at"), F.lit(5)))
 
 
-def knn_train(marked: DataFrame, plain: Column) -> DataFrame:
+def knn_train(marked: DataFrame, plain: Column, by: tuple[str, ...] = ()) -> DataFrame:
     """(width, ctx, out): for plain contexts of 5, 3 and 1 characters the commonest marked character, equal counts by character.
 
-    marked has doc_id and text; plain strips the column `word` without changing its length.
+    marked has doc_id and text; plain strips the column `word` without changing its length. by names columns of marked that
+    keep models apart, the language for one; they come first in the result.
     """
-    words = _placed_words(marked).where(is_word(F.col("token"))).select(F.lower("token").alias("word")).withColumn("plain", plain)
+    each = marked.select(*by, F.explode(F.transform(F.filter(tokens(F.col("text")), is_word), F.lower)).alias("word"))
+    words = each.groupBy(*by, "word").agg(F.count(F.lit(1)).alias("times")).withColumn("plain", plain)
     chars = _contexts(words.where(F.length("word") == F.length("plain")), "plain").withColumn("out", F.substring("word", F.col("at"), F.lit(1)))
     widths = F.array(F.struct(F.lit(5).alias("width"), F.col("ctx").alias("c")), F.struct(F.lit(3).alias("width"), F.substring("ctx", 2, 3).alias("c")), F.struct(F.lit(1).alias("width"), F.substring("ctx", 3, 1).alias("c")))
-    counted = chars.select(F.explode(widths).alias("w"), "out").groupBy(F.col("w.width").alias("width"), F.col("w.c").alias("ctx"), "out").agg(F.count(F.lit(1)).alias("n"))
-    best = counted.groupBy("width", "ctx").agg(F.max(F.struct("n", F.lit(1).alias("x"))).alias("m"))
-    return counted.join(best, ["width", "ctx"]).where(F.col("n") == F.col("m.n")).groupBy("width", "ctx").agg(F.min("out").alias("out"))
+    counted = chars.select(*by, F.explode(widths).alias("w"), "out", "times").groupBy(*by, F.col("w.width").alias("width"), F.col("w.c").alias("ctx"), "out").agg(F.sum("times").alias("n"))
+    best = counted.groupBy(*by, "width", "ctx").agg(F.max(F.struct("n", F.lit(1).alias("x"))).alias("m"))
+    return counted.join(best, [*by, "width", "ctx"]).where(F.col("n") == F.col("m.n")).groupBy(*by, "width", "ctx").agg(F.min("out").alias("out"))
 
 
-def knn_decode(docs: DataFrame, model: DataFrame, targets: str) -> DataFrame:
+def knn_decode(docs: DataFrame, model: DataFrame, targets: str | Column, by: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, restored): every target character looked up by 5, then 3, then 1 characters of context.
 
-    Distinct words are decoded once; tables are joined on their context, whatever their size.
+    Distinct words are decoded once; tables are joined on their context, whatever their size. With by, each text meets the
+    model of its own values there, and targets may be a column made of them.
     """
-    placed = _placed_words(docs).withColumn("word", F.when(is_word(F.col("token")), F.lower("token")))
-    words = placed.where("word is not null").select("word").distinct()
+    docs = docs.select("doc_id", "text", *by)
+    own = docs.select("doc_id", *by, F.explode(F.array_distinct(F.transform(F.filter(tokens(F.col("text")), is_word), F.lower))).alias("word"))
+    words = own.select(*by, "word").distinct()
     chars = _contexts(words, "word").withColumn("c", F.substring("ctx", 3, 1))
-    open_ = chars.where(F.col("c").isin(*targets)).select("ctx", "c").distinct()
-    of = lambda width: model.where(F.col("width") == width).select(F.col("ctx").alias("k"), F.col("out").alias(f"o{width}"))
+    open_ = chars.where(F.contains(F.lit(targets), F.col("c"))).select(*by, "ctx", "c").distinct()
+    of = lambda width: model.where(F.col("width") == width).select(*by, F.col("ctx").alias("k"), F.col("out").alias(f"o{width}"))
     looked = open_
     for width, key in ((5, F.col("ctx")), (3, F.substring("ctx", 2, 3)), (1, F.col("c"))):
-        looked = looked.withColumn("k", key).join(of(width), "k", "left").drop("k")
-    looked = looked.select("ctx", F.coalesce("o5", "o3", "o1", "c").alias("new"))
-    back = chars.join(looked, "ctx", "left").groupBy("word").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("new", "c").alias("x")))), lambda x: x["x"]), "").alias("restored"))
-    done = placed.join(back, "word", "left").withColumn("out", F.when(F.col("word").isNull(), F.col("token")).otherwise(transfer_case(F.col("token"), F.col("restored"))))
-    return _joined(docs, done)
-
-
-def _joined(docs: DataFrame, done: DataFrame) -> DataFrame:
-    texts = done.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "out"))), lambda x: x["out"]), "").alias("restored"))
-    return docs.select("doc_id", "text").join(texts, "doc_id", "left").select("doc_id", F.coalesce("restored", "text").alias("restored"))
-
-
-def viterbi_train(marked: DataFrame, plain: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Candidates (plain, idx, form) by falling count, unigrams (form, logp) and transitions (prev, cur, logp) of marked texts (doc_id, text)."""
-    words = _placed_words(marked).where(is_word(F.col("token"))).select("doc_id", "pos", F.lower("token").alias("word")).withColumn("plain", plain)
-    counts = words.groupBy("plain", F.col("word").alias("form")).agg(F.count(F.lit(1)).alias("n"))
-    candidates = counts.select("plain", (F.row_number().over(Window.partitionBy("plain").orderBy(F.desc("n"), "form")) - 1).alias("idx"), "form")
-    total = counts.agg(F.sum("n").alias("total"))  # one row
-    forms = counts.groupBy("form").agg(F.sum("n").alias("n"))
-    unigrams = forms.crossJoin(F.broadcast(total)).select("form", F.log(F.col("n") / F.col("total")).alias("logp"))
-    pairs = words.withColumn("prev", F.lag("word").over(Window.partitionBy("doc_id").orderBy("pos"))).where("prev is not null").groupBy("prev", F.col("word").alias("cur")).agg(F.count(F.lit(1)).alias("n"))
-    transitions = pairs.join(forms.select(F.col("form").alias("prev"), F.col("n").alias("m")), "prev").select("prev", "cur", F.log(F.col("n") / F.col("m")).alias("logp"))
+        looked = looked.withColumn("k", key).join(of(width), [*by, "k"], "left").drop("k")
+    looked = looked.select(*by, "ctx", F.coalesce("o5", "o3", "o1", "c").alias("new"))
+    back = chars.join(looked, [*by, "ctx"], "left").groupBy(*by, "word").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("new", "c").alias("x")))), lambda x: x["x"]), "").alias("restored"))
+    # Only words that change come back to their texts, which look them up in place.
+    new = own.join(back.where("restored <> word"), [*by, "word"]).groupBy("doc_id", *by).agg(F.map_from_entries(F.collect_set(F.struct("word", "restored"))).alias("new"))
+    out = lambda t: F.when(is_word(t), transfer_case(t, F.coalesce(F.try_element_at("new", F.lower(t)), F.lower(t)))).otherwise(t)
+    return docs.join(new, ["doc_id", *by], "left").select("doc_id", F.array_join(F.transform(tokens(F.col("text")), out), "").alias("restored"))
+
+
+def viterbi_train(marked: DataFrame, plain: Column, by: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Candidates (plain, idx, form) by falling count, unigrams (form, logp) and transitions (prev, cur, logp) of marked texts (doc_id, text).
+
+    by names columns of marked that keep models apart, the language for one; they come first in all three.
+    """
+    words = _placed_words(marked, by).where(is_word(F.col("token"))).select("doc_id", *by, "pos", F.lower("token").alias("word"))
+    counts = words.groupBy(*by, "word").agg(F.count(F.lit(1)).alias("n")).withColumn("plain", plain).withColumnRenamed("word", "form")
+    candidates = counts.select(*by, "plain", (F.row_number().over(Window.partitionBy(*by, "plain").orderBy(F.desc("n"), "form")) - 1).alias("idx"), "form")
+    total = counts.groupBy(*by).agg(F.sum("n").alias("total"))  # one row for each value of by
+    forms = counts.groupBy(*by, "form").agg(F.sum("n").alias("n"))
+    unigrams = (forms.join(F.broadcast(total), list(by)) if by else forms.crossJoin(F.broadcast(total))).select(*by, "form", F.log(F.col("n") / F.col("total")).alias("logp"))
+    pairs = words.withColumn("prev", F.lag("word").over(Window.partitionBy("doc_id").orderBy("pos"))).where("prev is not null").groupBy(*by, "prev", F.col("word").alias("cur")).agg(F.count(F.lit(1)).alias("n"))
+    transitions = pairs.join(forms.select(*by, F.col("form").alias("prev"), F.col("n").alias("m")), [*by, "prev"]).select(*by, "prev", "cur", F.log(F.col("n") / F.col("m")).alias("logp"))
     return candidates, unigrams, transitions
 
 
@@ -124,17 +128,17 @@ def best_path(words: list[str], candidates: dict[str, list[str]], unigrams: dict
     return out[::-1]
 
 
-def viterbi_decode(docs: DataFrame, candidates: DataFrame, unigrams: DataFrame, transitions: DataFrame) -> DataFrame:
-    """(doc_id, restored): one chain a text. Each text meets only the entries of its own words, so no table is sent to every worker."""
-    placed = _placed_words(docs).withColumn("word", F.when(is_word(F.col("token")), F.lower("token")))
-    own = placed.where("word is not null").select("doc_id", "word").distinct()
-    forms = own.join(candidates, F.col("word") == F.col("plain"), "left").select("doc_id", "word", F.coalesce("idx", F.lit(0)).alias("idx"), F.coalesce("form", "word").alias("form"))
-    with_p = forms.join(unigrams, "form", "left")
+def viterbi_decode(docs: DataFrame, candidates: DataFrame, unigrams: DataFrame, transitions: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, restored): one chain a text. Each text meets only the entries of its own words, so no table is sent to every worker; with by, those of its own values there."""
+    placed = _placed_words(docs, by).withColumn("word", F.when(is_word(F.col("token")), F.lower("token")))
+    own = placed.where("word is not null").select("doc_id", *by, "word").distinct()
+    forms = own.join(candidates.withColumnRenamed("plain", "word"), [*by, "word"], "left").select("doc_id", *by, "word", F.coalesce("idx", F.lit(0)).alias("idx"), F.coalesce("form", "word").alias("form"))
+    with_p = forms.join(unigrams, [*by, "form"], "left")
     cand = with_p.groupBy("doc_id").agg(F.collect_list(F.struct("word", "idx", "form", "logp")).alias("forms"))
-    nexts = placed.where("word is not null").withColumn("prev_word", F.lag("word").over(Window.partitionBy("doc_id").orderBy("pos"))).where("prev_word is not null").select("doc_id", "prev_word", "word").distinct()
-    left = forms.select("doc_id", F.col("word").alias("prev_word"), F.col("form").alias("prev"))
-    right = forms.select("doc_id", "word", F.col("form").alias("cur"))
-    steps = nexts.join(left, ["doc_id", "prev_word"]).join(right, ["doc_id", "word"]).select("doc_id", "prev", "cur").distinct().join(transitions, ["prev", "cur"]).groupBy("doc_id").agg(F.collect_list(F.struct("prev", "cur", "logp")).alias("steps"))
+    nexts = placed.where("word is not null").withColumn("prev_word", F.lag("word").over(Window.partitionBy("doc_id").orderBy("pos"))).where("prev_word is not null").select("doc_id", *by, "prev_word", "word").distinct()
+    left = forms.select("doc_id", *by, F.col("word").alias("prev_word"), F.col("form").alias("prev"))
+    right = forms.select("doc_id", *by, "word", F.col("form").alias("cur"))
+    steps = nexts.join(left, ["doc_id", *by, "prev_word"]).join(right, ["doc_id", *by, "word"]).select("doc_id", *by, "prev", "cur").distinct().join(transitions, [*by, "prev", "cur"]).groupBy("doc_id").agg(F.collect_list(F.struct("prev", "cur", "logp")).alias("steps"))
     toks = docs.select("doc_id", tokens(F.col("text")).alias("tokens"))
 
     @F.pandas_udf("array<string>")

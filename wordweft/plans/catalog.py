@@ -250,6 +250,14 @@ def _marked(spark, sf_dir, lang):
     return _docs(spark, sf_dir).where(F.col("lang") == lang)
 
 
+BY = ("lang",)
+
+
+def _by_lang(spark, sf_dir):
+    """All documents; those of unknown language share one model."""
+    return _docs(spark, sf_dir).withColumn("lang", F.coalesce("lang", F.lit("und")))
+
+
 @query
 def diac_tokenize(spark, sf_dir):
     counted = _docs(spark, sf_dir).select("doc_id", F.explode(restoration.tokens(F.col("text"))).alias("token")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("tokens"), F.sum(restoration.is_word(F.col("token")).cast("long")).alias("words"))
@@ -258,28 +266,28 @@ def diac_tokenize(spark, sf_dir):
 
 @query
 def knn_train(spark, sf_dir):
-    model = restoration.knn_train(_marked(spark, sf_dir, "es"), unicode.strip_native(F.col("word")))
-    return model.where("width = 5").select("ctx", "out")
+    return restoration.knn_train(_by_lang(spark, sf_dir), unicode.strip_native(F.col("word")), BY).select("lang", F.col("width").cast("long").alias("width"), "ctx", "out")
 
 
 @query
 def knn_decode(spark, sf_dir):
-    docs = _marked(spark, sf_dir, "es")
-    model = restoration.knn_train(docs, unicode.strip_native(F.col("word")))
-    return restoration.knn_decode(docs.select("doc_id", unicode.strip_native(F.col("text")).alias("text")), model, "aeioun")
+    docs = _by_lang(spark, sf_dir)
+    model = restoration.knn_train(docs, unicode.strip_native(F.col("word")), BY)
+    targets = F.when(F.col("lang") == "es", "aeioun").when(F.col("lang") == "fr", "aceiouy").when(F.col("lang") == "de", "aou").otherwise("aceinouy")
+    return restoration.knn_decode(docs.select("doc_id", "lang", unicode.strip_native(F.col("text")).alias("text")), model, targets, BY)
 
 
 @query
 def viterbi_unigrams(spark, sf_dir):
-    _, unigrams, _ = restoration.viterbi_train(_marked(spark, sf_dir, "es"), unicode.strip_native(F.col("word")))
-    return unigrams.select("form", _rounded(F.col("logp")).alias("logp"))
+    _, unigrams, _ = restoration.viterbi_train(_by_lang(spark, sf_dir), unicode.strip_native(F.col("word")), BY)
+    return unigrams.select("lang", "form", _rounded(F.col("logp")).alias("logp"))
 
 
 @query
 def viterbi_decode(spark, sf_dir):
-    docs = _marked(spark, sf_dir, "fr")
-    tables = restoration.viterbi_train(docs, unicode.strip_native(F.col("word")))
-    return restoration.viterbi_decode(docs.select("doc_id", unicode.strip_native(F.col("text")).alias("text")), *tables)
+    docs = _by_lang(spark, sf_dir)
+    tables = restoration.viterbi_train(docs, unicode.strip_native(F.col("word")), BY)
+    return restoration.viterbi_decode(docs.select("doc_id", "lang", unicode.strip_native(F.col("text")).alias("text")), *tables, BY)
 
 
 @query
