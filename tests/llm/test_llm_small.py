@@ -156,11 +156,14 @@ def test_chat_format_reads_back(spark):
 # ---------------------------------------------------------------- 7
 
 
-def classes_by_brute_force(texts):
+def classes_by_brute_force(texts, names=None):
+    """Least name of each text's component; links are weighted similarities of 0.8 or more."""
+
     def shingles(t):
         w = (t or "").encode().split()
-        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+        return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
 
+    names = list(range(len(texts))) if names is None else names
     sets, root = [shingles(t) for t in texts], list(range(len(texts)))
 
     def find(x):
@@ -170,21 +173,55 @@ def classes_by_brute_force(texts):
 
     for i in range(len(texts)):
         for j in range(i):
-            n = len(sets[i] & sets[j])
-            if (texts[i] or "") == (texts[j] or "") or n and n >= 0.8 * (len(sets[i]) + len(sets[j]) - n):
+            n = (sets[i] & sets[j]).total()
+            if (texts[i] or "") == (texts[j] or "") or n and n >= 0.8 * (sets[i].total() + sets[j].total() - n):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
-    return {i: find(i) for i in range(len(texts))}
+    least = {}
+    for i, name in enumerate(names):
+        least[find(i)] = min(least.get(find(i), name), name)
+    return [least[find(i)] for i in range(len(texts))]
 
 
 def test_near_duplicates(spark, texts):
-    docs = documents(spark, texts, class_id=["x"] * len(texts))
-    assert {r.doc_id: r.class_id for r in dart_minhash.near_duplicates(docs).collect()} == classes_by_brute_force(texts)
-    twice = dart_minhash.near_duplicates(docs.union(docs.limit(3)).union(spark.createDataFrame([(None, "a b", "x")], docs.schema)))
-    assert twice.count() == len(texts) + 4 and twice.where("doc_id is null").first().class_id is None
+    own = [*texts, "again and again it says " * 40, "again and again it says " * 48, "again and again it says " * 70]
+    docs = documents(spark, own, class_id=["x"] * len(own))
+    assert {r.doc_id: r.class_id for r in dart_minhash.near_duplicates(docs).collect()} == dict(enumerate(classes_by_brute_force(own)))
+    twice = dart_minhash.near_duplicates(docs.union(docs.limit(3)).union(spark.createDataFrame([(None, "a b", "x"), (None, "b c", "x")], docs.schema)))
+    assert twice.count() == len(own) + 5 and sorted(str(r.class_id) for r in twice.where("doc_id is null").collect()) == sorted(["None", str(own.index("a b"))])
     assert dart_minhash.near_duplicates(docs.where("false")).count() == 0
 
 
+def test_different_texts_with_one_key_stay_apart(spark, texts):
+    rng = random.Random(17)
+    own = [t for t in texts if t] + [prose(rng, 100) for _ in range(20)]
+    names = [i // 2 for i in range(len(own))]
+    docs = spark.createDataFrame(list(zip(names, own, ["x"] * len(own), strict=True)), "doc_id long, text string, extra string")
+    wanted = classes_by_brute_force(own, names)
+    got = dart_minhash.near_duplicates(docs).collect()
+    assert sorted((r.doc_id, r.class_id) for r in got) == sorted(zip(names, wanted, strict=True))
+    kept = dart_minhash.first_of_each(docs.union(docs.limit(7))).collect()
+    parts = classes_by_brute_force(own)
+    assert len(kept) == len(set(parts)) and {parts[own.index(r.text)] for r in kept} == set(parts)
+    assert dart_minhash.first_of_each(docs.where("false")).count() == 0
+
+
+def test_undecided_pairs_lose_no_link(spark):
+    # Copies of one text, each changed at its own places: nearer to each other than to anything else, some above and some below 0.8.
+    rng = random.Random(18)
+    base = prose(rng, 150).split()
+    own = [" ".join(f"x{rng.random()}" if rng.random() < share else w for w in base) for share in (0.01, 0.02, 0.03, 0.05) for _ in range(40)]
+    wanted = classes_by_brute_force(own)
+    assert 1 < len(set(wanted)) < len(own)
+    assert [r.class_id for r in sorted(dart_minhash.near_duplicates(documents(spark, own)).collect())] == wanted
+    # The exact filter alone, every text a component of its own: it must meet every similar pair.
+    sets = spark.createDataFrame([(i, dart_minhash.numbered(*dart_minhash.shingles(t)).view(np.int64).tolist()) for i, t in enumerate(own)], "id long, s array<long>")
+    met = {tuple(r) for r in dart_minhash.across(sets.select("id", F.size("s").cast("long").alias("n"), F.col("id").alias("label")), sets, 0.8).collect()}
+    have = {r.id: set(r.s) for r in sets.collect()}
+    near = {(i, j) for j in have for i in range(j) if len(have[i] & have[j]) >= 0.8 * len(have[i] | have[j])}
+    assert near and near <= met and len(met) < 0.8 * len(own) * (len(own) - 1) / 2
+
+
 def test_dart_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 2**63, 500).astype(np.uint64)

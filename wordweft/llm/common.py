@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -26,10 +27,17 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda w: w != "")
 
 
+def digest(text: Column) -> Column:
+    """16 bytes that name a text; null counts as empty."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """Where written intermediate tables go: the folder that the cluster names, else one of this machine's own, for tests."""
+    """Where written intermediate tables go: the folder that spark.checkpoint.dir names. Only a session without a cluster gets one of its own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="wordweft-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named

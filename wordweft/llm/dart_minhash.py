@@ -6,14 +6,15 @@ the element's weight are real; the earliest in rank for each of K coordinates ma
 agree in a coordinate with the probability of their weighted Jaccard similarity. Sparse sets need no more darts than dense
 ones: ranks are searched only up to a limit that grows until every coordinate has a dart.
 
-Signatures are banded. In each bucket every member is linked to the bucket's least document - a star, not all pairs -
-and links are verified by exact Jaccard similarity of shingle sets. Connected components follow. What a star can't decide,
-pairs of different components that share a bucket and whose sizes allow the similarity, is then joined and verified too,
-so no capped bucket hides a link. Copies of a text are one node throughout.
-
-Defined results: shingles are runs of five words, a text of fewer words has one shingle of all its words; null and empty texts
-and texts of white space only are near-duplicates of their exact copies only, null and empty counting as copies; repeated rows fall into one class;
-extra columns are ignored; classes are named by their least doc_id.
+Elements are shingles weighted by how often they occur in the text, so similarity is the weighted one: the sum of the lesser counts over the
+sum of the greater. Signatures are banded: ROWS coordinates agree in one of BANDS bands. In each bucket every member is linked to one
+node - a star, not all pairs - and links are verified exactly. Connected components follow. What stars can't decide, members of one
+bucket in different components whose sizes allow the similarity, goes through an exact prefix filter
+(`across`) and is verified too, so no bucket is capped and no link hidden. Copies of a text are one node throughout.
+
+Defined results: shingles are runs of five words, a text of fewer words has one shingle of all its words; null and empty texts are copies
+of each other and, like texts of white space only, near-duplicates of their exact copies only; repeated rows fall into one class; different
+texts with one key are different nodes; extra columns are ignored; classes are named by their least key, null if no member has one.
 """
 
 from __future__ import annotations
@@ -26,9 +27,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordweft.llm.common import cut, drop
+from wordweft.llm.common import cut, digest, drop
 
-ROWS, BANDS = 8, 64
+ROWS, BANDS = 5, 50
 K = ROWS * BANDS
 SIZE = 5
 SIMILARITY = 0.8
@@ -66,14 +67,14 @@ def _poisson_table(area: float) -> np.ndarray:
     return np.cumsum(np.exp(logs))
 
 
-def shingles(text: str | None, size: int = SIZE) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the runs of `size` words; words are split at the six ASCII white spaces."""
+def shingles(text: str | None, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct 64-bit hashes of the runs of `size` words, and how often each occurs; words are split at the six ASCII white spaces."""
     words = text.encode("utf-8", "surrogatepass").split() if text else []
     if not words:
-        return np.empty(0, dtype=np.uint64)
+        return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
     h = xxhash.xxh3_64_intdigest
     if len(words) < size:
-        return np.array([h(b" ".join(words))], dtype=np.uint64)
+        return np.array([h(b" ".join(words))], dtype=np.uint64), np.ones(1, dtype=np.int64)
     own = {w: h(w) for w in set(words)}
     v = np.array([own[w] for w in words], dtype=np.uint64)
     n = len(v) - size + 1
@@ -81,7 +82,16 @@ def shingles(text: str | None, size: int = SIZE) -> np.ndarray:
     with np.errstate(over="ignore"):
         for i in range(size):
             out = mix((out + v[i : i + n]) * _GOLD + np.uint64(i + 1))
-    return np.unique(out)
+    return np.unique(out, return_counts=True)
+
+
+def numbered(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A hash for each occurrence: the j-th of a shingle in one text equals the j-th in another, so sets of these have the weighted similarity."""
+    again = counts.cumsum()
+    nth = np.arange(again[-1] if len(again) else 0) - np.repeat(again - counts, counts)
+    every = np.repeat(hashes, counts)
+    with np.errstate(over="ignore"):
+        return np.where(nth > 0, mix(every + nth.astype(np.uint64) * _GOLD), every)
 
 
 def dart_signatures(sets: list[np.ndarray], weights: list[np.ndarray] | None = None, k: int = K) -> np.ndarray:
@@ -95,6 +105,7 @@ def dart_signatures(sets: list[np.ndarray], weights: list[np.ndarray] | None = N
     of = np.repeat(np.arange(len(sets)), sizes)
     elements = mix(np.concatenate(sets)) if len(of) else np.empty(0, dtype=np.uint64)
     w = np.concatenate(weights) if weights is not None and len(of) else np.ones(len(of))
+    light = len(w) and w.min() < 1  # else all darts of the first weight cell are real
     lo, bits = 0.0, np.uint64(32)
     for step, hi in enumerate(rank_limits()):
         if not len(of):
@@ -108,7 +119,7 @@ def dart_signatures(sets: list[np.ndarray], weights: list[np.ndarray] | None = N
                 which = np.repeat(np.arange(len(pick)), n)
                 nth = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
                 dart = mix(seed[which] + (nth.astype(np.uint64) + np.uint64(1)) * _M1)
-                if weights is not None:
+                if weights is not None and (level or light):
                     real = low + wide * _unit(mix(dart ^ _M2)) < w[pick][which]
                     dart, which = dart[real], which[real]
                 coordinate = ((dart >> bits) * np.uint64(k)) >> bits
@@ -144,31 +155,70 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, a 128-bit digest of the text, the number of shingles and the band keys of each document."""
+    """digest, least key, rows, weight n and band keys; one row for each different text of a batch."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            digests = [xxhash.xxh3_128_digest((t or "").encode("utf-8", "surrogatepass")) for t in b[text]]
-            sizes = b[text].str.len().fillna(0)
-            for _, rows in b.assign(digest=digests).groupby(sizes.cumsum() // CHUNK, sort=False):
-                once = rows.drop_duplicates("digest")
-                sets = [shingles(t) for t in once[text]]
-                bands = _signed(band_keys(dart_signatures(sets)))
-                done = pd.DataFrame({"digest": once["digest"], "n": [len(s) for s in sets], "bands": [x if len(s) else x[:0] for x, s in zip(bands, sets, strict=True)]})
-                yield rows[[key, "digest"]].merge(done, on="digest")[[key, "digest", "n", "bands"]]
+            by = b.groupby("digest", sort=False)
+            once = pd.DataFrame({"digest": by[text].size().index, "least": by[key].min().to_numpy(), "n_rows": by[text].size().to_numpy(), text: by[text].agg(lambda x: x.iloc[0]).to_numpy()})
+            sizes = once[text].str.len().fillna(0)
+            for _, rows in once.groupby(sizes.cumsum() // CHUNK, sort=False):
+                sets = [shingles(t) for t in rows[text]]
+                bands = _signed(band_keys(dart_signatures([h for h, _ in sets], [c.astype(np.float64) for _, c in sets])))
+                n = [int(c.sum()) for _, c in sets]
+                least = [None if pd.isna(k) else k for k in rows["least"]]
+                yield pd.DataFrame({"digest": rows["digest"].to_numpy(), "least": pd.Series(least, dtype=object), "n_rows": rows["n_rows"].to_numpy(), "n": n, "bands": [x if m else x[:0] for x, m in zip(bands, n, strict=True)]})
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInPandas(sign, f"{key} {kind}, digest binary, n bigint, bands array<bigint>")
+    return docs.select(key, digest(F.col(text)).alias("digest"), text).mapInPandas(sign, f"digest binary, least {kind}, n_rows bigint, n bigint, bands array<bigint>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """pairs (a, b) with whether the exact Jaccard similarity of their shingle sets (id, s) is enough."""
+    """pairs (a, b) with whether the exact weighted Jaccard similarity of their shingles (id, s: occurrences numbered) is enough."""
     one = pairs.join(sets.withColumnsRenamed({"id": "a", "s": "sa"}), "a")
     both = one.join(sets.withColumnsRenamed({"id": "b", "s": "sb"}), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     return both.select("a", "b", (shared >= similarity * (F.size("sa") + F.size("sb") - shared) - 1e-9).alias("near"))
 
 
+def across(rest: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of nodes (id, n, label) of different labels that may be similar enough: none that is gets lost.
+
+    Nodes order their shingles by how many nodes have them, rare ones first. The first shingle that two similar nodes share stands so
+    early in both orders that enough shingles can follow; only shingles up to there are keys. How early depends on the sizes
+    of both, so the larger node of a pair has a key for each class of sizes that the smaller may have. A shingle that one node
+    alone has is no key, so nodes that differ from all others by many shingles of their own, however
+    many they are, meet nobody. Nodes of the commonest label of a key are compared with the others only.
+    """
+    share = similarity / (1 + similarity)  # of both sizes, that similar sets have in common at least
+    step = -np.log1p(-0.02)
+    size_class = lambda n: F.floor(F.log(n) / step)
+    shingle = rest.join(sets, "id").select("id", F.explode("s").alias("x"))
+    common = shingle.groupBy("x").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    ordered = shingle.join(common, "x").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("c", "x"))).alias("xs"))  # at most a text's shingles
+    n = F.col("n").cast("double")
+    at = F.col("n") - F.size("xs") + F.col("k")  # shingles before it, those that nobody else has included
+    placed = rest.join(ordered, "id").select("id", "n", "label", "xs", F.posexplode(F.slice("xs", F.lit(1), F.greatest(F.lit(0), F.floor(n * (1 - similarity) + 1e-6).cast("int") + 1 - (F.col("n") - F.size("xs")).cast("int")))).alias("k", "one"))
+    placed = placed.select("id", "n", "label", at.alias("at"), F.col("one.x").alias("x"))
+    smaller = placed.where(F.col("at") <= n * (1 - 2 * share) + 1e-6).withColumn("c", size_class(n))
+    # With a smaller partner of size m, shingles up to n - share * (n + m) before it leave room.
+    most = F.least(n, (n - F.col("at") + 1e-6) / share - n)
+    least = n * similarity - 1e-6
+    larger = placed.where(most >= least).withColumn("c", F.explode(F.sequence(size_class(F.greatest(least, F.lit(0.5))), size_class(most + 1e-6))))
+    keys = cut(smaller.withColumn("small", F.lit(True)).unionByName(larger.withColumn("small", F.lit(False))), "prefixes")
+    votes = keys.groupBy("x", "c", "label").agg(F.count(F.lit(1)).alias("v"), F.max("small").alias("s"), F.min("small").alias("l"))
+    mixed = votes.groupBy("x", "c").agg(F.max_by("label", "v").alias("top"), F.min("label").alias("low"), F.max("label").alias("high"), F.max("s").alias("s"), F.min("l").alias("l")).where("low != high and s and not l").select("x", "c", "top")
+    live = cut(keys.join(mixed, ["x", "c"]).withColumn("other", F.col("label") != F.col("top")).drop("top"), "mixed-prefixes")
+    side = lambda small, mark: live.where(F.col("small") == small).select("x", "c", *(F.col(k).alias(f"{k}_{mark}") for k in ("id", "n", "label", "at", "other")))
+    a, b = side(True, "a"), side(False, "b")
+    room = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) + 1e-6 >= share * (F.col("n_a") + F.col("n_b"))
+    fits = (F.col("label_a") != F.col("label_b")) & (F.col("n_a") <= F.col("n_b")) & (F.col("n_a") + 1e-6 >= similarity * F.col("n_b")) & room
+    met = a.where("other_a").join(b, ["x", "c"]).where(fits).unionByName(a.where("not other_a").join(b.where("other_b"), ["x", "c"]).where(fits))
+    pairs = cut(met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct(), "pairs")
+    drop(keys, live)
+    return pairs
+
+
 def components(edges: DataFrame, what: str = "labels") -> DataFrame:
     """id, label (least id of the component) of every node of edges (a, b), by least labels and pointer jumping.
 
@@ -190,46 +240,63 @@ def components(edges: DataFrame, what: str = "labels") -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """key and class_id of every row of docs; key is of type long."""
-    signed = cut(signatures(docs.where(F.col(key).isNotNull()), key, text), "signatures")
-    nodes = signed.groupBy("digest").agg(F.min(key).alias("id"), F.max("n").alias("n"), F.max("bands").alias("bands"))
-    nodes = cut(nodes, "texts")
-    # Bands are only needed of one row a text from here on.
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """A written table with one row for each different text: digest, least key, n_rows, class_id, and head: whether it is its class's representative."""
+    # Texts, not keys, are the nodes: different texts may have the same key. Ids are given once, when the table is written.
+    signed = signatures(docs, key, text).groupBy("digest").agg(F.min("least").alias("least"), F.sum("n_rows").alias("n_rows"), F.max("n").alias("n"), F.first("bands").alias("bands"))
+    nodes = cut(signed.withColumn("id", F.monotonically_increasing_id()), "texts")
     members = nodes.select("id", "n", F.explode("bands").alias("bucket"))
-    leaders = members.groupBy("bucket").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("m")).where("m > 1").select("bucket", "least")
-    shared = cut(members.join(leaders, "bucket").select("bucket", "least", "id", "n"), "buckets")
-    stars = cut(shared.where("id != least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct(), "stars")
+    leaders = members.groupBy("bucket").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1").select("bucket", "first")
+    shared = cut(members.join(leaders, "bucket").select("bucket", "first", "id", "n"), "buckets")
+    stars = cut(shared.where("id != first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct(), "stars")
 
     @F.pandas_udf("array<bigint>")
-    def sets_of(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: _signed(shingles(t)))
+    def occurrences(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: _signed(numbered(*shingles(t))))
 
     involved = stars.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    wanted = involved.join(nodes.select("id", "digest"), "id").select("id")
-    texts = docs.select(F.col(key).alias("id"), text).join(wanted, "id", "left_semi").groupBy("id").agg(F.min(text).alias(text))
-    sets = cut(texts.select("id", sets_of(text).alias("s")), "shingles")
+    wanted = nodes.join(involved, "id").select("id", F.col("digest").alias("_of"), F.col("least").alias("_key"))
+    read = docs.select(F.col(key).alias("_k"), digest(F.col(text)).alias("_d"), F.col(text).alias("text"))
+    texts = read.join(wanted, (F.col("_d") == F.col("_of")) & F.col("_k").eqNullSafe(F.col("_key"))).groupBy("id").agg(F.first("text").alias("text"))
+    sets = cut(texts.select("id", occurrences("text").alias("s")), "shingles")
     linked = cut(verified(stars, sets, similarity).where("near").select("a", "b"), "links")
     labels = components(linked)
-    # Members of one bucket in different components: the star has not compared them with each other.
+    # Members of one bucket in different components, of sizes that allow the similarity: the star has not compared them with each other.
     placed = shared.join(labels, "id", "left").select("bucket", "id", "n", F.coalesce("label", "id").alias("label"))
-    mixed = placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("n0"), F.max("n").alias("n1")).where("low != high").select("bucket")
-    rest = cut(placed.join(mixed, "bucket").withColumn("size", F.floor(F.log(F.col("n").cast("double")) / -np.log(similarity))), "mixed")
-    # Sets of enough similarity have sizes of at most one class apart.
-    left = rest.select("bucket", F.col("id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.explode(F.array(F.col("size"), F.col("size") + 1)).alias("size"))
-    right = rest.select("bucket", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), "size")
-    fits = F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-9
-    pairs = left.join(right, ["bucket", "size"]).where((F.col("la") != F.col("lb")) & fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    fresh = cut(pairs.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
-    more = cut(verified(fresh, sets, similarity).where("near").select("a", "b"), "more-links")
+    sized = placed.withColumn("size", F.floor(F.log(F.col("n").cast("double")) / -np.log(similarity))).withColumn("size", F.explode(F.array("size", F.col("size") + 1)))
+    mixed = sized.groupBy("bucket", "size").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("bucket", "size")
+    rest = cut(sized.join(mixed, ["bucket", "size"]).select("id", "n", "label").distinct(), "undecided")
+    pairs = across(rest, sets, similarity)
+    more = cut(verified(pairs.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), sets, similarity).where("near").select("a", "b"), "more-links")
     if more.limit(1).count():
         drop(labels)
         labels = components(linked.union(more), "final-labels")
-    drop(shared, stars, sets, linked, rest, fresh, more)
-    of_text = nodes.select("digest", "id").join(labels, "id", "left").select("digest", F.coalesce("label", "id").alias("class_id"))
-    known = cut(signed.select(key, "digest").join(of_text, "digest").select(key, "class_id"), "classes")
-    drop(signed, nodes, labels)
-    return known.unionByName(docs.where(F.col(key).isNull()).select(key, F.lit(None).cast("long").alias("class_id")))
+    drop(shared, stars, sets, linked, rest, pairs, more)
+    known = nodes.select("digest", "least", "n_rows", "id").join(labels, "id", "left")
+    heads = known.where(F.col("label").isNotNull()).groupBy("label").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "id")).alias("head"))
+    out = cut(
+        known.join(heads, "label", "left").select(
+            "digest", "least", "n_rows", F.when(F.col("head").isNull(), F.col("least")).otherwise(F.col("head.least")).alias("class_id"), F.coalesce(F.col("head.id") == F.col("id"), F.lit(True)).alias("head")
+        ),
+        "classes",
+    )
+    drop(nodes, labels)
+    return out
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """key and class_id of every row of docs."""
+    found = classes(docs, key, text, similarity).select(F.col("digest").alias("_of"), "class_id")
+    return docs.select(key, digest(F.col(text)).alias("_d")).join(found, F.col("_d") == F.col("_of")).select(key, "class_id")
+
+
+def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of docs that stay: of each class one row with its least key; columns must not be named _d, _of, _key or _rows."""
+    heads = classes(docs, key, text, similarity).where("head").select(F.col("digest").alias("_of"), F.col("least").alias("_key"), F.col("n_rows").alias("_rows"))
+    kept = docs.withColumn("_d", digest(F.col(text))).join(heads, (F.col("_d") == F.col("_of")) & F.col(key).eqNullSafe(F.col("_key")))
+    if heads.where("_rows > 1").limit(1).count():  # only texts that occur again can have a row with the same key again
+        kept = kept.where("_rows = 1").unionByName(kept.where("_rows > 1").dropDuplicates(["_d"]))
+    return kept.select(docs.columns)
 
 
 def op7_dart_minhash(spark, sf_dir: str) -> DataFrame:
