@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages, each written as Parquet and read again as the next one's documents.
 
 1. quality: documents that the rule ensemble rejects go; it learns from the labels outside the held-out third.
-2. near_duplicates: of each class of near-duplicates the document with the least doc_id stays; rows without doc_id stay.
+2. near_duplicates: of each class of near-duplicates one row with the least doc_id stays.
 3. repeated_strings: bytes covered by strings of 400 bytes that start elsewhere too go; a document may become empty, but stays.
 4. secrets: every span that the scan finds is replaced by a mark.
 5. packing: each document's length in words, its bucket and its batch.
@@ -46,12 +46,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    classes = dart_minhash.near_duplicates(docs.select("doc_id", "text"))
-    first = cut(classes.where("doc_id = class_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("copies")), "first-of-class")
-    kept = _packed(docs).join(first.select("doc_id"), "doc_id", "left_semi")
-    if first.where("copies > 1").limit(1).count():  # repeated rows share their doc_id
-        kept = kept.dropDuplicates(["doc_id"])
-    return _unpacked(kept, docs).unionByName(docs.where(F.col("doc_id").isNull()))
+    return _unpacked(dart_minhash.first_of_each(_packed(docs)), docs)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
