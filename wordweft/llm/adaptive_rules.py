@@ -1,10 +1,10 @@
 """Quality rules whose thresholds come from mergeable quantile sketches per language and source.
 
 Every statistic of a text is a native column expression over the whole text. A KLL sketch of each
-statistic is built per (lang, source) with map-side partial sketches, so that a hot source never
-reaches one task as rows; sketches of small groups are replaced by the merged sketch of their
-language, or of everything. A document fails where a statistic lies beyond the quartile fence
-of its group, and the fence never lies within a minimal distance from the quartile.
+statistic, over the rows that pass the base rules, is built per (lang, source) with map-side partial sketches, so that a hot source
+never reaches one task as rows; merged sketches stand for languages and for everything. A group's median and upper quantile are
+drawn towards its language's, and these towards everything's, the more the fewer rows it has. The fence lies beyond
+the upper quantile by a multiple of its distance from the median, plus a grain, about the change that one more line or word makes.
 
 Defined results: null text counts as empty (no words, base_failed); null lang or source form a group
 of their own together with the empty string; repeated rows give repeated rows; extra columns are ignored by the
@@ -25,19 +25,25 @@ SYMBOLS = "#*$%&|<>"
 
 @dataclass(frozen=True)
 class Fence:
-    """reach: times the interquartile range beyond the quartile; slack: the least distance; lower: whether low values fail too."""
+    """level: the upper quantile; reach: times its distance from the median; grain: added to it; lower: whether low values fail too."""
 
     stat: str
+    level: float
     reach: float
-    slack: float
+    grain: float
     lower: bool = False
 
+    @property
+    def levels(self) -> tuple[float, ...]:
+        return (0.5, self.level, 1 - self.level) if self.lower else (0.5, self.level)
 
+
+#: Junk with symbols can be a quarter of a source; repeats are found in good texts too, so only a group's last hundredth sets their fences.
 FENCES = (
-    Fence("symbols_per_word", 6.0, 0.20),
-    Fence("dup_line_share", 6.0, 0.30),
-    Fence("repeat_word_share", 6.0, 0.30),
-    Fence("chars_per_word", 6.0, 3.0, lower=True),
+    Fence("symbols_per_word", 0.75, 6.0, 0.10),
+    Fence("dup_line_share", 0.99, 0.5, 0.05),
+    Fence("repeat_word_share", 0.99, 0.5, 0.05),
+    Fence("chars_per_word", 0.75, 6.0, 0.25, lower=True),
 )
 
 
@@ -98,31 +104,36 @@ def text_stats(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
     )
 
 
-def group_fences(stats: DataFrame, fences: tuple[Fence, ...] = FENCES, least_rows: int = 200, k: int = 400) -> DataFrame:
-    """Per (lang, source): low and high fence of each statistic, from the smallest of group, language and whole whose rows reach least_rows."""
+def base_failed() -> Column:
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
+def group_fences(stats: DataFrame, fences: tuple[Fence, ...] = FENCES, lean: int = 200, k: int = 2000) -> DataFrame:
+    """Per (lang, source): low and high fence of each statistic. A group of `lean` rows stands halfway between its own quantiles and its language's."""
     sketches = stats.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *(F.kll_sketch_agg_double(f.stat, F.lit(k)).alias(f.stat) for f in fences))
     merged = lambda by: sketches.groupBy(*by).agg(F.sum("n").alias("n"), *(F.kll_merge_agg_double(f.stat, F.lit(k)).alias(f.stat) for f in fences))
     per_lang, whole = merged(["lang"]), merged([])
     up = lambda df, mark: df.withColumnsRenamed({c: f"{c}_{mark}" for c in ["n", *(f.stat for f in fences)]})
     wide = sketches.join(up(per_lang, "lang"), "lang").crossJoin(F.broadcast(up(whole, "all")))  # one row
+    of = lambda f, level, mark: F.kll_sketch_get_quantile_double(F.col(f.stat + mark), F.lit(level))
+    drawn = lambda own, n, wider: (own * F.col(n) + wider * lean) / (F.col(n) + lean)
     out = [F.col("lang"), F.col("source")]
     for f in fences:
-        chosen = F.when(F.col("n") >= least_rows, F.col(f.stat)).when(F.col("n_lang") >= least_rows, F.col(f"{f.stat}_lang")).otherwise(F.col(f"{f.stat}_all"))
-        q1, q3 = (F.kll_sketch_get_quantile_double(chosen, F.lit(q)) for q in (0.25, 0.75))
-        reach = F.greatest((q3 - q1) * f.reach, F.lit(f.slack))
-        out += [(q3 + reach).alias(f"{f.stat}_high"), ((q1 - reach) if f.lower else F.lit(float("-inf"))).alias(f"{f.stat}_low")]
+        q = {level: drawn(of(f, level, ""), "n", drawn(of(f, level, "_lang"), "n_lang", of(f, level, "_all"))) for level in f.levels}
+        middle = q[0.5]
+        out.append((q[f.level] + (q[f.level] - middle) * f.reach + f.grain).alias(f"{f.stat}_high"))
+        out.append((q[1 - f.level] - (middle - q[1 - f.level]) * f.reach - f.grain if f.lower else F.lit(float("-inf"))).alias(f"{f.stat}_low"))
     return wide.select(*out)
 
 
 def judge(docs: DataFrame, fences: tuple[Fence, ...] = FENCES, text: str = "text", salts: int = 64) -> DataFrame:
     """Statistics, base_failed, the failed fences and kept, for every row of docs (doc_id, lang, source and the text)."""
-    stats = cut(text_stats(docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), text), text), "rule-stats")
-    # A hot group is dealt over all salts; the fences, a few numbers a group, are repeated for each salt.
-    limits = group_fences(stats, fences).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    joined = stats.withColumn("salt", F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(salts)).cast("int")).join(limits, ["lang", "source", "salt"])
+    stats = cut(text_stats(docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), text), text), "rule-stats").withColumn("base_failed", base_failed())
+    # A hot group is dealt over all salts; the fences, a few numbers a group, are repeated for each salt. Groups without fences have no row that passes the base.
+    limits = group_fences(stats.where("not base_failed"), fences).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    joined = stats.withColumn("salt", F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(salts)).cast("int")).join(limits, ["lang", "source", "salt"], "left")
     failed = F.filter(F.array(*(F.when((F.col(f.stat) > F.col(f"{f.stat}_high")) | (F.col(f.stat) < F.col(f"{f.stat}_low")), F.lit(f.stat)) for f in fences)), lambda x: x.isNotNull())
-    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return joined.withColumn("failed", failed).withColumn("base_failed", base).withColumn("kept", ~base & (F.size("failed") == 0)).drop("salt")
+    return joined.withColumn("failed", failed).withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0)).drop("salt")
 
 
 def op2_adaptive_rules(spark, sf_dir: str) -> DataFrame:
