@@ -1,22 +1,24 @@
 """Secret scans: fixed patterns, and a battery of randomness tests with false-discovery control.
 
 Patterns give the base spans. Candidates of the battery are runs of at least LEAST encoding characters. For each, an encoding
-is inferred from the characters it has, and three statistics are compared with what words of a language would give:
-the chi-squared distance of its characters from the uniform alphabet, the number of runs of character classes, and the
-serial correlation of vowels. Their combined normal score gives a p-value of "this is text". Over the whole
-table, p-values are counted by length class in bins of bounded number, and in each length class the Benjamini-Hochberg
-procedure at RATE decides which candidates are secrets; so short tokens do not borrow from long ones.
+is inferred from the characters it has, and three statistics are compared with what words, names and numbers written in
+that encoding give: the chi-squared distance of its characters from the uniform alphabet, the number of runs of character
+classes, and the serial correlation of one class. Classes are vowels and consonants where all letters have one case, else the
+kinds of characters; random letters change class less often than words, random mixtures more often. The combined normal score gives
+a p-value of "this is text". Over the whole table, p-values are counted by length class in bins of bounded number, and in each length
+class the Benjamini-Hochberg procedure at RATE decides which candidates are secrets; so short tokens do not borrow from long ones.
 
 Positions are code points, ends exclusive. Positions of matches follow from the texts between them, so all runs in the JVM.
 
 Defined results: null and empty texts have no spans; repeated rows give repeated rows and count as often in the control;
-a candidate inside a base span is not added again; an empty table gives an empty result; kept columns must not be
-named n_assign, n_access, n_hex, base or candidates.
+a candidate inside a base span is not added again; an empty table gives an empty result; kept columns whose names are those of
+results (RESULTS) are refused with ValueError, all others travel along.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,11 +33,38 @@ PATTERNS = (
 )
 KINDS = (*(p[0] for p in PATTERNS), "random")
 LEAST = 20
-RATE = 0.001
+RATE = 0.01
 #: Length classes: from these lengths on.
 CLASSES = (20, 24, 32, 48, 96)
 BINS = 400
+
+
+@dataclass(frozen=True)
+class Encoding:
+    """What text in an encoding looks like, measured on words, identifiers, paths and numbers and rounded.
+
+    share: of pairs of places that have one character; change: of neighbours in different classes; serial: correlation of neighbours. Spreads are
+    for one character and fall with the root of the length. spread: of the sum of the three scores, which are not independent.
+    """
+
+    pattern: str
+    letters: int
+    share: tuple[float, float]
+    change: tuple[float, float]
+    serial: tuple[float, float]
+    spread: float
+
+
+#: Fixed values, the first whose pattern holds counts. Random strings have a lesser share; of one case they change class less often, else more often.
+ENCODINGS = (
+    Encoding("^(?:[A-Z]?[a-z]+|[A-Z]+)$", 26, (0.065, 0.115), (0.60, -0.72), (-0.32, 0.95), 2.0),
+    Encoding("^(?:[0-9a-f]+|[0-9A-F]+)$", 16, (0.115, 0.25), (0.20, 0.70), (0.30, -1.0), 1.5),
+    Encoding("^[A-Z2-7]+=*$", 32, (0.070, 0.14), (0.20, 0.60), (-0.30, 1.0), 1.5),
+    Encoding("^(?:[a-z0-9]+|[A-Z0-9]+)$", 36, (0.060, 0.12), (0.20, 0.55), (-0.30, 1.0), 1.5),
+    Encoding("", 64, (0.048, 0.10), (0.30, 0.50), (-0.28, 1.0), 1.5),
+)
 _RUN = rf"[A-Za-z0-9+/_=-]{{{LEAST},}}"
+RESULTS = ("n_assign", "n_access", "n_hex", "base", "spans", "candidates", "least")
 _SPAN = "struct<start:int,kind:int,end:int>"
 
 
@@ -77,34 +106,39 @@ def base_spans(text: Column) -> list[Column]:
 
 def text_surprise(token: Column) -> Column:
     """-log10 of the p-value of `token is made of words`, 0 or more."""
-    share, cubes, changes, serial = 0.065, 0.0052, 0.10, -0.35  # of letters in European languages, rounded
-
-    def tests(c: Column) -> Column:
+    own = len(ENCODINGS) - 1
+    which = F.lit(own)
+    for i in range(own - 1, -1, -1):
+        which = F.when(token.rlike(ENCODINGS[i].pattern), i).otherwise(which)
+    vowel = lambda x: F.lower(x).isin("a", "e", "i", "o", "u").cast("int")
+    kind = lambda x: F.when(x.between("a", "z"), 1).when(x.between("A", "Z"), 2).when(x.between("0", "9"), 3).otherwise(4)
+
+    def tests(c: Column, e: Column) -> Column:
         n = F.size(c).cast("double")
-        k = F.when(token.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), 16.0).when(token.rlike("^[A-Z2-7]+=*$"), 32.0).when(token.rlike("^[a-z]+$|^[A-Z]+$"), 26.0).otherwise(64.0)
+        of = lambda value: F.get(F.array(*(F.lit(float(value(x))) for x in ENCODINGS)), e)
+        classes = F.when(e == 0, F.transform(c, vowel)).otherwise(F.transform(c, kind))
+        marks = F.when(e == 1, F.transform(c, lambda x: x.between("0", "9").cast("int"))).otherwise(F.transform(c, vowel))
         squares = F.aggregate(F.array_distinct(c), F.lit(0.0), lambda a, x: a + F.pow(F.size(F.filter(c, lambda y: y == x)).cast("double"), F.lit(2.0)))
-        kind = lambda x: F.when(x.between("a", "z"), 1).when(x.between("A", "Z"), 2).when(x.between("0", "9"), 3).otherwise(4)
-        turns = F.size(F.filter(c, lambda x, i: (i > 0) & (kind(x) != kind(F.get(c, i - 1))))).cast("double")
-        vowel = lambda x: F.lower(x).isin("a", "e", "i", "o", "u").cast("double")
-        vowels = F.aggregate(c, F.lit(0.0), lambda a, x: a + vowel(x))
-        both = F.size(F.filter(c, lambda x, i: (i > 0) & (vowel(x) > 0) & (vowel(F.get(c, i - 1)) > 0))).cast("double")
-        return let(
-            F.struct(n.alias("n"), k.alias("k"), squares.alias("squares"), turns.alias("turns"), (vowels / n).alias("v"), (both / (n - 1)).alias("vv")),
-            lambda s: let(
-                (
-                    (s["k"] * (1 - share) + s["n"] * (s["k"] * share - 1) - (s["k"] / s["n"] * s["squares"] - s["n"])) / (s["k"] * F.sqrt(4 * s["n"] * (cubes - share**2) + 2 * share))
-                    + (s["turns"] - (s["n"] - 1) * changes) / F.sqrt((s["n"] - 1) * changes * (1 - changes))
-                    + F.when((s["v"] > 0) & (s["v"] < 1), ((s["vv"] - s["v"] * s["v"]) / (s["v"] * (1 - s["v"])) - serial) * F.sqrt(s["n"])).otherwise(0.0)
-                )
-                / math.sqrt(3),
-                # The tail of the normal distribution by Sampford's bound, which is on the safe side.
-                lambda z: F.when(
-                    z > 0, F.greatest(F.lit(0.0), z * z / 2 * math.log10(math.e) + math.log10(math.sqrt(2 * math.pi)) - F.log10(4 / (3 * z + F.sqrt(z * z + 8))))
-                ).otherwise(0.0),
-            ),
-        )
+        turns = let(classes, lambda k: F.size(F.filter(k, lambda x, i: (i > 0) & (x != F.get(k, i - 1)))).cast("double"))
+        held = let(marks, lambda m: F.struct(F.aggregate(m, F.lit(0), lambda a, x: a + x).alias("one"), F.size(F.filter(m, lambda x, i: (i > 0) & (x == 1) & (F.get(m, i - 1) == 1))).alias("two")))
+        # Chi-squared is k / n times the squares, less n; among texts it is as the share of equal pairs has it.
+        chi = of(lambda x: x.letters) / n * squares - n
+        text_chi = of(lambda x: x.letters) * (1 + (n - 1) * of(lambda x: x.share[0])) - n
+        chi_spread = of(lambda x: x.letters) * (n - 1) * of(lambda x: x.share[1]) / F.sqrt(n)
+
+        def serial(v: Column) -> Column:
+            r = (v["vv"] - v["v"] * v["v"]) / (v["v"] * (1 - v["v"]))
+            return F.when((v["v"] > 0) & (v["v"] < 1), (r - of(lambda x: x.serial[0])) / of(lambda x: x.serial[1]) * F.sqrt(n)).otherwise(0.0)
+
+        score = (
+            (text_chi - chi) / chi_spread
+            + (turns / (n - 1) - of(lambda x: x.change[0])) / of(lambda x: x.change[1]) * F.sqrt(n)
+            + let(held, lambda h: let(F.struct((h["one"] / n).alias("v"), (h["two"] / (n - 1)).alias("vv")), serial))
+        ) / of(lambda x: x.spread)
+        # The tail of the normal distribution by Sampford's bound, which is on the safe side.
+        return let(score, lambda z: F.when(z > 0, F.greatest(F.lit(0.0), z * z / 2 * math.log10(math.e) + math.log10(math.sqrt(2 * math.pi)) - F.log10(4 / (3 * z + F.sqrt(z * z + 8))))).otherwise(0.0))
 
-    return let(F.filter(F.split(token, ""), lambda x: x != ""), tests)
+    return let(F.struct(F.filter(F.split(token, ""), lambda x: x != "").alias("c"), which.alias("e")), lambda s: tests(s["c"], s["e"]))
 
 
 def analyse(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
@@ -138,6 +172,8 @@ def thresholds(analysed: DataFrame, rate: float = RATE) -> DataFrame:
 
 def scan(docs: DataFrame, keep: list[str], text: str = "text", rate: float = RATE) -> DataFrame:
     """keep, counts by kind, base and spans: arrays of (start, kind, end), kind being a place in KINDS."""
+    if clash := sorted({*keep} & {*RESULTS}):
+        raise ValueError(f"rename {', '.join(clash)}: results have these names")
     analysed = cut(analyse(docs, keep, text), "secret-candidates")
     accepted = F.filter("candidates", lambda c: F.coalesce(c["bin"] >= F.get(F.col("least"), c["cls"]), F.lit(False)))
     with_limits = analysed.crossJoin(F.broadcast(thresholds(analysed, rate)))  # one row
