@@ -1,9 +1,12 @@
 """Chat formatting: a finite-state machine over roles, and text segments with loss flags from a declarative template.
 
-A template names, for each role, the control string that opens its turn and whether its text counts for the loss;
-one control string closes every turn. Control strings inside texts are escaped: every backslash is doubled and every
-control string gets a backslash after its first character, so that an escaped text holds no control string; undoing
-drops one backslash from each. Roles without an entry are written out, escaped, between two markers.
+A template names, for each role, the control string that opens its turn; steps lead from a state and a role to the next
+state, and states, not roles, say whether a turn's text counts for the loss. Every turn's segments are emitted by the state that the machine
+enters with it. A role that the state has no step for is refused: the first place is reported, and the machine goes on
+from the role's own state, so that the rest is formatted and checked too. One control string closes every turn. Control strings
+inside texts are escaped: every backslash is doubled and every control string gets a backslash after its first character, so that
+an escaped text holds no control string; undoing drops one backslash from each. Roles that open nothing are
+written out, escaped, between two markers.
 
 Defined results: null text or role counts as empty; turns of a conversation are ordered by turn (null first), role, text;
 repeated rows are repeated turns; rows with a null conv_id form one conversation; extra columns are ignored. A conversation
@@ -35,6 +38,16 @@ class Template:
         """All control strings, longest first."""
         return sorted({*self.opens.values(), self.close, *self.other}, key=lambda x: (-len(x), x))
 
+    @property
+    def states(self) -> list[str]:
+        """States that turns lead to, and one for roles without any."""
+        return [*sorted({*self.steps.values()}), ""]
+
+    def entered(self, role: str) -> str:
+        """Where a refused role goes on: the state of its own name, else the first that it leads to."""
+        led = [to for (_, r), to in self.steps.items() if r == role]
+        return role if role in led else led[0] if led else ""
+
 
 #: Roles and the turn order: an optional system turn, then user and assistant by turns, ending with the assistant.
 INSTRUCT = Template(
@@ -66,26 +79,42 @@ def _opening(role: Column, template: Template) -> Column:
 
 
 def format_conversations(turns: DataFrame, template: Template = INSTRUCT) -> DataFrame:
-    """One row a conversation: segments (text, loss), formatted, loss_spans (code points, end exclusive), valid, error_at."""
-    moves = F.create_map(*(F.lit(x) for (state, role), to in template.steps.items() for x in (f"{state}>{role}", to)))
-    piece = lambda text, loss: F.struct(text.alias("text"), F.lit(loss).alias("loss"))
-
-    def segments(t: Column) -> Column:
-        learnt = t["role"].isin(*sorted(template.loss))
-        return F.array(piece(_opening(t["role"], template), False), F.struct(escape(t["text"], template).alias("text"), learnt.alias("loss")), piece(F.lit(template.close), False))
+    """One row a conversation: segments (text, loss), formatted, loss_spans (code points, end exclusive), valid, error_at.
+
+    A fold runs the machine over the turns and notes one letter a turn, for the state entered; segments follow from these letters.
+    """
+    letter = {state: chr(ord("A") + i) for i, state in enumerate(template.states)}
+    table = lambda pairs: F.create_map(*(F.lit(x) for pair in pairs for x in pair))
+    moves = table((f"{state}>{role}", to) for (state, role), to in template.steps.items())
+    resume = table((role, template.entered(role)) for role in dict.fromkeys(r for _, r in template.steps))
+    letters = table(letter.items())
+    piece = lambda text, loss: F.struct(text.alias("text"), loss.alias("loss"))
+    never = F.lit(False)
+
+    def emitted(t: Column, state: Column) -> Column:
+        learnt = state.isin(*(letter[x] for x in sorted(template.loss) if x in letter))
+        return F.array(piece(_opening(t["role"], template), never), piece(escape(t["text"], template), learnt), piece(F.lit(template.close), never))
 
     grouped = turns.select(
         "conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t")
     ).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
     walk = F.aggregate(
         "turns",
-        F.struct(F.lit(template.start).alias("state"), F.lit(0).alias("at"), F.lit(None).cast("int").alias("error_at")),
+        F.struct(F.lit(template.start).alias("state"), F.lit("").alias("path"), F.lit(None).cast("int").alias("error_at")),
         lambda s, t: let(
             F.try_element_at(moves, F.concat(s["state"], F.lit(">"), t["role"])),
-            lambda to: F.struct(F.coalesce(to, F.lit("refused")).alias("state"), (s["at"] + 1).alias("at"), F.coalesce(s["error_at"], F.when(to.isNull(), s["at"])).alias("error_at")),
+            lambda to: let(
+                F.coalesce(to, F.try_element_at(resume, t["role"]), F.lit("")),
+                lambda state: F.struct(
+                    state.alias("state"),
+                    F.concat(s["path"], F.try_element_at(letters, state)).alias("path"),
+                    F.coalesce(s["error_at"], F.when(to.isNull(), F.length(s["path"]))).alias("error_at"),
+                ),
+            ),
         ),
     )
-    built = grouped.select("conv_id", walk.alias("walk"), F.flatten(F.transform("turns", segments)).alias("segments"))
+    walked = grouped.select("conv_id", "turns", walk.alias("walk")).withColumn("path", F.split("walk.path", ""))
+    built = walked.select("conv_id", "walk", F.flatten(F.transform("turns", lambda t, i: emitted(t, F.get("path", i)))).alias("segments"))
     spans = F.aggregate(
         "segments",
         F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans")),
