@@ -73,6 +73,36 @@ def test_adaptive_rules_base(spark, texts):
     assert adaptive_rules.judge(docs.where("false")).count() == 0
 
 
+def test_thresholds_follow_the_group(spark):
+    rng = random.Random(22)
+
+    def with_repeats(n):  # 200 words, n lines of 10 said again
+        lines = [prose(rng, 10) for _ in range(20 - n)]
+        return "\n".join([*lines, *lines[:n]])
+
+    plain, noisy = [with_repeats(0) for _ in range(600)], [with_repeats(rng.randrange(6)) for _ in range(600)]
+    short, long = [prose(rng, 100) for _ in range(600)], [" ".join(w * 4 for w in prose(rng, 100).split()) for _ in range(600)]
+    groups = {"plain": plain, "noisy": noisy, "short": short, "long": long}
+    rows = [(t, g) for g, texts in groups.items() for t in texts]
+    probes = [(with_repeats(4), "plain"), (with_repeats(4), "noisy"), (long[0], "short"), (long[0], "long"), (short[0], "long")]
+    docs = spark.createDataFrame([(i, t, g, "s") for i, (t, g) in enumerate([*probes, *rows])], "doc_id long, text string, lang string, source string")
+    out = {r.doc_id: r for r in adaptive_rules.judge(docs).collect()}
+    assert [out[i].kept for i in range(5)] == [False, True, False, True, False]
+    assert out[0].failed == ["dup_line_share", "repeat_word_share"] and out[2].failed == out[4].failed == ["chars_per_word"]
+    # Sketches of so few rows are exact: fences from the quantiles themselves.
+    stats = adaptive_rules.text_stats(docs).withColumn("base_failed", adaptive_rules.base_failed()).where("not base_failed").toPandas()
+    quantile = lambda x, q: sorted(x)[max(0, int(np.ceil(q * len(x))) - 1)]
+    for limits in adaptive_rules.group_fences(spark.createDataFrame(stats)).collect():
+        own = stats[stats.lang == limits.lang]
+        for f in adaptive_rules.FENCES:
+            q = {}
+            for level in f.levels:
+                whole, mine = quantile(stats[f.stat], level), quantile(own[f.stat], level)
+                wider = (mine * len(own) + whole * 200) / (len(own) + 200)
+                q[level] = (mine * len(own) + wider * 200) / (len(own) + 200)
+            assert abs(limits[f"{f.stat}_high"] - (q[f.level] + (q[f.level] - q[0.5]) * f.reach + f.grain)) < 0.02 * (1 + f.reach)
+
+
 # ---------------------------------------------------------------- 3
 
 
@@ -116,6 +146,35 @@ def test_secret_spans(spark):
     assert secret_scan.scan(docs.where("false"), ["doc_id"]).count() == 0
 
 
+def test_base_spans_equal_regular_expressions(spark):
+    rng = random.Random(41)
+    parts = ["password", "PassWd", "api_key", "APIKEY", "token", "secret", '"', "'", " ", " ", ":", "=", "AKIA", "ABCDEFGH12345678", "0123456789abcdef", "deadbeef", "x.y-z_", "é", "ſecret", "\n", "\t", "K"]
+    own = ["".join(rng.choice(parts) for _ in range(rng.randrange(40))) for _ in range(600)]
+    got = {r.doc_id: r for r in secret_scan.scan(documents(spark, own), ["doc_id"]).withColumn("w", secret_scan.written(F.col("base"))).collect()}
+    assign = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
+    for i, t in enumerate(own):
+        spans = [(m.start(), 0, m.end()) for m in assign.finditer(t) if len(m[2]) >= 12]
+        spans += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", t) if len(m[0]) >= 18]
+        spans += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", t) if len(m[0]) >= 16]
+        assert got[i].w == ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
+
+
+def test_battery_finds_random_tokens_of_every_encoding_and_leaves_text(spark):
+    rng = random.Random(42)
+    alphabets = {"HEX": "0123456789ABCDEF", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base36": "abcdefghijklmnopqrstuvwxyz0123456789", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "lower": "abcdefghijklmnopqrstuvwxyz"}
+    random_ones = [(name, n, "".join(rng.choice(a) for _ in range(n))) for name, a in alphabets.items() for n in (20, 32, 64) for _ in range(40)]
+    words = re.findall(r"[a-z]{3,}", " ".join(x.__doc__ or "" for x in (random, re, hashlib, np, Counter)))
+    named = ["_".join(rng.choice(words) for _ in range(6)) for _ in range(200)] + ["".join(rng.choice(words) for _ in range(7)) for _ in range(200)] + ["".join(rng.choice(words).capitalize() for _ in range(6)) for _ in range(200)] + ["2024" * 6, "0" * 30, "-" * 40, "=" * 25]
+    named = [x for x in named if len(x) >= 20]
+    docs = documents(spark, [f"see {t} here" for _, _, t in random_ones] + [f"see {t} here" for t in named])
+    found = {r.doc_id: "random:" in r.w for r in secret_scan.scan(docs, ["doc_id"]).withColumn("w", secret_scan.written(F.col("spans"))).collect()}
+    rate = lambda name, n: np.mean([found[i] for i, (a, m, _) in enumerate(random_ones) if (a, m) == (name, n)])
+    assert rate("base64", 32) > 0.9 and all(rate(name, 64) > 0.7 for name in alphabets)
+    assert np.mean([found[i + len(random_ones)] for i in range(len(named))]) <= 0.01
+    with pytest.raises(ValueError):
+        secret_scan.scan(docs.withColumn("base", F.lit(1)), ["doc_id", "base"])
+
+
 # ---------------------------------------------------------------- 5
 
 
@@ -153,6 +212,24 @@ def test_chat_format_reads_back(spark):
     assert chat_format.format_conversations(turns.where("false")).count() == 0
 
 
+def test_states_not_roles_emit_segments(spark):
+    # One role, two states: a greeting is not learnt, an answer is.
+    steps = {("start", "assistant"): "greeting", ("start", "user"): "user", ("greeting", "user"): "user", ("user", "assistant"): "answer", ("answer", "user"): "user"}
+    template = chat_format.Template(opens={"user": "[U]", "assistant": "[A]"}, close="[/]", loss=frozenset({"answer"}), steps=steps, accepts=frozenset({"answer"}))
+    rows = [(1, 0, "assistant", "hello"), (1, 1, "user", "q"), (1, 2, "assistant", "a"), (2, 0, "user", "q"), (2, 1, "user", "again"), (2, 2, "assistant", "a2"), (3, 0, "tool", "x"), (3, 1, "assistant", "late")]
+    out = {r.conv_id: r for r in chat_format.format_conversations(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"), template).collect()}
+    assert [[s.text for s in out[c].segments if s.loss] for c in (1, 2, 3)] == [["a"], ["a2"], []]
+    assert [(out[c].valid, out[c].error_at) for c in (1, 2, 3)] == [(True, None), (False, 1), (False, 0)]
+    assert out[1].formatted == "[A]hello[/][U]q[/][A]a[/]"
+
+
+def test_the_machine_is_in_the_query(spark, tmp_path):
+    turns = spark.createDataFrame([(1, 0, "user", "q", "x"), (1, 1, "assistant", "a", "x")], "conv_id long, turn long, role string, text string, state string")
+    turns.write.parquet(str(tmp_path / "conversations.parquet"))
+    plan = chat_format.op6_chat_format(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "user>assistant" in plan
+
+
 # ---------------------------------------------------------------- 7
 
 
@@ -215,11 +292,16 @@ def test_undecided_pairs_lose_no_link(spark):
     assert 1 < len(set(wanted)) < len(own)
     assert [r.class_id for r in sorted(dart_minhash.near_duplicates(documents(spark, own)).collect())] == wanted
     # The exact filter alone, every text a component of its own: it must meet every similar pair.
-    sets = spark.createDataFrame([(i, dart_minhash.numbered(*dart_minhash.shingles(t)).view(np.int64).tolist()) for i, t in enumerate(own)], "id long, s array<long>")
-    met = {tuple(r) for r in dart_minhash.across(sets.select("id", F.size("s").cast("long").alias("n"), F.col("id").alias("label")), sets, 0.8).collect()}
+    every = [dart_minhash.numbered(*dart_minhash.shingles(t)) for t in own]
+    sets = spark.createDataFrame([(i, x.view(np.int64).tolist(), dart_minhash.parities(x).tolist()) for i, x in enumerate(every)], "id long, s array<long>, p array<long>")
+    keys = dart_minhash.prefixes(sets.select("id", F.size("s").cast("long").alias("n")), sets, 0.8)
+    apart = sets.select("id", F.col("id").alias("label"))
+    met = {tuple(r) for r in dart_minhash.all_pairs(dart_minhash.live_keys(keys, apart), sets, 0.8).collect()}
     have = {r.id: set(r.s) for r in sets.collect()}
     near = {(i, j) for j in have for i in range(j) if len(have[i] & have[j]) >= 0.8 * len(have[i] | have[j])}
     assert near and near <= met and len(met) < 0.8 * len(own) * (len(own) - 1) / 2
+    labels = dart_minhash.linked_across(sets.select("id", F.size("s").cast("long").alias("n")), sets, dart_minhash.cut(apart, "apart"), 0.8)
+    assert [r.label for r in sorted(labels.collect())] == wanted
 
 
 def test_dart_signatures_estimate_weighted_similarity():
@@ -248,15 +330,28 @@ def removed_by_brute_force(texts, width=400):
 
 
 def test_repeated_strings(spark, texts, monkeypatch):
-    docs = documents(spark, texts, sha256=["x"] * len(texts))
-    wanted = removed_by_brute_force(texts)
-    for most in (suffix_dedup.MOST, 1):  # with 1, keys with several segments are compared by hashes
+    rng = random.Random(8)
+    edge = prose(rng, 200)
+    # Repeats of just the width, one byte less, and of one another's parts; strings with a period; one text inside another.
+    own = [*texts, *(f"{prose(rng, 30)}|{edge[k : k + n]}|{prose(rng, 30)}" for k, n in ((0, 400), (0, 399), (1, 400), (300, 420), (310, 400), (600, 250), (600, 249), (601, 250))), "xyz" * 400, "xyz" * 170, texts[3] + " tail", "head " + texts[3]]
+    docs = documents(spark, own, sha256=["x"] * len(own))
+    for width, most in ((400, suffix_dedup.MOST), (400, 1), (250, suffix_dedup.MOST)):  # with 1, keys with several segments are compared by hashes
+        wanted = removed_by_brute_force(own, width)
         monkeypatch.setattr(suffix_dedup, "MOST", most)
-        got = {r.doc_id: r for r in suffix_dedup.remove_repeats(docs, with_text=True).collect()}
-        assert [(got[i].n_removed, got[i].n_spans, got[i].kept_sha256) for i in range(len(texts))] == [(n, s, hashlib.sha256(k).hexdigest()) for n, s, k in wanted]
+        got = {r.doc_id: r for r in suffix_dedup.remove_repeats(docs, with_text=True, width=width).collect()}
+        assert [(got[i].n_removed, got[i].n_spans, got[i].kept_sha256) for i in range(len(own))] == [(n, s, hashlib.sha256(k).hexdigest()) for n, s, k in wanted]
+        assert all((got[i].kept_text if n else own[i]) == (k.decode("utf-8", "ignore") if n else own[i]) for i, (n, _, k) in enumerate(wanted))
     assert suffix_dedup.remove_repeats(docs.where("false")).count() == 0
 
 
+def test_repeats_of_rows_without_a_key_and_with_a_shared_one(spark, texts):
+    own = [t for t in texts if t]
+    names = [None if i % 5 == 0 else i // 2 for i in range(len(own))]
+    docs = spark.createDataFrame(list(zip(names, own, strict=True)), "doc_id long, text string")
+    got = suffix_dedup.remove_repeats(docs).collect()
+    assert Counter((r.doc_id, r.n_removed, r.kept_sha256) for r in got) == Counter((k, n, hashlib.sha256(x).hexdigest()) for k, (n, _, x) in zip(names, removed_by_brute_force(own), strict=True))
+
+
 def test_suffix_array_and_prefixes():
     rng = np.random.default_rng(0)
     for _ in range(60):

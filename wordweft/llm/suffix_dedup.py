@@ -1,6 +1,6 @@
 """Repeated byte strings, found by suffix arrays of bounded blocks.
 
-Every start of a WIDTH-byte string has a key: the least hash of the GRAM-byte strings inside it. Equal strings have equal
+Every start of a WIDTH-byte string has a key: the least hash of the strings of 2/5 of that length inside it. Equal strings have equal
 keys, so starts are dealt by key, and neighbouring starts of one key travel together as a segment. Keys that occur once in the whole
 table - most - are dropped before any text moves. Segments of a key that are equal throughout are settled by counting; the
 others meet in blocks of whole keys. A block's suffix array is built in two stages: only suffixes smaller
@@ -8,7 +8,10 @@ than their successor are sorted directly, the rest is induced by scanning the bu
 which starts share WIDTH bytes. Keys with more than MOST distinct segments (a passage that very many documents
 share has one for each different neighbourhood) would outgrow a block; their strings are compared exactly by 128-bit hashes, dealt by hash.
 
-Equal texts are one node throughout. Positions are UTF-8 bytes. All occurrences are removed, the first included.
+Before any text moves, a second and finer filter looks at the segments of keys that repeat: the starts of a segment stand at given distances before
+its key's string, and for each SLICES-th of these distances a hash is taken of the bytes that all strings from there have in
+common, nearly WIDTH. Segments without a repeated hash hold no repeated string. Equal texts are one node throughout.
+Positions are UTF-8 bytes. All occurrences are removed, the first included.
 
 Defined results: null counts as empty; texts shorter than WIDTH bytes keep everything; repeated rows are separate documents, so
 what they say is repeated; extra columns are ignored; an empty table gives an empty result.
@@ -25,10 +28,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordweft.llm.common import cut, drop
+from wordweft.llm.common import cut, digest, drop
 
 WIDTH = 400
-GRAM = 160
+#: Parts of the distances between a string's start and its key's string.
+SLICES = 8
 #: Starts a segment has at most; distinct segments a key has at most in a block; bytes of a block (more if one key has more).
 LONGEST, MOST, BLOCK = 256, 2000, 400_000
 
@@ -78,8 +82,14 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return m if got == width else np.minimum(m[: len(x) - width + 1], m[width - got :])
 
 
-def runs(data: np.ndarray, width: int = WIDTH, gram: int = GRAM, longest: int = LONGEST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def gram_of(width: int) -> int:
+    """Bytes of the strings whose hashes are keys."""
+    return width * 2 // 5
+
+
+def runs(data: np.ndarray, width: int = WIDTH, longest: int = LONGEST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """keys, first starts and numbers of starts of the segments of a text of at least width bytes, and whether a key's string comes twice in its segment."""
+    gram = gram_of(width)
     h = window_hashes(data, gram)
     least = _sliding_min(h, width - gram + 1)
     change = np.flatnonzero(least[1:] != least[:-1]) + 1
@@ -95,6 +105,20 @@ def runs(data: np.ndarray, width: int = WIDTH, gram: int = GRAM, longest: int =
     return keys.view(np.int64), first, end - first, twice
 
 
+def slice_hashes(data: np.ndarray, keys: np.ndarray, first: np.ndarray, n: np.ndarray, width: int = WIDTH) -> list[np.ndarray]:
+    """For each of these segments, whose key's string comes once, the hashes of what the strings of each slice of its starts have in common."""
+    gram = gram_of(width)
+    step = max(1, (width - gram) // SLICES)
+    h, long = window_hashes(data, gram).view(np.int64), window_hashes(data, width - step + 1)
+    out = []
+    for k, f, m in zip(keys, first, n, strict=True):
+        at = f + int(np.argmax(h[f : f + m + width - gram] == k))
+        part = np.arange(max(0, at - f - m + 1) // step, (at - f) // step + 1)
+        with np.errstate(over="ignore"):
+            out.append(_mix(long[at - part * step] + (part.astype(np.uint64) + np.uint64(1)) * _M1).view(np.int64))
+    return out
+
+
 def suffix_array(data: np.ndarray, depth: int = WIDTH) -> np.ndarray:
     """Starts of all suffixes in order of their first `depth` bytes, an ended suffix before longer ones.
 
@@ -182,36 +206,51 @@ def _intervals(flags: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
 
 
-def _summaries(docs: DataFrame, key: str, text: str, carry: tuple[str, ...]) -> DataFrame:
-    """Per row: the carried columns, digest, n_bytes, sha256 of the text, and the keys of its segments (twice where the string comes twice)."""
+def _keys(texts: DataFrame, width: int) -> DataFrame:
+    """digest, least key, copies c, and the keys of the segments (twice where the string comes twice) of each different text; texts has digest, key, text."""
 
-    @F.pandas_udf("digest binary, n_bytes bigint, sha256 string, keys array<bigint>")
-    def summary(texts: pd.Series) -> pd.DataFrame:
-        out = []
-        for t in texts:
-            raw = (t or "").encode("utf-8", "surrogatepass")
-            keys = np.empty(0, dtype=np.int64)
-            if len(raw) >= WIDTH:
-                own, _, _, twice = runs(np.frombuffer(raw, dtype=np.uint8))
-                keys = np.concatenate([own, own[twice]])
-            out.append((xxhash.xxh3_128_digest(raw), len(raw), hashlib.sha256(raw).hexdigest(), keys))
-        return pd.DataFrame(out, columns=["digest", "n_bytes", "sha256", "keys"])
+    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for d, rows in b.groupby("digest", sort=False):
+                own, _, _, twice = runs(np.frombuffer(rows["text"].iloc[0].encode("utf-8", "surrogatepass"), dtype=np.uint8), width)
+                least = rows["key"].min()
+                out.append((d, None if pd.isna(least) else least, len(rows), np.concatenate([own, own[twice]])))
+            yield pd.DataFrame({"digest": [x[0] for x in out], "key": pd.Series([x[1] for x in out], dtype=object), "c": [x[2] for x in out], "keys": [x[3] for x in out]})
 
-    return docs.select(key, *carry, summary(text).alias("_s")).select(key, *carry, "_s.*")
+    kind = texts.schema["key"].dataType.simpleString()
+    return texts.mapInPandas(keyed, f"digest binary, key {kind}, c bigint, keys array<bigint>").groupBy("digest").agg(F.min("key").alias("key"), F.sum("c").alias("c"), F.first("keys").alias("keys"))
 
 
-def _segments(texts: DataFrame) -> DataFrame:
-    """digest, key, sid, first, n, bytes and twice of the segments whose key is among the text's repeated ones."""
+def _slices(texts: DataFrame, width: int) -> DataFrame:
+    """digest, c, first and slice hashes of the segments whose key is among the text's repeated ones; no hashes where the key's string comes twice."""
+
+    def sliced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for d, t, repeated, c in zip(b["digest"], b["text"], b["repeated"], b["c"], strict=True):
+                data = np.frombuffer(t.encode("utf-8", "surrogatepass"), dtype=np.uint8)
+                keys, first, n, twice = runs(data, width)
+                use = np.isin(keys, repeated)
+                once = use & ~twice
+                firsts = np.concatenate([first[once], first[use & twice]])
+                hashes = slice_hashes(data, keys[once], first[once], n[once], width) + [np.empty(0, dtype=np.int64)] * int((use & twice).sum())
+                yield pd.DataFrame({"digest": [d] * len(firsts), "c": c, "first": firsts, "hashes": hashes})
+
+    return texts.mapInPandas(sliced, "digest binary, c bigint, first int, hashes array<bigint>")
+
+
+def _segments(texts: DataFrame, width: int) -> DataFrame:
+    """digest, key, sid, first, n, bytes and twice of the segments whose first start is among the text's live ones."""
 
     def segment(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["digest", "key", "sid", "first", "n", "bytes", "twice", "c"]
         for b in batches:
             out, size = [], 0
-            for d, t, repeated, c in zip(b["digest"], b["text"], b["repeated"], b["c"], strict=True):
+            for d, t, live, c in zip(b["digest"], b["text"], b["live"], b["c"], strict=True):
                 raw = t.encode("utf-8", "surrogatepass")
-                keys, first, n, twice = runs(np.frombuffer(raw, dtype=np.uint8))
-                for i in np.flatnonzero(np.isin(keys, repeated)):
-                    s = raw[first[i] : first[i] + n[i] + WIDTH - 1]
+                keys, first, n, twice = runs(np.frombuffer(raw, dtype=np.uint8), width)
+                for i in np.flatnonzero(np.isin(first, live)):
+                    s = raw[first[i] : first[i] + n[i] + width - 1]
                     out.append((d, keys[i], xxhash.xxh3_128_digest(s), first[i], n[i], s, twice[i], c))
                     size += len(s)
                 if size > 8_000_000:
@@ -223,7 +262,7 @@ def _segments(texts: DataFrame) -> DataFrame:
     return texts.mapInPandas(segment, "digest binary, key bigint, sid binary, first int, n int, bytes binary, twice boolean, c bigint")
 
 
-def _by_blocks(segments: DataFrame) -> DataFrame:
+def _by_blocks(segments: DataFrame, width: int) -> DataFrame:
     """sid and stretches of repeated starts, for segments (key, sid, bytes, weight) with all of a key in one partition, sorted by key."""
 
     def resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -231,7 +270,7 @@ def _by_blocks(segments: DataFrame) -> DataFrame:
         size = 0
 
         def done() -> pd.DataFrame:
-            found = repeated_starts([x[2] for x in held], [x[3] for x in held])
+            found = repeated_starts([x[2] for x in held], [x[3] for x in held], width)
             return pd.DataFrame({"sid": [x[1] for x in held], "stretches": [_intervals(f) for f in found]})
 
         for b in batches:
@@ -247,7 +286,7 @@ def _by_blocks(segments: DataFrame) -> DataFrame:
     return segments.mapInPandas(resolve, "sid binary, stretches array<int>")
 
 
-def _by_hashes(segments: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _by_hashes(segments: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     """The same, and the table that was written for it, for keys with very many segments: every string's 128-bit hash meets its equals."""
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -257,7 +296,7 @@ def _by_hashes(segments: DataFrame) -> tuple[DataFrame, DataFrame]:
                 out = []
                 for s, raw in zip(rows["sid"], rows["bytes"], strict=True):
                     data = np.frombuffer(raw, dtype=np.uint8)
-                    out.append((window_hashes(data, WIDTH, 0), window_hashes(data, WIDTH, 1), s))
+                    out.append((window_hashes(data, width, 0), window_hashes(data, width, 1), s))
                 n = [len(x[0]) for x in out]
                 yield pd.DataFrame(
                     {
@@ -285,11 +324,11 @@ def _by_hashes(segments: DataFrame) -> tuple[DataFrame, DataFrame]:
     return found.select("sid", stretches("at").alias("stretches")), strings
 
 
-def _keep(raw: bytes, spans) -> tuple[list[tuple[int, int]], bytes]:
+def _keep(raw: bytes, spans, width: int) -> tuple[list[tuple[int, int]], bytes]:
     """Merged removed runs and the bytes outside them; spans are (first start, end of starts)."""
     merged: list[list[int]] = []
     for a, b in sorted((s["a"], s["b"]) for s in spans):
-        end = b + WIDTH - 1
+        end = b + width - 1
         if merged and a <= merged[-1][1]:
             merged[-1][1] = max(merged[-1][1], end)
         else:
@@ -301,35 +340,38 @@ def _keep(raw: bytes, spans) -> tuple[list[tuple[int, int]], bytes]:
     return [(a, b) for a, b in merged], b"".join([*kept, raw[at:]])
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
-    """key, the carried columns of docs, n_bytes, n_removed, n_spans, kept_sha256 of every row of docs; with_text adds kept_text, where broken UTF-8 at a cut is dropped, null if nothing is removed."""
-    rows = cut(_summaries(docs, key, text, carry), "summaries")
-    nodes = cut(rows.groupBy("digest").agg(F.count(F.lit(1)).alias("c"), F.first("keys").alias("keys")).where(F.size("keys") > 0), "repeat-nodes")
-    keyed = nodes.select("digest", "c", F.explode("keys").alias("key"))
-    often = keyed.groupBy("key").agg(F.sum("c").alias("n")).where("n > 1").select("key")
-    repeated = cut(keyed.join(often, "key").groupBy("digest").agg(F.collect_set("key").alias("repeated"), F.first("c").alias("c")), "repeated-keys")
-    drop(nodes)
-
-    @F.pandas_udf("binary")
-    def digest_of(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: xxhash.xxh3_128_digest((t or "").encode("utf-8", "surrogatepass")))
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", with_text: bool = False, carry: tuple[str, ...] = (), width: int = WIDTH) -> DataFrame:
+    """key, the carried columns of docs, n_bytes, n_removed, n_spans, kept_sha256 of every row of docs; with_text adds kept_text, where broken UTF-8 at a cut is dropped, null if nothing is removed.
 
+    Strings of `width` bytes that start twice or more are removed.
+    """
+    whole_text = F.coalesce(F.col(text), F.lit(""))
+    texts_of = docs.select(digest(F.col(text)).alias("digest"), F.col(key).alias("key"), F.col(text).alias("text")).where(F.octet_length("text") >= width)
+    nodes = cut(_keys(texts_of, width), "repeat-nodes")
+    keyed = nodes.select("digest", "c", F.explode("keys").alias("k"))
+    often = keyed.groupBy("k").agg(F.sum("c").alias("n")).where("n > 1").select("k")
+    repeated = keyed.join(often, "k").groupBy("digest").agg(F.collect_set("k").alias("repeated"))  # bounded by the text's length
     # One row for each different text: that of the least key among its copies.
-    holders = rows.where(F.col("n_bytes") >= WIDTH).groupBy("digest").agg(F.min(key).alias(key))
-    wanted = repeated.join(holders, "digest")
-    long_texts = docs.select(key, F.col(text).alias("text")).where(F.octet_length(text) >= WIDTH)
-    read = long_texts.join(wanted.withColumnRenamed("digest", "of").withColumnRenamed(key, "_k"), F.col(key).eqNullSafe(F.col("_k")))
-    texts = cut(read.where(digest_of("text") == F.col("of")).select(F.col("of").alias("digest"), "text", "repeated", "c").dropDuplicates(["digest"]), "repeat-texts")
-    drop(repeated)
-    segments = cut(_segments(texts), "segments")
+    wanted = cut(nodes.select(F.col("digest").alias("of"), F.col("key").alias("_k"), "c").join(repeated.withColumnRenamed("digest", "of"), "of"), "repeated-keys")
+    drop(nodes)
+    read = texts_of.join(wanted, (F.col("digest") == F.col("of")) & F.col("key").eqNullSafe(F.col("_k")))
+    texts = cut(read.select("digest", "text", "repeated", "c").dropDuplicates(["digest"]), "repeat-texts")
+    drop(wanted)
+    slices = cut(_slices(texts, width), "slices")
+    one = slices.select("digest", "first", "c", F.explode("hashes").alias("h"))
+    again = one.groupBy("h").agg(F.sum("c").alias("n")).where("n > 1").select("h")
+    live = one.join(again, "h").select("digest", "first").unionByName(slices.where(F.size("hashes") == 0).select("digest", "first"))
+    live = live.groupBy("digest").agg(F.collect_set("first").alias("live"))  # bounded by the text's length
+    segments = cut(_segments(texts.select("digest", "text", "c").join(live, "digest"), width), "segments")
+    drop(slices)
     distinct = segments.groupBy("key", "sid").agg(F.sum("c").alias("weight"), F.max("twice").alias("twice"), F.first("bytes").alias("bytes"))
     distinct = cut(distinct, "distinct-segments")
     places = cut(segments.select("digest", "sid", "first", "n"), "segment-places")
     drop(segments)
     by_key = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.max("twice").alias("within")).where("kinds > 1 or within").drop("within")
     unsettled = distinct.join(by_key, "key")
-    blocks = _by_blocks(unsettled.where(F.col("kinds") <= MOST).select("key", "sid", "bytes", "weight").repartition("key").sortWithinPartitions("key"))
-    hashed, *strings = _by_hashes(unsettled.where(F.col("kinds") > MOST).select("sid", "bytes", "weight"))
+    blocks = _by_blocks(unsettled.where(F.col("kinds") <= MOST).select("key", "sid", "bytes", "weight").repartition("key").sortWithinPartitions("key"), width)
+    hashed, *strings = _by_hashes(unsettled.where(F.col("kinds") > MOST).select("sid", "bytes", "weight"), width)
     whole = distinct.where("weight > 1").select("sid")
     pairs = F.transform(F.sequence(F.lit(0), (F.size("stretches") / 2).cast("int") - 1), lambda i: F.struct((F.col("first") + F.get("stretches", 2 * i)).alias("a"), (F.col("first") + F.get("stretches", 2 * i + 1)).alias("b")))
     some = places.join(blocks.unionByName(hashed).where(F.size("stretches") > 0).join(whole, "sid", "left_anti"), "sid").select("digest", F.explode(pairs).alias("s"))
@@ -343,21 +385,21 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wit
             out = []
             for d, t, s in zip(b["digest"], b["text"], b["spans"], strict=True):
                 raw = t.encode("utf-8", "surrogatepass")
-                removed, kept = _keep(raw, s)
+                removed, kept = _keep(raw, s, width)
                 row = (d, len(raw) - len(kept), len(removed), hashlib.sha256(kept).hexdigest())
                 out.append((*row, kept.decode("utf-8", "ignore")) if with_text else row)
-            yield pd.DataFrame(out, columns=["digest", *names])
+            yield pd.DataFrame(out, columns=["_of", *names])
 
-    changed = cut(texts.select("digest", "text").join(spans, "digest").mapInPandas(clean, "digest binary, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept_text string" * with_text), "changed-texts")
+    changed = cut(texts.select("digest", "text").join(spans, "digest").mapInPandas(clean, "_of binary, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept_text string" * with_text), "changed-texts")
     drop(texts, spans)
-    out = rows.select(key, *carry, "digest", "n_bytes", "sha256").join(changed, "digest", "left")
-    return out.select(
+    rows = docs.select(key, *carry, digest(F.col(text)).alias("_d"), F.octet_length(whole_text).cast("long").alias("_n"), F.sha2(whole_text.cast("binary"), 256).alias("_sha256"))
+    return rows.join(changed, F.col("_d") == F.col("_of"), "left").select(
         key,
         *carry,
-        "n_bytes",
+        F.col("_n").alias("n_bytes"),
         F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"),
-        F.coalesce("kept_sha256", "sha256").alias("kept_sha256"),
+        F.coalesce("kept_sha256", "_sha256").alias("kept_sha256"),
         *(["kept_text"] if with_text else []),
     )
 
