@@ -2,7 +2,7 @@
 
 1. quality: documents that the rule ensemble rejects go; it learns from the labels outside the held-out third.
 2. near_duplicates: of each class of near-duplicates one row with the least doc_id stays.
-3. repeated_strings: bytes covered by strings of 400 bytes that start elsewhere too go; a document may become empty, but stays.
+3. repeated_strings: bytes covered by strings of PASSAGE bytes that start elsewhere too go; a document may become empty, but stays.
 4. secrets: every span that the scan finds is replaced by a mark.
 5. packing: each document's length in words, its bucket and its batch.
 
@@ -21,6 +21,9 @@ from wordweft.llm import dart_minhash, length_buckets, rule_ensemble, secret_sca
 from wordweft.llm.common import WORD, cut
 
 BESIDE = "_beside"
+#: What counts as a repeated passage is said in words: more than fifty. Fifty words of running text take at least this many bytes; 400 bytes,
+#: the width of the query op8_suffix_dedup, would be nearly seventy words.
+PASSAGE = 50 * 5
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -50,7 +53,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    done = suffix_dedup.remove_repeats(_packed(docs), with_text=True, carry=("text", BESIDE))
+    done = suffix_dedup.remove_repeats(_packed(docs), with_text=True, carry=("text", BESIDE), width=PASSAGE)
     return _unpacked(done, docs, F.coalesce("kept_text", "text"))
 
 
