@@ -50,12 +50,36 @@ def test_native_strip_equals_python(spark):
 
 
 def test_linear_scores_by_hand(spark):
-    model = spark.createDataFrame([("ola", "yor", 1.0, 2.0), ("ola", "eng", 1.0, -2.0)], "term string, class string, idf double, weight double")
+    model = spark.createDataFrame([("ola", 1.0, [2.0, -2.0])], "term string, idf double, weights array<double>")
     meta = spark.createDataFrame([("yor", 0, 0.0), ("eng", 1, 0.0)], "class string, idx int, intercept double")
-    docs = spark.createDataFrame([(1, "Ola"), (2, ""), (3, None), (4, "zzz")], "doc_id long, text string")
-    scored = language_id.scores(docs, model, meta)
-    assert {(r.doc_id, r["class"]): r.score for r in scored.collect()} == {(1, "yor"): 2.0, (1, "eng"): -2.0, **{(i, c): 0.0 for i in (2, 3, 4) for c in ("yor", "eng")}}
-    assert {r.doc_id: r.lang for r in language_id.predict(scored).collect()} == dict.fromkeys((1, 2, 3, 4), "yor")
+    docs = spark.createDataFrame([(1, "Ola"), (2, ""), (3, None), (4, "zzz"), (4, "Ola ola")], "doc_id long, text string")
+    found = sorted((r.doc_id, r["class"], round(r.score, 9)) for r in language_id.scores(docs, model, meta).collect())
+    zero = [(i, c, 0.0) for i in (2, 3, 4) for c in ("yor", "eng")]
+    assert found == sorted([(1, "yor", 2.0), (1, "eng", -2.0), *zero, (4, "yor", 2.0), (4, "eng", -2.0)])
+    assert sorted((r.doc_id, r.lang) for r in language_id.predict(docs, model, meta).collect()) == [(i, "yor") for i in (1, 2, 3, 4, 4)]
+    routed = language_id.route(docs.where("doc_id < 4"), model, meta, lambda d: d.select("doc_id", F.lit("ibo").alias("lang")), short=0)
+    assert {r.doc_id: (r.lang, r.by) for r in routed.collect()} == {1: ("yor", "linear"), 2: ("ibo", "strong"), 3: ("ibo", "strong")}
+
+
+def test_training_by_hand(spark):
+    import math
+
+    docs = spark.createDataFrame([(1, "a b a", "x"), (2, "b", "x"), (3, "b c", "y"), (4, "a", None)], "doc_id long, text string, lang string")
+    model, meta = language_id.train(docs, least=2)
+    rows = {r.term: r for r in model.collect()}
+    assert set(rows) == {"b"} and abs(rows["b"].idf - (math.log(4 / 4) + 1)) < 1e-12
+    shares = [math.log(3 / 4), math.log(2 / 3)]
+    assert all(abs(w - (s - sum(shares) / 2)) < 1e-12 for w, s in zip(rows["b"].weights, shares))
+    assert [(r["class"], r.idx, round(r.intercept, 9)) for r in sorted(meta.collect())] == [("x", 0, round(math.log(2 / 3), 9)), ("y", 1, round(math.log(1 / 3), 9))]
+
+
+def test_logits_and_modes(spark):
+    import pytest
+
+    row = spark.range(1).select(language_id.logit_traffic(F.array(F.lit(1.0), F.lit(1.0), F.lit(0.0)), ["a", "b", "c"], {"b": 1.0}).alias("p")).select("p", language_id.ranked(F.col("p"), ["a", "b", "c"]).alias("r")).first()
+    assert abs(sum(row.p) - 1) < 1e-12 and [x.label for x in row.r] == ["b", "a", "c"]
+    with pytest.raises(ValueError):
+        language_id.check_mode("best")
 
 
 def test_priors_change_the_order(spark):
@@ -108,7 +132,7 @@ def test_lexicon(spark):
     assert {(r.key, r.variant, r.cnt) for r in built.collect()} == {("ou", "ou", 3), ("ou", "où", 2), ("ete", "été", 3), ("ete", "ete", 3)}
     stats = lexicon.ambiguity(built).first()
     assert (stats.forms, stats.ambiguous, stats.token_share) == (2, 2, 1.0)
-    factors = spark.createDataFrame([(v, [unicode.take_apart(g)[0] for g in v], [list(unicode.take_apart(g)[1]) for g in v]) for v in ("ou", "où", "ete", "été")], "variant string, bases array<string>, marks array<array<string>>")
+    factors = spark.createDataFrame([(v, [unicode.row(g).letter for g in v], [list(unicode.row(g).marks) for g in v]) for v in ("ou", "où", "ete", "été")], "variant string, bases array<string>, marks array<array<string>>")
     assert {r.variant for r in lexicon.true_variants(built, factors).collect()} == {"où", "été"}
 
 
@@ -119,3 +143,28 @@ def test_scorer_runs_in_batches(spark):
 
     df = spark.createDataFrame([("a",), ("bb",), (None,)], "t string")
     assert [r[0] for r in df.select(scoring.scored(Length, "int", F.col("t"))).collect()] == [1, 2, 0]
+
+
+def test_script_columns(spark):
+    texts = ["Ünïcode ª", "ذَهَبَ", "Ελλάδα abc", "12 !", "", "nǫ ệ đ", "niño", "ọ́ é"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    share, foreign = unicode.script_share(F.col("t")), unicode.foreign_count(F.col("t"), "spa")
+    for r in df.select("t", share.alias("a"), unicode.script_share(F.col("t"), True).alias("b"), foreign.alias("n"), unicode.graphemes_column(F.col("t")).alias("g"), unicode.roundtrip_column(F.col("t"), "vie").alias("ok")).collect():
+        assert r.a == unicode.share_of_names(r.t, "LATIN") and r.b == unicode.share_of_names(r.t, "ARABIC LETTER")
+        assert r.g == unicode.graphemes(r.t) and r.n == sum(not unicode.in_inventory(g, "spa") for g in r.g) and r.ok
+
+
+def test_factor_table_equals_the_scalar_rule(spark):
+    rows = [(lang, g) for lang in unicode.ALPHABETS for text in SAMPLES.values() for g in unicode.graphemes(text + " ÀŁ̣ệọ́")]
+    made = unicode.factor_table(spark.createDataFrame([*rows, ("xxx", "a")], "lang string, g string").distinct()).collect()
+    assert {(r.lang, r.g) for r in made} == set(rows)
+    for r in made:
+        assert (r.base, tuple(r["shape"]), r.tone) == unicode.factorize(r.g, r.lang) and r.own == unicode.in_inventory(r.g, r.lang)
+
+
+def test_partial_strip(spark):
+    df = spark.createDataFrame([(1, SAMPLES["vie"]), (2, None)], "k long, t string")
+    half = unicode.partial_strip(F.col("t"), 0.5, F.col("k"))
+    rows = df.select(half.alias("half"), unicode.partial_strip(F.col("t"), 0.0, F.col("k")).alias("none"), unicode.partial_strip(F.col("t"), 1.0, F.col("k")).alias("all")).collect()
+    assert rows[0].none == unicode.strip_diacritics(SAMPLES["vie"]) and rows[0]["all"] == SAMPLES["vie"] and rows[1].half is None
+    assert rows[0].none != rows[0].half != rows[0]["all"] and unicode.strip_diacritics(rows[0].half) == rows[0].none

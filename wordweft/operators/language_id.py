@@ -1,7 +1,14 @@
-"""Language identification as relational plans: features, linear scores, probabilities, and candidates rescored by priors."""
+"""Language identification as relational plans: features, linear scores, probabilities, and candidates rescored by priors.
+
+A linear model is one row a term with an array of class weights; a text is one row a term with its count. Scores of all classes come
+from one join and one aggregation whose map side already holds whole texts, so only one row a text is shuffled there. Texts stay rows with an
+array of scores until a caller asks for one row a class. Whether the model's table is broadcast is left to its size.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +18,9 @@ from wordweft.functions.text import collapse, strip
 
 #: What a text without candidates is called.
 NOISE = "zxx_Zxxx"
+#: Candidates that a prior can reorder.
+MOST = 40
+MODES = ("coverage", "traffic")
 
 
 def features(text: Column) -> Column:
@@ -19,46 +29,98 @@ def features(text: Column) -> Column:
     return let(words, lambda w: F.concat(w, F.when(F.size(w) > 1, F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w)), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))))
 
 
+def term_counts(text: Column) -> Column:
+    """Array of (term, tf): equal features stand together once sorted."""
+
+    def counted(s: Column) -> Column:
+        firsts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return let(firsts, lambda at: F.transform(at, lambda p, k: F.struct(F.get(s, p).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(s)) - p).alias("tf"))))
+
+    return let(F.sort_array(features(text)), lambda s: F.when(F.size(s) > 0, counted(s)))
+
+
 def train(docs: DataFrame, least: int = 2) -> tuple[DataFrame, DataFrame]:
-    """Model tables from labelled documents (doc_id, text, lang): (term, class, idf, weight) and (class, idx, intercept).
+    """Model tables from labelled documents (doc_id, text, lang): (term, idf, weights) and (class, idx, intercept), weights by idx.
 
     idf is smoothed; a weight is the term's log frequency in the class less its mean over classes; the intercept is the log prior.
+    Terms are counted for all classes in one aggregation. The classes, a row a language, are collected.
     """
-    terms = docs.select("doc_id", "lang", F.explode(F.array_distinct(features(F.col("text")))).alias("term"))
-    meta = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    meta = meta.withColumn("idx", F.row_number().over(Window.orderBy("lang")) - 1).withColumn("total", F.sum("n").over(Window.partitionBy()))  # a row a language
-    by_class = terms.groupBy("term", "lang").agg(F.count(F.lit(1)).alias("df"))
-    known = by_class.groupBy("term").agg(F.sum("df").alias("df")).where(F.col("df") >= least)
-    grid = known.crossJoin(F.broadcast(meta.select("lang", "n", "total")))  # a row a language on the small side
-    full = grid.join(by_class.withColumnRenamed("df", "own"), ["term", "lang"], "left")
-    share = F.log((F.coalesce("own", F.lit(0)) + 1) / (F.col("n") + 2))
-    centred = share - F.avg(share).over(Window.partitionBy("term"))
-    model = full.select("term", F.col("lang").alias("class"), (F.log((1 + F.col("total")) / (1 + F.col("df"))) + 1).alias("idf"), centred.alias("weight"))
-    return model, meta.select(F.col("lang").alias("class"), "idx", F.log(F.col("n") / F.col("total")).alias("intercept"))
+    sizes = sorted((r["lang"], r["n"]) for r in docs.where("lang is not null").groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect())
+    total = sum(n for _, n in sizes)
+    terms = docs.select("lang", F.explode(F.array_distinct(features(F.col("text")))).alias("term"))
+    counted = terms.groupBy("term").agg(F.count("lang").alias("df"), *(F.count(F.when(F.col("lang") == c, 1)).alias(f"n{i}") for i, (c, _) in enumerate(sizes)))
+    shares = F.array(*(F.log((F.col(f"n{i}") + 1) / F.lit(n + 2.0)) for i, (_, n) in enumerate(sizes)))
+    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
+    weights = let(shares, lambda a: let(mean(a), lambda m: F.transform(a, lambda x: x - m)))
+    model = counted.where(F.col("df") >= least).select("term", (F.log(F.lit(1.0 + total) / (1 + F.col("df"))) + 1).alias("idf"), weights.alias("weights"))
+    spark = docs.sparkSession
+    meta = spark.createDataFrame([(c, i, n / total) for i, (c, n) in enumerate(sizes)], "class string, idx int, share double")
+    return model, meta.select("class", "idx", F.log("share").alias("intercept"))
+
+
+def score_arrays(docs: DataFrame, model: DataFrame, meta: DataFrame) -> tuple[DataFrame, list[str]]:
+    """(doc_id, scores) of every row of docs, and the classes that the places of scores stand for.
+
+    Blank texts score 0 throughout, texts without a known term the intercepts.
+    """
+    classes = sorted((r["idx"], r["class"], r["intercept"]) for r in meta.collect())  # a row a class
+    blank = F.coalesce(strip(F.col("text")) == "", F.lit(True))
+    # A number of its own for each row keeps repeated rows apart; it is given before the terms come apart and used inside this one pass only.
+    numbered = docs.select("doc_id", F.monotonically_increasing_id().alias("_row"), blank.alias("_blank"), term_counts(F.col("text")).alias("t"))
+    counted = numbered.select("doc_id", "_row", "_blank", F.explode_outer("t").alias("t"))
+    known = counted.select("doc_id", "_row", "_blank", "t.term", "t.tf").join(model, "term", "left")
+    x = (1 + F.log("tf")) * F.col("idf")
+    sums = known.groupBy("_row").agg(
+        F.first("doc_id").alias("doc_id"),
+        F.first("_blank").alias("_blank"),
+        F.sqrt(F.sum(x * x)).alias("_norm"),
+        *(F.sum(x * F.get("weights", F.lit(i))).alias(f"_s{i}") for i, _, _ in classes),
+    )
+    score = lambda i, b: F.when(F.col("_blank"), 0.0).otherwise(F.lit(b) + F.coalesce(F.col(f"_s{i}") / F.col("_norm"), F.lit(0.0)))
+    return sums.select("doc_id", F.array(*(score(i, b) for i, _, b in classes)).alias("scores")), [c for _, c, _ in classes]
+
+
+def _rows(arrays: DataFrame, classes: list[str], values: Column, name: str) -> DataFrame:
+    named = F.arrays_zip(F.array(*map(F.lit, classes)).alias("class"), F.array(*(F.lit(i) for i in range(len(classes)))).alias("idx"), values.alias("value"))
+    return arrays.select("doc_id", F.explode(named).alias("r")).select("doc_id", F.col("r.class").alias("class"), F.col("r.idx").alias("idx"), F.col("r.value").alias(name))
 
 
 def scores(docs: DataFrame, model: DataFrame, meta: DataFrame) -> DataFrame:
-    """(doc_id, class, idx, score) of every document and class; blank texts score 0 throughout, texts without a known term their intercepts."""
-    counts = docs.select("doc_id", F.explode(features(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    weighed = counts.join(model, "term").withColumn("x", (1 + F.log("tf")) * F.col("idf"))
-    # The norm is the same for every class of a term, so one aggregation gives it beside the products.
-    sums = weighed.groupBy("doc_id", "class").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    blank = F.coalesce(strip(F.col("text")) == "", F.lit(True))
-    every = docs.select("doc_id", blank.alias("blank")).crossJoin(F.broadcast(meta))  # a row a language on the small side
-    value = F.when(F.col("blank"), 0.0).otherwise(F.col("intercept") + F.coalesce(F.col("dot") / F.col("norm"), F.lit(0.0)))
-    return every.join(sums, ["doc_id", "class"], "left").select("doc_id", "class", "idx", value.alias("score"))
+    """(doc_id, class, idx, score) of every document and class."""
+    arrays, classes = score_arrays(docs, model, meta)
+    return _rows(arrays, classes, F.col("scores"), "score")
 
 
-def predict(scored: DataFrame) -> DataFrame:
-    """(doc_id, lang): the class of the best score, the first class of equals."""
-    return scored.groupBy("doc_id").agg(F.max_by("class", F.struct("score", (-F.col("idx")).alias("i"))).alias("lang"))
+def best(scores: Column, classes: list[str]) -> Column:
+    """The class of the best score, the first of equals."""
+    return F.element_at(F.array(*map(F.lit, classes)), F.array_position(scores, F.array_max(scores)).cast("int"))
 
 
-def probabilities(scored: DataFrame) -> DataFrame:
-    """(doc_id, class, proba)."""
-    own = Window.partitionBy("doc_id")
-    e = scored.withColumn("e", F.exp(F.col("score") - F.max("score").over(own)))
-    return e.select("doc_id", "class", (F.col("e") / F.sum("e").over(own)).alias("proba"))
+def softmax(scores: Column) -> Column:
+    powers = let(F.array_max(scores), lambda top: F.transform(scores, lambda s: F.exp(s - top)))
+    return let(powers, lambda p: let(F.aggregate(p, F.lit(0.0), lambda a, b: a + b), lambda z: F.transform(p, lambda e: e / z)))
+
+
+def predict(docs: DataFrame, model: DataFrame, meta: DataFrame) -> DataFrame:
+    """(doc_id, lang)."""
+    arrays, classes = score_arrays(docs, model, meta)
+    return arrays.select("doc_id", best(F.col("scores"), classes).alias("lang"))
+
+
+def probabilities(docs: DataFrame, model: DataFrame, meta: DataFrame) -> DataFrame:
+    """(doc_id, class, idx, proba)."""
+    arrays, classes = score_arrays(docs, model, meta)
+    return _rows(arrays, classes, softmax(F.col("scores")), "proba")
+
+
+def detect_language(spark, texts: DataFrame, path: str, older: str | None = None) -> DataFrame:
+    """(doc_id, lang) by the linear model in a JSON file, or in the file of its older name; FileNotFoundError without either."""
+    from wordweft.sources.tables import path_exists, read_linear_model
+
+    for file in (path, older):
+        if file and path_exists(spark, file):
+            return predict(texts, *read_linear_model(spark, file))
+    raise FileNotFoundError(path)
 
 
 def one_line(text: Column) -> Column:
@@ -66,6 +128,12 @@ def one_line(text: Column) -> Column:
     return F.nullif(collapse(text), F.lit(""))
 
 
+def check_mode(mode: str) -> str:
+    if mode not in MODES:
+        raise ValueError(f"mode {mode!r} is none of {', '.join(MODES)}")
+    return mode
+
+
 def prior_table(ratios: DataFrame, alpha: float) -> DataFrame:
     """(label, bias) from (label, log_prior_ratio)."""
     return ratios.select("label", (F.col("log_prior_ratio") * alpha).alias("bias"))
@@ -73,11 +141,11 @@ def prior_table(ratios: DataFrame, alpha: float) -> DataFrame:
 
 def coverage(candidates: DataFrame, docs: DataFrame) -> DataFrame:
     """(doc_id, label) by the model's own order of candidates (doc_id, rank, label, p); without candidates NOISE."""
-    best = candidates.groupBy("doc_id").agg(F.min_by("label", "rank").alias("label"))
-    return docs.select("doc_id").join(best, "doc_id", "left").select("doc_id", F.coalesce("label", F.lit(NOISE)).alias("label"))
+    first = candidates.groupBy("doc_id").agg(F.min_by("label", "rank").alias("label"))
+    return docs.select("doc_id").join(first, "doc_id", "left").select("doc_id", F.coalesce("label", F.lit(NOISE)).alias("label"))
 
 
-def traffic(candidates: DataFrame, priors: DataFrame, most: int = 40, top_k: int | None = None) -> DataFrame:
+def traffic(candidates: DataFrame, priors: DataFrame, most: int = MOST, top_k: int | None = None) -> DataFrame:
     """(doc_id, label, rank, proba): the first `most` candidates rescored by their prior, best first; cut without renormalising."""
     kept = candidates.where(F.col("rank") <= most).join(F.broadcast(priors), "label", "left")  # one row a known language
     own = Window.partitionBy("doc_id")
@@ -86,9 +154,23 @@ def traffic(candidates: DataFrame, priors: DataFrame, most: int = 40, top_k: int
     return out if top_k is None else out.where(F.col("rank") <= top_k)
 
 
-def route(docs: DataFrame, scored: DataFrame, strong, least: float = 0.9, short: int = 5) -> DataFrame:
+def logit_traffic(logits: Column, classes: list[str], bias: dict[str, float]) -> Column:
+    """Probabilities of a neural classifier's logits after the priors: softmax of the log probabilities plus each class's bias, without a shuffle."""
+    own = F.array(*(F.lit(float(bias.get(c, 0.0))) for c in classes))
+    # Log probabilities differ from logits by one number a row, which the second softmax takes out again.
+    return softmax(F.zip_with(logits.cast("array<double>"), own, lambda x, b: x + b))
+
+
+def ranked(proba: Column, classes: list[str]) -> Column:
+    """Array of (label, p), best first, equals in class order: a classifier's candidates in one row."""
+    named = F.transform(proba, lambda p, i: F.struct((-p).alias("less"), i.alias("i")))
+    return F.transform(F.array_sort(named), lambda r: F.struct(F.get(F.array(*map(F.lit, classes)), r["i"]).alias("label"), (-r["less"]).alias("p")))
+
+
+def route(docs: DataFrame, model: DataFrame, meta: DataFrame, strong: Callable[[DataFrame], DataFrame], least: float = 0.9, short: int = 5) -> DataFrame:
     """(doc_id, lang, by): the linear model decides unless it is unsure or the text short; `strong` maps (doc_id, text) to (doc_id, lang) for the rest."""
-    sure = probabilities(scored).groupBy("doc_id").agg(F.max("proba").alias("proba"))
-    base = docs.join(predict(scored), "doc_id").join(sure, "doc_id").withColumn("words", F.regexp_count("text", F.lit(f"{W}+")))
-    easy = (F.col("proba") >= least) & (F.col("words") > short)
+    arrays, classes = score_arrays(docs, model, meta)
+    judged = arrays.select("doc_id", best(F.col("scores"), classes).alias("lang"), F.array_max(softmax(F.col("scores"))).alias("proba"))
+    base = docs.join(judged, "doc_id").withColumn("words", F.regexp_count("text", F.lit(f"{W}+")))
+    easy = F.coalesce((F.col("proba") >= least) & (F.col("words") > short), F.lit(False))
     return base.where(easy).select("doc_id", "lang", F.lit("linear").alias("by")).unionByName(strong(base.where(~easy).select("doc_id", "text")).select("doc_id", "lang", F.lit("strong").alias("by")))

@@ -48,30 +48,67 @@ def true_variants(lexicon: DataFrame, factors: DataFrame) -> DataFrame:
     return a.select("lang", "key", "variant", "cnt").join(lost, ["lang", "key", "variant"], "left_anti")
 
 
-def ambiguity(lexicon: DataFrame) -> DataFrame:
-    """By language: keys, ambiguous keys, their share, and the share of tokens whose key is ambiguous."""
+def ambiguity(lexicon: DataFrame, true: DataFrame | None = None) -> DataFrame:
+    """By language: keys, ambiguous keys, their share, and the share of tokens whose key is ambiguous.
+
+    With true, the variants that true_variants leaves, also: keys ambiguous among these, their share, the share of tokens on them, and the share
+    of ambiguous keys that are not truly so. A lexicon built from densely marked texts is its own `true`.
+    """
     keys = lexicon.groupBy("lang", "key").agg(F.count(F.lit(1)).alias("variants"), F.sum("cnt").alias("tokens"))
     two = F.col("variants") > 1
-    return keys.groupBy("lang").agg(
-        F.count(F.lit(1)).alias("forms"),
-        F.sum(two.cast("long")).alias("ambiguous"),
-        F.round(F.avg(two.cast("double")), 4).alias("ambiguous_share"),
-        F.round(F.sum(F.when(two, F.col("tokens")).otherwise(0)) / F.sum("tokens"), 4).alias("token_share"),
+    share = lambda a, b: F.round(F.sum(a) / F.greatest(F.lit(1), F.sum(b)), 4)
+    one = F.lit(1).cast("long")
+    of = lambda c, x: F.when(c, x).otherwise(F.lit(0))
+    raw = [F.count(F.lit(1)).alias("forms"), F.sum(two.cast("long")).alias("ambiguous"), share(two.cast("long"), one).alias("ambiguous_share"), share(of(two, F.col("tokens")), F.col("tokens")).alias("token_share")]
+    if true is None:
+        return keys.groupBy("lang").agg(*raw)
+    left = true.groupBy("lang", "key").agg(F.count(F.lit(1)).alias("true_variants"))
+    both = keys.join(left, ["lang", "key"], "left")
+    real = two & (F.coalesce("true_variants", F.lit(0)) > 1)
+    return both.groupBy("lang").agg(
+        *raw,
+        F.sum(real.cast("long")).alias("true_ambiguous"),
+        share(real.cast("long"), one).alias("true_share"),
+        share(of(real, F.col("tokens")), F.col("tokens")).alias("true_token_share"),
+        share((two & ~real).cast("long"), two.cast("long")).alias("spurious_share"),
     )
 
 
+def stats(lexicon: DataFrame) -> DataFrame:
+    """By language: forms, ambiguous, ambiguous_share."""
+    return ambiguity(lexicon).select("lang", "forms", "ambiguous", "ambiguous_share")
+
+
+def is_attested(words: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """words (lang, word, key) with attested: whether the word itself is a variant of its key. A capitalised word only meets capitalised ones, so nothing else is asked."""
+    own = lexicon.select("lang", "key", F.col("variant").alias("word"), F.lit(True).alias("attested"))
+    return words.join(own, ["lang", "key", "word"], "left").withColumn("attested", F.coalesce("attested", F.lit(False)))
+
+
 def oov_rate(docs: DataFrame, lexicon: DataFrame, stripped: Column) -> DataFrame:
-    """(doc_id, oov): share of a text's words whose key is known but whose form is not; stripped strips the column `word`."""
+    """(doc_id, oov): share of a text's words whose key is known but which are no variant of it, case kept; stripped strips the column `word`.
+
+    Distinct words meet the lexicon once and bring one flag back; texts are NFC.
+    """
     words = docs.select("doc_id", "lang", F.explode(words_of(F.col("text"))).alias("word")).groupBy("doc_id", "lang", "word").agg(F.count(F.lit(1)).alias("n"))
-    keyed = words.withColumn("key", F.lower(stripped))
-    keys = lexicon.select("lang", "key").distinct().withColumn("known", F.lit(True))
-    forms = lexicon.select("lang", "key", F.lower("variant").alias("form")).distinct().withColumn("attested", F.lit(True))
-    marked = keyed.join(keys, ["lang", "key"], "left").withColumn("form", F.lower("word")).join(forms, ["lang", "key", "form"], "left")
-    rate = marked.groupBy("doc_id").agg((F.sum(F.when(F.col("known") & F.col("attested").isNull(), F.col("n")).otherwise(0)) / F.sum("n")).alias("oov"))
+    distinct = docs.select("lang", F.explode(F.array_distinct(words_of(F.col("text")))).alias("word")).distinct().withColumn("key", F.lower(stripped))
+    known = distinct.join(lexicon.select("lang", "key").distinct(), ["lang", "key"], "left_semi")
+    missing = is_attested(known, lexicon).where("not attested").select("lang", "word", F.lit(True).alias("missing"))
+    rate = words.join(missing, ["lang", "word"], "left").groupBy("doc_id").agg((F.sum(F.when(F.col("missing"), F.col("n")).otherwise(0)) / F.sum("n")).alias("oov"))
     return docs.select("doc_id").join(rate, "doc_id", "left").select("doc_id", F.coalesce("oov", F.lit(0.0)).alias("oov"))
 
 
-def error_rates(pairs: DataFrame) -> DataFrame:
-    """Character error rates of restored graphemes against gold ones: pairs (gold, restored, eligible) with factor structs (g, shape, tone)."""
-    wrong = lambda f: F.avg(F.when(F.col("eligible"), F.when(F.col(f"gold.{f}") != F.col(f"restored.{f}"), 1.0).otherwise(0.0)))
-    return pairs.agg(wrong("g").alias("der"), wrong("shape").alias("shape_der"), wrong("tone").alias("tone_der"))
+def error_rates(pairs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Character error rates of restored graphemes against gold ones: pairs (gold, restored, eligible) with factor structs (g, shape, tone); with confidence
+    and threshold columns also the coverage, the share of eligible places that are sure enough."""
+    eligible = F.col("eligible")
+    wrong = lambda f: F.avg(F.when(eligible, (F.col(f"gold.{f}") != F.col(f"restored.{f}")).cast("double")))
+    out = [wrong("g").alias("der"), wrong("shape").alias("shape_der"), wrong("tone").alias("tone_der")]
+    if "confidence" in pairs.columns:
+        out.append(F.avg(F.when(eligible, (F.col("confidence") >= F.col("threshold")).cast("double"))).alias("coverage"))
+    return pairs.groupBy(*by).agg(*out)
+
+
+def text_rates(pairs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Share of texts restored exactly, and of texts whose letters are kept: pairs (gold, restored, kept)."""
+    return pairs.groupBy(*by).agg(F.avg((F.col("gold") == F.col("restored")).cast("double")).alias("exact"), F.avg(F.col("kept").cast("double")).alias("compliance"))

@@ -8,13 +8,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wordweft.functions.unicode import strip_all
+from wordweft.functions.text import split_sentences
+from wordweft.functions.unicode import strip_column
 
 # Java has U+0300 to U+036F outside \w, where this splitting wants them inside.
 WORD_CLASS = r"[\p{L}\p{N}_\u0300-\u036f]"
 TOKEN = rf"{WORD_CLASS}+|[^\p{{L}}\p{{N}}_\s\x1c-\x1f\x85\p{{Z}}\u0300-\u036f]|[\s\x1c-\x1f\x85\p{{Z}}]+"
-# The letters that context lookup may change, by language.
+# The letters that context lookup may change, by language; the marks that a six-way letter classifier adds.
 TARGETS = {"yor": "oes", "ibo": "iuoe"}
+CLASSIFIED = ("", "\u0323", "\u0301", "\u0300", "\u0323\u0301", "\u0323\u0300")
 
 
 def tokens(text: Column) -> Column:
@@ -168,39 +170,110 @@ def viterbi_decode(docs: DataFrame, candidates: DataFrame, unigrams: DataFrame,
     return toks.join(cand, "doc_id", "left").join(steps, "doc_id", "left").select("doc_id", F.array_join(decoded("tokens", "forms", "steps"), "").alias("restored"))
 
 
+def _words_of_text(docs: DataFrame, *others: Column) -> DataFrame:
+    """doc_id, tokens, n (how many are words), and the given columns."""
+    return docs.select("doc_id", tokens(F.col("text")).alias("tokens"), *others).withColumn("n", F.size(F.filter("tokens", is_word)))
+
+
+def _put_back(docs: DataFrame, words: DataFrame) -> DataFrame:
+    """(doc_id, restored): the i-th word token of a text replaced by the word (doc_id, i, word) of that number, others left; null texts stay null."""
+    found = words.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("i", "word"))).alias("new"))  # at most a text's words
+    numbered = lambda t: F.aggregate(
+        t,
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("of")),
+        lambda s, x: F.struct((s["at"] + is_word(x).cast("int")).alias("at"), F.concat(s["of"], F.array(F.when(is_word(x), s["at"]))).alias("of")),
+    )["of"]
+    joined = _words_of_text(docs).join(found, "doc_id", "left").withColumn("of", numbered(F.col("tokens")))
+    out = F.zip_with("tokens", "of", lambda t, i: F.when(i.isNull(), t).otherwise(F.coalesce(F.try_element_at("new", i), t)))
+    return joined.select("doc_id", F.array_join(out, "").alias("restored"))
+
+
+def apply_classes(text: Column, classes: Column) -> Column:
+    """The text's plain characters with the marks of a letter classifier's classes, one class a character without nonspacing marks; NFC."""
+
+    @F.pandas_udf("string")
+    def marked(texts: pd.Series, rows: pd.Series) -> pd.Series:
+        import unicodedata as ud
+
+        def one(t, own):
+            if t is None:
+                return None
+            plain = [c for c in ud.normalize("NFD", t) if ud.category(c) != "Mn"]
+            return ud.normalize("NFC", "".join(c + (CLASSIFIED[k] if c.isalpha() else "") for c, k in zip(plain, own, strict=False)))
+
+        return pd.Series([one(t, own) for t, own in zip(texts, rows, strict=True)], dtype=object)
+
+    return marked(text, classes)
+
+
+def _numbered_words(docs: DataFrame, column: Column, name: str) -> DataFrame:
+    """(doc_id, i, name): the runs of anything but white space, numbered."""
+    runs = F.regexp_extract_all(column, F.lit(r"[^\s\x1c-\x1f\x85\p{Z}]+"), F.lit(0))
+    return docs.select("doc_id", F.posexplode(runs).alias("i", name))
+
+
+def correct_words(docs: DataFrame, predicted: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(doc_id, restored): predicted texts (doc_id, predicted) corrected by attested forms, candidates (plain, forms array).
+
+    The i-th run of plain text between white space stands for the i-th word token, so a text with free-standing punctuation shifts. A predicted word
+    that is none of its plain form's candidates becomes the first of them, capitalised like the prediction.
+    """
+    plain = _numbered_words(docs, strip_column(F.col("text"), "all"), "plain_word")
+    guess = _numbered_words(predicted, F.col("predicted"), "guess")
+    pairs = plain.join(guess, ["doc_id", "i"]).withColumn("plain", F.lower("plain_word")).join(candidates, "plain", "left")
+    first = F.get("forms", F.lit(0))
+    initial = F.substring("guess", 1, 1)
+    cased = F.when((F.upper(initial) == initial) & (F.lower(initial) != initial), F.concat(F.upper(F.substring(first, 1, 1)), F.lower(F.substring(first, F.lit(2), F.length(first))))).otherwise(first)
+    attested = F.coalesce(F.size("forms"), F.lit(0)) <= 0
+    word = F.when(attested | F.array_contains("forms", F.lower("guess")), F.col("guess")).otherwise(cased)
+    return _put_back(docs, pairs.select("doc_id", "i", word.alias("word")))
+
+
+def pick_words(docs: DataFrame, picks: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(doc_id, restored): for the i-th plain word the picked candidate of picks (doc_id, i, pick), the first where there are fewer, in the word's case."""
+    plain = _numbered_words(docs, strip_column(F.col("text"), "all"), "plain_word").withColumn("plain", F.lower("plain_word"))
+    joined = plain.join(picks, ["doc_id", "i"]).join(candidates, "plain", "left").withColumn("forms", F.coalesce("forms", F.array("plain")))
+    form = F.coalesce(F.get("forms", F.col("pick")), F.get("forms", F.lit(0)))
+    return _put_back(docs, joined.select("doc_id", "i", transfer_case(F.col("plain_word"), form).alias("word")))
+
+
 def restore_auto(docs: DataFrame, langs: DataFrame, ibo, other) -> DataFrame:
     """(doc_id, restored): Igbo texts by `ibo`, all others by `other`; both map (doc_id, text) to (doc_id, restored)."""
     both = docs.join(langs.select("doc_id", "lang"), "doc_id")
     return ibo(both.where("lang = 'ibo'").select("doc_id", "text")).unionByName(other(both.where("lang is null or lang <> 'ibo'").select("doc_id", "text")))
 
 
-def decode_in_batches(docs: DataFrame, tag: str, load, n: int = 300, batch: int = 16, hints: str | None = None) -> DataFrame:
-    """(doc_id, restored) by a sequence model: chunks of n characters as `<tag> [hint] chunk`, decoded longest first in batches, aligned and rejoined.
-
-    load() gives the model, once a worker: a function from a list of prompts and their token budgets to a list of outputs. Empty texts give "".
-    """
-    from wordweft.functions.text import chunk_text
+def _decoded(ready: DataFrame, load, batch: int, aligned: bool) -> DataFrame:
+    """(doc_id, at, out) of pieces (doc_id, at, piece, prompt). Pieces of all texts are pooled: dealt and sorted by length, so that a batch's lengths are alike."""
     from wordweft.functions.unicode import align
 
-    pieces = docs.select("doc_id", *([hints] if hints else []), F.posexplode(chunk_text(F.col("text"), n)).alias("at", "piece"))
-    prompt = F.concat(F.lit(f"<{tag}> "), F.coalesce(F.concat(F.col(hints), F.lit(" ")), F.lit("")) if hints else F.lit(""), F.col("piece"))
-    ready = pieces.select("doc_id", "at", "piece", prompt.alias("prompt"), F.octet_length("piece").alias("size"))
+    sized = ready.withColumn("size", F.octet_length("piece"))
+    pooled = sized.repartitionByRange(F.desc("size"), F.xxhash64("doc_id", "at")).sortWithinPartitions(F.desc("size"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load()
         for b in batches:
-            b = b.sort_values("size", ascending=False, kind="stable")
             out: list[str] = []
             for i in range(0, len(b), batch):
                 part = b.iloc[i : i + batch]
                 out += model(part["prompt"].tolist(), (2 * part["size"] + 16).tolist())
-            yield pd.DataFrame({"doc_id": b["doc_id"], "at": b["at"], "out": [align(p, o) for p, o in zip(b["piece"], out, strict=True)]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "at": b["at"], "out": [align(p, o) if aligned else o for p, o in zip(b["piece"], out, strict=True)]})
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    decoded = ready.mapInPandas(run, f"doc_id {kind}, at int, out string")
-    texts = decoded.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "out"))), lambda x: x["out"]), " ").alias("restored"))
-    return docs.select("doc_id").join(texts, "doc_id", "left").select("doc_id", F.coalesce("restored", F.lit("")).alias("restored"))
+    kind = ready.schema["doc_id"].dataType.simpleString()
+    return pooled.mapInPandas(run, f"doc_id {kind}, at int, out string")
+
+
+def decode_in_batches(docs: DataFrame, tag: str | Column, load, n: int = 300, batch: int = 16, hints: str | None = None, aligned: bool = True, by_sentence: bool = False) -> DataFrame:
+    """(doc_id, restored) by a sequence model: chunks of n characters, or sentences, as `<tag> [hint] chunk`, decoded in batches, aligned and rejoined by a space.
 
+    load() gives the model, once a worker: a function from a list of prompts and their token budgets to a list of outputs. tag may be a column of
+    docs, hints the name of one. Empty texts give "" and are not sent.
+    """
+    from wordweft.functions.text import chunk_text
 
-def strip_for_training(word: str) -> str:
-    return strip_all(word)
+    pieces = F.transform(split_sentences(F.col("text")), lambda s: s) if by_sentence else chunk_text(F.col("text"), n)
+    each = docs.select("doc_id", *([hints] if hints else []), (F.lit(tag) if isinstance(tag, str) else tag).alias("tag"), F.posexplode(pieces).alias("at", "piece"))
+    hint = F.coalesce(F.concat(F.col(hints), F.lit(" ")), F.lit("")) if hints else F.lit("")
+    ready = each.select("doc_id", "at", "piece", F.concat(F.lit("<"), "tag", F.lit("> "), hint, "piece").alias("prompt"))
+    texts = _decoded(ready, load, batch, aligned).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "out"))), lambda x: x["out"]), " ").alias("restored"))
+    return docs.select("doc_id").join(texts, "doc_id", "left").select("doc_id", F.coalesce("restored", F.lit("")).alias("restored"))

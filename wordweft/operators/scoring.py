@@ -56,3 +56,25 @@ def onnx_scorer(path: str, prepare: Callable[[list], dict], finish: Callable[[li
         return Held()
 
     return load
+
+
+def by_name(session, feed: dict) -> dict:
+    """The outputs of an ONNX session by the names that its graph declares, fed with those of the inputs that it declares."""
+    wanted = {i.name for i in session.get_inputs()}
+    names = [o.name for o in session.get_outputs()]
+    return dict(zip(names, session.run(None, {k: v for k, v in feed.items() if k in wanted}), strict=True))
+
+
+def has_language_head(session) -> bool:
+    """Whether a tagger's graph can tell languages: it gives language logits and can be told that the language is not known."""
+    return "lid_logits" in {o.name for o in session.get_outputs()} and "lang_known" in {i.name for i in session.get_inputs()}
+
+
+def classifier(load: Callable[[], Scorer], text: Column, batch: int = 64) -> Column:
+    """Logits of an injected sequence classifier: texts on one line, blank ones as empty texts."""
+    return scored(load, "array<double>", F.coalesce(F.trim(F.regexp_replace(text, r"\s+", " ")), F.lit("")), batch=batch)
+
+
+def embed(load: Callable[[], Scorer], text: Column, batch: int = 64) -> Column:
+    """Vectors of an injected encoder; null texts have none."""
+    return F.when(text.isNotNull(), scored(load, "array<float>", text, batch=batch))

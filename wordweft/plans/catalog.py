@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wordweft.functions import prompts, spoken, text, unicode, vectors
-from wordweft.operators import language_id, lexicon, restoration, retrieval, subwords, tagger
+from wordweft.operators import labels, language_id, lexicon, restoration, restorer, retrieval, speech, subwords, tagger
 from wordweft.plans import twins
 from wordweft.session import spread, table
+from wordweft.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -181,8 +182,7 @@ def diacritic_density(spark, sf_dir):
 
 @query
 def latin_share(spark, sf_dir):
-    share = F.regexp_count("text", F.lit(r"\p{IsLatin}")) / F.regexp_count("text", F.lit(r"\p{L}"))
-    return _docs(spark, sf_dir).select("doc_id", F.coalesce(_rounded(share), F.lit(1.0)).alias("latin"))
+    return _docs(spark, sf_dir).select("doc_id", _rounded(unicode.script_share(F.col("text"))).alias("latin"))
 
 
 @query
@@ -197,57 +197,88 @@ def align_marks(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", bare.alias("bare"), "text").select("doc_id", unicode.align_column(F.col("bare"), F.col("text")).alias("aligned"))
 
 
+@query
+def script_predicates(spark, sf_dir):
+    t = F.col("text")
+    return _docs(spark, sf_dir).select("doc_id", unicode.is_latin_text(t).alias("latin"), unicode.script_ok(t, F.lit("ara")).alias("arabic_ok"), unicode.script_ok(t, F.col("lang")).alias("own_script"))
+
+
+@query
+def foreign_graphemes(spark, sf_dir):
+    t = F.col("text")
+    return _docs(spark, sf_dir).select("doc_id", *(unicode.foreign_count(t, lang).cast("long").alias(lang) for lang in ("fra", "spa")), unicode.is_clean_for(t, "spa").alias("clean_for_spa"))
+
+
+@query
+def eligible_letters(spark, sf_dir):
+    graphemes = _docs(spark, sf_dir).select(F.explode(unicode.graphemes_column(F.col("text"))).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    facts = unicode.grapheme_table(graphemes.select("g"))
+    return graphemes.join(facts, "g").groupBy("base").agg(F.sum("n").alias("n"), F.min(unicode.is_eligible(F.col("base"))).alias("eligible"))
+
+
+@query
+def round_trips(spark, sf_dir):
+    t = F.col("text")
+    return _docs(spark, sf_dir).select("doc_id", unicode.roundtrip_column(t, "fra").alias("comes_back"), (unicode.compose_column(unicode.factorize_column(t, "spa")) == t).alias("composed"))
+
+
 # ---------------------------------------------------------------- language identification
 
 
-def _lid(spark, sf_dir):
+def _trained(spark, sf_dir):
     docs = _docs(spark, sf_dir)
-    return docs, language_id.scores(docs, *language_id.train(docs))
+    return docs, *language_id.train(docs)
 
 
 @query
 def lid_features(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", F.explode(language_id.features(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"))
+    return _docs(spark, sf_dir).select("doc_id", F.explode(language_id.term_counts(F.col("text"))).alias("t")).select("doc_id", "t.term", F.col("t.tf").cast("long").alias("n"))
 
 
 @query
 def lid_scores(spark, sf_dir):
-    return _lid(spark, sf_dir)[1].select("doc_id", "class", _rounded(F.col("score")).alias("score"))
+    return language_id.scores(*_trained(spark, sf_dir)).select("doc_id", "class", _rounded(F.col("score")).alias("score"))
 
 
 @query
 def lid_predict(spark, sf_dir):
-    return language_id.predict(_lid(spark, sf_dir)[1])
+    return language_id.predict(*_trained(spark, sf_dir))
 
 
 @query
 def lid_proba(spark, sf_dir):
-    return language_id.probabilities(_lid(spark, sf_dir)[1]).select("doc_id", "class", _rounded(F.col("proba")).alias("proba"))
+    return language_id.probabilities(*_trained(spark, sf_dir)).select("doc_id", "class", _rounded(F.col("proba")).alias("proba"))
 
 
 def _candidates(spark, sf_dir):
-    docs, scored = _lid(spark, sf_dir)
-    proba = language_id.probabilities(scored)
-    return docs, proba.select("doc_id", F.col("class").alias("label"), F.round("proba", 9).alias("p"), F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc(F.round("proba", 9)), "class")).alias("rank"))
+    arrays, classes = language_id.score_arrays(*_trained(spark, sf_dir))
+    rounded = F.transform(language_id.softmax(F.col("scores")), lambda p: F.round(p, 9))
+    return arrays.select("doc_id", F.posexplode(language_id.ranked(rounded, classes)).alias("i", "r")).select("doc_id", "r.label", "r.p", (F.col("i") + 1).alias("rank"))
 
 
 @query
 def lid_coverage(spark, sf_dir):
-    docs, candidates = _candidates(spark, sf_dir)
-    return language_id.coverage(candidates, docs)
+    return language_id.coverage(_candidates(spark, sf_dir), _docs(spark, sf_dir))
+
+
+def _priors(spark):
+    return language_id.prior_table(_values(spark, [("de", 5.0), ("en", -5.0), ("es", 1.0)], "label string, log_prior_ratio double"), 0.2)
 
 
 @query
 def lid_traffic(spark, sf_dir):
-    priors = language_id.prior_table(_values(spark, [("de", 5.0), ("en", -5.0), ("es", 1.0)], "label string, log_prior_ratio double"), 0.2)
-    return language_id.traffic(_candidates(spark, sf_dir)[1], priors, top_k=2).select("doc_id", "label", F.col("rank").cast("long").alias("rank"), _rounded(F.col("proba"), 5).alias("proba"))
+    return language_id.traffic(_candidates(spark, sf_dir), _priors(spark), top_k=2).select("doc_id", "label", F.col("rank").cast("long").alias("rank"), _rounded(F.col("proba"), 5).alias("proba"))
 
 
-# ---------------------------------------------------------------- restoration
+@query
+def lid_logit_traffic(spark, sf_dir):
+    """A neural classifier's logits - here the first four numbers of the embeddings - rescored by priors inside the row."""
+    rescored = language_id.logit_traffic(F.slice("embedding", 1, 4), ["de", "en", "es", "fr"], {"de": 1.0, "en": -1.0, "es": 0.2})
+    best = language_id.ranked(rescored, ["de", "en", "es", "fr"])[0]
+    return table(spark, sf_dir, "embeddings").select("vec_id", best["label"].alias("label"), _rounded(best["p"], 5).alias("proba"))
 
 
-def _marked(spark, sf_dir, lang):
-    return _docs(spark, sf_dir).where(F.col("lang") == lang)
+# ---------------------------------------------------------------- restoration
 
 
 BY = ("lang",)
@@ -290,6 +321,60 @@ def viterbi_decode(spark, sf_dir):
     return restoration.viterbi_decode(docs.select("doc_id", "lang", unicode.strip_native(F.col("text")).alias("text")), *tables, BY)
 
 
+@query
+def diac_registry(spark, sf_dir):
+    return restorer.registry(spark).select("model", "lang", "method", F.array_join("options", ",").alias("options"))
+
+
+@query
+def diac_restore(spark, sf_dir):
+    """A word model without tables: every word stands for itself, in its case."""
+    return restorer.Restorer("yor-viterbi").restore(_docs(spark, sf_dir).select("doc_id", "text"))
+
+
+@query
+def diac_auto(spark, sf_dir):
+    """Spanish takes the place of the language that the lookup model is for; every other text goes to the word model."""
+    docs = _docs(spark, sf_dir).select("doc_id", unicode.strip_native(F.col("text")).alias("text"), "lang")
+    model = restoration.knn_train(_docs(spark, sf_dir).where("lang = 'es'"), unicode.strip_native(F.col("word")))
+    langs = docs.select("doc_id", F.when(F.col("lang") == "es", "ibo").otherwise(F.col("lang")).alias("lang"))
+    parts = {"langs": langs, "ibo": restorer.Restorer("ibo-below", {"table": model}), "other": restorer.Restorer("yor-viterbi")}
+    return restorer.Restorer("auto", parts).restore(docs.select("doc_id", "text"))
+
+
+@query
+def correct_words(spark, sf_dir):
+    """Words of a letter model, here the stripped texts, corrected by the lexicon's commonest spellings."""
+    docs = _docs(spark, sf_dir)
+    forms = _lexicon(spark, sf_dir).where("lang = 'fr'").groupBy(F.col("key").alias("plain")).agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("cnt")).alias("c"), "variant"))), lambda x: x["variant"]).alias("forms"))
+    predicted = docs.select("doc_id", unicode.strip_native(F.col("text")).alias("predicted"))
+    return restoration.correct_words(docs, predicted, forms)
+
+
+@query
+def tts_frontend(spark, sf_dir):
+    made = speech.synthesize(_docs(spark, sf_dir).select("doc_id", "text"), "ig", restorer.Restorer("yor-viterbi").restore)
+    return made.select("doc_id", "normalized_text", "diacritized_text", "status")
+
+
+@query
+def hint_blocks(spark, sf_dir):
+    name = F.col("n_name")
+    listed = F.array(F.concat(name, F.lit(" = a=b")), F.concat(F.lit("r="), F.col("n_regionkey").cast("string")))
+    return table(spark, sf_dir, "nation").select(
+        "n_nationkey",
+        prompts.build_hint_of_list(listed).alias("listed"),
+        prompts.build_hint_of_text(F.concat(F.lit(" w="), name, F.lit(" |r=x "))).alias("text"),
+        prompts.build_hint_of_text(F.concat(F.lit("[g: "), name, F.lit("=m]"))).alias("ready"),
+        prompts.build_hint_of_text(F.when(F.col("n_regionkey") == 0, F.lit("no pair")).otherwise(F.lit("a]=b"))).alias("refused"),
+    )
+
+
+@query
+def dataset_registry(spark, sf_dir):
+    return tables.Registry("datasets").frame(spark).select("name", "default_config", F.coalesce(F.size("configs"), F.lit(-1)).cast("long").alias("configs"), F.array_join("splits", ",").alias("splits"))
+
+
 @query
 def plan_windows(spark, sf_dir):
     windows = F.posexplode(tagger.plan_windows(F.length("text"))).alias("i", "w")
@@ -311,9 +396,41 @@ def joint_decode(spark, sf_dir):
     return tagger.decode(logits, legal).select("pos", F.col("shape_id").cast("long").alias("shape_id"), F.col("tone_id").cast("long").alias("tone_id"), _rounded(F.col("confidence")).alias("confidence"))
 
 
+def _decoded(spark, sf_dir):
+    """What joint_decode decides, with the letters that were typed: one in two marked, one in five inside a protected span."""
+    decided = joint_decode(spark, sf_dir)
+    typed = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pos"), F.element_at(F.array(F.lit("o"), F.lit("e"), F.lit("x")), (F.col("label") % 3 + 1).cast("int")).alias("base"))
+    had = (F.col("pos") % 2 == 0) & (F.col("base") != "x")
+    both = decided.join(typed, "pos").withColumn("typed", F.when(had, F.concat("base", F.lit("*"))).otherwise(F.col("base")))
+    return both.withColumn("restored", F.concat("base", F.when(F.col("shape_id") > 0, F.lit("+")).otherwise(F.lit("")), F.when(F.col("tone_id") > 0, F.col("tone_id").cast("string")).otherwise(F.lit("")))).withColumn("had", had)
+
+
+@query
+def respect_existing(spark, sf_dir):
+    d = _decoded(spark, sf_dir)
+    out = lambda least, policy: tagger.respect(F.col("typed"), F.col("restored"), F.col("had"), F.col("base"), F.col("pos") % 5 == 0, F.col("confidence"), least, policy)
+    return d.select("pos", out(0.0, "input").alias("committed"), out(0.5, "input").alias("unsure_as_typed"), out(0.5, "bare").alias("unsure_bare"))
+
+
+@query
+def lexicon_rerank(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    words = n.select(F.col("n_nationkey").alias("word_id"), F.col("n_name").alias("word"), (-F.col("n_regionkey")).cast("double").alias("score"), (F.col("n_nationkey") % 3 == 0).alias("attested"))
+    pairs = n.select(F.col("n_nationkey").alias("word_id"), F.explode(F.array(*(F.struct(F.concat("n_name", F.lit(c)).alias("variant"), F.lit(s).alias("score")) for c, s in (("1", -1.5), ("2", -1.5), ("3", -4.0))))).alias("v")).select("word_id", "v.*")
+    return tagger.rerank(words, pairs)
+
+
+@query
+def strip_invariant(spark, sf_dir):
+    t = F.col("text")
+    return _docs(spark, sf_dir).select("doc_id", tagger.strip_invariant(t, unicode.strip_native(t)).alias("kept"), tagger.strip_invariant(t, F.concat(t, F.lit("x"))).alias("changed"))
+
+
 @query
 def drop_case_endings(spark, sf_dir):
-    chars = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") * 10000000 + F.col("l_partkey")).alias("pos"), (F.col("l_quantity") > 10).alias("arabic"), F.col("l_returnflag").alias("tone"), (F.col("l_linestatus") == "F").alias("typed"))
+    # Rows that are equal in all of these are equal in all that is read, so their order does not matter.
+    at = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity", "l_returnflag", "l_linestatus"))
+    chars = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), at.alias("pos"), (F.col("l_quantity") > 10).alias("arabic"), F.col("l_returnflag").alias("tone"), (F.col("l_linestatus") == "F").alias("typed"))
     return tagger.drop_case_endings(chars).select("doc_id", F.col("pos").cast("long").alias("pos"), "tone")
 
 
@@ -345,14 +462,111 @@ def oov_rate(spark, sf_dir):
     return lexicon.oov_rate(_docs(spark, sf_dir), _lexicon(spark, sf_dir), unicode.strip_native(F.col("word"))).select("doc_id", _rounded(F.col("oov")).alias("oov"))
 
 
+def _graphemes_ok(spark, sf_dir):
+    """Variants with the letters and marks of their graphemes."""
+    lexed = _lexicon(spark, sf_dir)
+    each = lexed.select("variant").distinct().select("variant", F.posexplode(unicode.graphemes_column(F.col("variant"))).alias("k", "g"))
+    known = each.join(unicode.grapheme_table(each.select("g").distinct()), "g")
+    rows = F.array_sort(F.collect_list(F.struct("k", "letter", "marks")))
+    return lexed, known.groupBy("variant").agg(rows.alias("r")).select("variant", F.transform("r", lambda x: x["letter"]).alias("bases"), F.transform("r", lambda x: x["marks"]).alias("marks"))
+
+
+@query
+def true_variants(spark, sf_dir):
+    return lexicon.true_variants(*_graphemes_ok(spark, sf_dir))
+
+
+@query
+def lexicon_true_ambiguity(spark, sf_dir):
+    lexed, factors = _graphemes_ok(spark, sf_dir)
+    return lexicon.ambiguity(lexed, lexicon.true_variants(lexed, factors))
+
+
+@query
+def lexicon_stats(spark, sf_dir):
+    return lexicon.stats(_lexicon(spark, sf_dir))
+
+
+@query
+def is_attested(spark, sf_dir):
+    words = _docs(spark, sf_dir).select("lang", F.explode(lexicon.words_of(F.col("text"))).alias("word")).distinct().withColumn("key", F.lower(unicode.strip_native(F.col("word"))))
+    return lexicon.is_attested(words, _lexicon(spark, sf_dir)).groupBy("lang").agg(F.count(F.lit(1)).alias("words"), F.sum(F.col("attested").cast("long")).alias("attested"))
+
+
+#: The languages of documents that have an alphabet.
+_ALPHABETIC = {"fr": "fra", "es": "spa"}
+
+
+def _alphabetic(spark, sf_dir):
+    """All documents under their alphabet's code; those in a language without one have no labels."""
+    code = F.try_element_at(F.create_map(*(F.lit(x) for kv in _ALPHABETIC.items() for x in kv)), F.col("lang"))
+    return _docs(spark, sf_dir).select("doc_id", "text", F.coalesce(code, "lang").alias("lang"))
+
+
+def _space(spark, sf_dir):
+    return labels.build(labels.count_graphemes(_alphabetic(spark, sf_dir)))
+
+
 @query
 def label_space(spark, sf_dir):
     """Legal combinations of French and Spanish letters."""
-    parts = None
-    for lang, code in (("fr", "fra"), ("es", "spa")):
-        own = _marked(spark, sf_dir, lang).select(F.lit(code).alias("lang"), F.explode(unicode.factorize_column(F.col("text"), code)).alias("f")).select("lang", "f.*")
-        parts = own if parts is None else parts.unionByName(own)
-    return tagger.label_space(parts)[1].select("lang", "base", F.array_join("shape", "+").alias("shape"), "tone")
+    space = _space(spark, sf_dir)
+    named = space.legal.join(space.shapes.withColumnRenamed("id", "shape_id"), "shape_id").join(space.tones.withColumnRenamed("id", "tone_id"), "tone_id")
+    return named.select("lang", "base", F.when(F.col("shape") == labels.NONE, "").otherwise(F.col("shape")).alias("shape"), "tone")
+
+
+@query
+def label_chars(spark, sf_dir):
+    return _space(spark, sf_dir).chars.select("char", F.col("id").cast("long").alias("id"))
+
+
+@query
+def label_ids(spark, sf_dir):
+    space = _space(spark, sf_dir)
+    rows = space.shapes.select(F.lit("shape").alias("what"), F.col("shape").alias("name"), "id").unionByName(space.tones.select(F.lit("tone").alias("what"), F.col("tone").alias("name"), "id"))
+    return rows.select("what", "name", F.col("id").cast("long").alias("id"))
+
+
+@query
+def labels_encode(spark, sf_dir):
+    coded = labels.encode(labels.placed(_alphabetic(spark, sf_dir)), _space(spark, sf_dir))
+    return coded.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("id") == labels.UNKNOWN).cast("long")).alias("unknown"), F.sum(F.col("id") * (F.col("pos") % 7 + 1)).cast("long").alias("checksum"))
+
+
+@query
+def labels_gold(spark, sf_dir):
+    rows = labels.gold(labels.placed(_alphabetic(spark, sf_dir)), _space(spark, sf_dir))
+    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("shape_id") > 0).cast("long")).alias("shapes"), F.sum((F.col("tone_id") > 0).cast("long")).alias("tones"))
+
+
+@query
+def eligible_mask(spark, sf_dir):
+    return labels.outcomes(_space(spark, sf_dir)).select("lang", "char", F.col("n_legal").cast("long").alias("n_legal"), "eligible")
+
+
+@query
+def labelspace_from_spec(spark, sf_dir):
+    space = labels.from_alphabets(spark)
+    return space.legal.groupBy("lang").agg(F.count(F.lit(1)).alias("legal"), F.countDistinct("base").alias("bases"))
+
+
+@query
+def der_metrics(spark, sf_dir):
+    """Error rates of texts that lost all their marks."""
+    placed = labels.placed(_alphabetic(spark, sf_dir))
+    factors = unicode.factor_table(placed.select("lang", "g").distinct())
+    made = F.struct(F.col("base").alias("g"), F.array().cast("array<string>").alias("shape"), F.lit("").alias("tone"))
+    pairs = placed.join(factors, ["lang", "g"]).select("lang", F.struct("g", "shape", "tone").alias("gold"), made.alias("restored"), unicode.is_eligible(F.col("base")).alias("eligible"))
+    rates = lexicon.error_rates(pairs, ("lang",))
+    return rates.select("lang", *(_rounded(F.col(c)).alias(c) for c in ("der", "shape_der", "tone_der")))
+
+
+@query
+def exact_match(spark, sf_dir):
+    t = F.col("text")
+    pairs = _docs(spark, sf_dir).select("lang", t.alias("gold"), unicode.strip_native(t).alias("restored"), tagger.strip_invariant(t, unicode.strip_native(t)).alias("kept"))
+    rates = lexicon.text_rates(pairs, ("lang",))
+    return rates.select("lang", _rounded(F.col("exact")).alias("exact"), _rounded(F.col("compliance")).alias("compliance"))
 
 
 # ---------------------------------------------------------------- tokens and vectors
@@ -368,6 +582,17 @@ def subword_round_trip(spark, sf_dir):
     return coded.select("doc_id", "lang", F.size("ids").cast("long").alias("n_tokens"), (subwords.decode(F.col("ids"), path) == F.col("text")).alias("same"))
 
 
+@query
+def token_stats(spark, sf_dir):
+    """Tokens by language under two vocabularies, and what the larger one saves."""
+    import public_tokenizers
+
+    n = lambda name: F.size(subwords.encode(F.col("text"), public_tokenizers.path(name))).cast("long")
+    counted = _docs(spark, sf_dir).select("lang", n("byte_bpe_50k.json").alias("a"), n("word_bpe_49k.json").alias("b"))
+    sums = counted.groupBy("lang").agg(F.count(F.lit(1)).alias("texts"), F.sum("a").alias("bytes_tokens"), F.sum("b").alias("word_tokens"))
+    return sums.withColumn("saved", _rounded(1 - F.col("word_tokens") / F.col("bytes_tokens"), 4))
+
+
 @query
 def cosine_pairs(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
@@ -395,9 +620,9 @@ def rerank_rank(spark, sf_dir):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detect, clean, mask, normalize: doc_id, detected language, masked text, spoken text and mark density."""
-    docs, scored = _lid(spark, sf_dir)
+    docs, *model = _trained(spark, sf_dir)
     done = docs.withColumn("masked", text.mask_pii(text.clean_text(F.col("text"))))
-    return done.join(language_id.predict(scored).withColumnRenamed("lang", "detected"), "doc_id").select("doc_id", "detected", "masked", spoken.speak(F.col("masked"), "ig").alias("spoken"), _rounded(unicode.density_native(F.col("text"))).alias("density"))
+    return done.join(language_id.predict(docs, *model).withColumnRenamed("lang", "detected"), "doc_id").select("doc_id", "detected", "masked", spoken.speak(F.col("masked"), "ig").alias("spoken"), _rounded(unicode.density_native(F.col("text"))).alias("density"))
 
 
 @query

@@ -11,13 +11,32 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 REGISTRY_SCHEMA = "name string, description string, configs array<string>, default_config string, splits array<string>"
+#: The datasets that the models are trained and measured on. Configs: null where there is one; a default where one is taken unasked.
+DATASETS = [
+    {"name": "graded-relevance", "description": "English queries and passages with graded relevance", "configs": ["pairs-graded", "triplets"], "default_config": "pairs-graded", "splits": ["train", "test"]},
+    {"name": "query-passage-pairs", "description": "queries and passages in 25 languages", "configs": None, "default_config": None, "splits": ["train"]},
+    {"name": "passage-questions", "description": "passages and questions that they answer, in 25 languages", "configs": None, "default_config": None, "splits": ["train"]},
+    {"name": "reranker-triples", "description": "queries, passages and hard negatives in 25 languages", "configs": None, "default_config": None, "splits": ["train"]},
+    {"name": "passage-questions-held-out", "description": "passages that no training has seen", "configs": None, "default_config": None, "splits": ["train"]},
+    {"name": "marked-sentences", "description": "sentences without and with their marks, a config a language", "configs": ["es", "fr", "ha", "ig", "it", "pl", "pt", "tr", "vi", "yo"], "default_config": None, "splits": ["test"]},
+]
+#: Vocabulary files by language or variant, names in any case.
+TOKENIZERS = {
+    **{code: f"bpe-50k-{code}.json" for code in ("yo", "ig", "ha", "pcm")},
+    **{name: f"bpe-50k-{code}.json" for name, code in (("yoruba", "yo"), ("igbo", "ig"), ("hausa", "ha"), ("pidgin", "pcm"))},
+    "naija": "bpe-50k-unified.json",
+    **{f"{family}-{size}": f"{family}-{size}/tokenizer.json" for family in ("sw", "kin", "merged") for size in ("50k", "100k", "150k")},
+}
 
 
 class Registry:
     """Named datasets under a root folder: root/name[/config]/split, as Parquet."""
 
-    def __init__(self, root: str, rows: list[dict]):
-        self.root, self.rows = root, {r["name"]: r for r in rows}
+    def __init__(self, root: str, rows: list[dict] | None = None):
+        self.root, self.rows = root, {r["name"]: r for r in (DATASETS if rows is None else rows)}
+
+    def names(self) -> list[str]:
+        return list(self.rows)
 
     def frame(self, spark: SparkSession) -> DataFrame:
         names = [x.split(" ")[0] for x in REGISTRY_SCHEMA.split(", ")]
@@ -53,6 +72,21 @@ class Registry:
         return {s: read(self.path(name, config, s)) for s in self.info(name)["splits"]}
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether Spark can see a file that is not empty, or a folder."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.exists(at)) and (fs.getFileStatus(at).isDirectory() or fs.getFileStatus(at).getLen() > 0)
+
+
+def model_folders(package: str, cache: str | None = None, namespace: str | None = None) -> list[str]:
+    """Where a model file is looked for: the folder that WORDWEFT_MODELS_DIR names, the cache (its namespace first), the package."""
+    named = os.environ.get("WORDWEFT_MODELS_DIR")
+    cached = [os.path.join(cache, namespace.replace("/", "--"))] if cache and namespace else []
+    return [x for x in (named, *cached, cache, package) if x]
+
+
 def resolve_model(filename: str, folders: list[str]) -> str:
     """The first non-empty file of that name in the folders; FileNotFoundError without one. Nothing is downloaded."""
     for folder in folders:
@@ -62,12 +96,69 @@ def resolve_model(filename: str, folders: list[str]) -> str:
     raise FileNotFoundError(f"{filename} is in none of {folders}")
 
 
+def tokenizer_file(lang: str, folders: list[str], path: str | None = None) -> str:
+    """The vocabulary file of a language, variant or file name (.json may be left out), or the given path; FileNotFoundError without it."""
+    if path is not None:
+        for p in (path, f"{path}.json"):
+            if os.path.isfile(p):
+                return p
+        raise FileNotFoundError(path)
+    name = lang.strip()
+    return resolve_model(TOKENIZERS.get(name.lower(), name if name.endswith(".json") else f"{name}.json"), folders)
+
+
 def read_linear_model(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """A linear model in JSON (classes, intercept, features {term: {idf, weights}}) as tables (term, class, idf, weight) and (class, idx, intercept)."""
+    """A linear model in JSON (classes, intercept, features {term: {idf, weights}}) as tables (term, idf, weights) and (class, idx, intercept)."""
     raw = spark.read.option("multiLine", True).schema("classes array<string>, intercept array<double>, features map<string,struct<idf:double,weights:array<double>>>").json(path)
     meta = raw.select(F.posexplode("classes").alias("idx", "class"), "intercept").select("class", "idx", F.get("intercept", F.col("idx")).alias("intercept"))
-    terms = raw.select("classes", F.explode("features").alias("term", "f")).select("term", "f.idf", "f.weights", F.posexplode("classes").alias("idx", "class"))
-    return terms.select("term", "class", "idf", F.get("weights", F.col("idx")).alias("weight")), meta
+    return raw.select(F.explode("features").alias("term", "f")).select("term", "f.idf", "f.weights"), meta
+
+
+def read_viterbi_model(spark: SparkSession, path: str, custom: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Candidates (plain, idx, form), unigrams (form, logp), transitions (prev, cur, logp) of a JSON file; a missing file of the caller's own is an error, else empty tables."""
+    if not path_exists(spark, path):
+        if custom:
+            raise FileNotFoundError(path)
+        empty = lambda schema: spark.createDataFrame([], schema)
+        return empty("plain string, idx int, form string"), empty("form string, logp double"), empty("prev string, cur string, logp double")
+    raw = spark.read.option("multiLine", True).schema("candidates map<string,array<string>>, unigrams map<string,double>, transitions map<string,double>").json(path)
+    candidates = raw.select(F.explode("candidates").alias("plain", "forms")).select("plain", F.posexplode("forms").alias("idx", "form"))
+    words = F.split("pair", " ", 2)
+    moves = raw.select(F.explode("transitions").alias("pair", "logp")).select(words[0].alias("prev"), words[1].alias("cur"), "logp")
+    return candidates, raw.select(F.explode("unigrams").alias("form", "logp")), moves
+
+
+def read_lookup_model(spark: SparkSession, path: str) -> DataFrame:
+    """(width, ctx, out) of a JSON file with a map for each width."""
+    raw = spark.read.option("multiLine", True).schema("db_5 map<string,string>, db_3 map<string,string>, db_1 map<string,string>").json(path)
+    out = None
+    for width in (5, 3, 1):
+        one = raw.select(F.lit(width).alias("width"), F.explode(f"db_{width}").alias("ctx", "out"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def read_lexicon(spark: SparkSession, path: str) -> tuple[DataFrame, bool]:
+    """(lang, key, variant, cnt) of a lexicon in JSON, and whether it was built from densely marked texts; older files hold the table alone."""
+    entries = "map<string,map<string,map<string,bigint>>>"
+    wide = spark.read.option("multiLine", True).schema(f"density_gated boolean, table {entries}").json(path)
+    head = wide.select(F.col("table").isNotNull().alias("new"), F.coalesce("density_gated", F.lit(False)).alias("gated")).first()
+    if head is not None and head["new"]:
+        gated, raw = head["gated"], wide.select(F.explode("table").alias("lang", "keys"))
+    else:
+        langs, gated = spark.read.option("multiLine", True).json(path).columns, False
+        fields = ", ".join(f"`{x}` map<string,map<string,bigint>>" for x in langs)
+        wide = spark.read.option("multiLine", True).schema(fields).json(path)
+        raw = wide.select(F.explode(F.create_map(*(x for lang in langs for x in (F.lit(lang), F.col(f"`{lang}`"))))).alias("lang", "keys"))
+    return raw.select("lang", F.explode("keys").alias("key", "variants")).select("lang", "key", F.explode("variants").alias("variant", "cnt")), gated
+
+
+def read_temperature(spark: SparkSession, path: str | None) -> float:
+    """The shared temperature of a calibration file; 1.0 without a file or a number in it."""
+    if path is None or not path_exists(spark, path):
+        return 1.0
+    found = spark.read.option("multiLine", True).schema("shared double").json(path).first()
+    return 1.0 if found is None or found["shared"] is None else float(found["shared"])
 
 
 def read_prior_model(spark: SparkSession, path: str) -> DataFrame:
