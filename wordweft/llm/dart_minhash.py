@@ -10,7 +10,7 @@ Elements are shingles weighted by how often they occur in the text, so similarit
 sum of the greater. Signatures are banded: ROWS coordinates agree in one of BANDS bands. In each bucket every member is linked to one
 node - a star, not all pairs - and links are verified exactly. Connected components follow. What stars can't decide, members of one
 bucket in different components whose sizes allow the similarity, goes through an exact prefix filter
-(`across`) and is verified too, so no bucket is capped and no link hidden. Copies of a text are one node throughout.
+(`linked_across`) and is verified too, so no bucket is capped and no link hidden. Copies of a text are one node throughout.
 
 Defined results: shingles are runs of five words, a text of fewer words has one shingle of all its words; null and empty texts are copies
 of each other and, like texts of white space only, near-duplicates of their exact copies only; repeated rows fall into one class; different
@@ -33,6 +33,7 @@ ROWS, BANDS = 5, 50
 K = ROWS * BANDS
 SIZE = 5
 SIMILARITY = 0.8
+PARITIES = 32
 #: Characters of text whose signatures are worked out together.
 CHUNK = 600_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -94,6 +95,13 @@ def numbered(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
         return np.where(nth > 0, mix(every + nth.astype(np.uint64) * _GOLD), every)
 
 
+def parities(hashes: np.ndarray, longs: int = PARITIES) -> np.ndarray:
+    """For each of 64 * longs classes of hashes, whether an odd number of these is in it. What two sets have in common cancels out,
+    so the parities that differ are at most the elements that differ."""
+    odd = np.bincount((hashes % np.uint64(64 * longs)).astype(np.int64), minlength=64 * longs) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def dart_signatures(sets: list[np.ndarray], weights: list[np.ndarray] | None = None, k: int = K) -> np.ndarray:
     """Signatures, one row of k 64-bit coordinates for each set of distinct 64-bit hashes; weights are positive, 1 where not given.
 
@@ -175,48 +183,104 @@ def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """pairs (a, b) with whether the exact weighted Jaccard similarity of their shingles (id, s: occurrences numbered) is enough."""
+    sets = sets.select("id", "s")
     one = pairs.join(sets.withColumnsRenamed({"id": "a", "s": "sa"}), "a")
     both = one.join(sets.withColumnsRenamed({"id": "b", "s": "sb"}), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     return both.select("a", "b", (shared >= similarity * (F.size("sa") + F.size("sb") - shared) - 1e-9).alias("near"))
 
 
-def across(rest: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of nodes (id, n, label) of different labels that may be similar enough: none that is gets lost.
+def prefixes(rest: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Keys (x, c) of nodes (id, n), written: two nodes similar enough share a key, one of them as the smaller, one as the larger.
 
     Nodes order their shingles by how many nodes have them, rare ones first. The first shingle that two similar nodes share stands so
     early in both orders that enough shingles can follow; only shingles up to there are keys. How early depends on the sizes
     of both, so the larger node of a pair has a key for each class of sizes that the smaller may have. A shingle that one node
-    alone has is no key, so nodes that differ from all others by many shingles of their own, however
-    many they are, meet nobody. Nodes of the commonest label of a key are compared with the others only.
+    alone has is no key, so nodes that differ from all others by many shingles of their own, however many they are, meet nobody.
     """
     share = similarity / (1 + similarity)  # of both sizes, that similar sets have in common at least
     step = -np.log1p(-0.02)
     size_class = lambda n: F.floor(F.log(n) / step)
-    shingle = rest.join(sets, "id").select("id", F.explode("s").alias("x"))
+    shingle = rest.join(sets.select("id", "s"), "id").select("id", F.explode("s").alias("x"))
     common = shingle.groupBy("x").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     ordered = shingle.join(common, "x").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("c", "x"))).alias("xs"))  # at most a text's shingles
-    n = F.col("n").cast("double")
-    at = F.col("n") - F.size("xs") + F.col("k")  # shingles before it, those that nobody else has included
-    placed = rest.join(ordered, "id").select("id", "n", "label", "xs", F.posexplode(F.slice("xs", F.lit(1), F.greatest(F.lit(0), F.floor(n * (1 - similarity) + 1e-6).cast("int") + 1 - (F.col("n") - F.size("xs")).cast("int")))).alias("k", "one"))
-    placed = placed.select("id", "n", "label", at.alias("at"), F.col("one.x").alias("x"))
+    n, alone = F.col("n").cast("double"), (F.col("n") - F.size("xs")).cast("int")
+    early = F.greatest(F.lit(0), F.floor(n * (1 - similarity) + 1e-6).cast("int") + 1 - alone)
+    placed = rest.join(ordered, "id").select("id", "n", alone.alias("alone"), F.posexplode(F.slice("xs", F.lit(1), early)).alias("k", "one"))
+    placed = placed.select("id", "n", (F.col("alone") + F.col("k")).alias("at"), F.col("one.x").alias("x"))  # at: shingles before it
     smaller = placed.where(F.col("at") <= n * (1 - 2 * share) + 1e-6).withColumn("c", size_class(n))
     # With a smaller partner of size m, shingles up to n - share * (n + m) before it leave room.
     most = F.least(n, (n - F.col("at") + 1e-6) / share - n)
     least = n * similarity - 1e-6
     larger = placed.where(most >= least).withColumn("c", F.explode(F.sequence(size_class(F.greatest(least, F.lit(0.5))), size_class(most + 1e-6))))
-    keys = cut(smaller.withColumn("small", F.lit(True)).unionByName(larger.withColumn("small", F.lit(False))), "prefixes")
-    votes = keys.groupBy("x", "c", "label").agg(F.count(F.lit(1)).alias("v"), F.max("small").alias("s"), F.min("small").alias("l"))
+    return cut(smaller.withColumn("small", F.lit(True)).unionByName(larger.withColumn("small", F.lit(False))), "prefixes")
+
+
+def live_keys(keys: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of keys where nodes of different labels meet, written, with label, and other: whether it is not the key's commonest label."""
+    marked = keys.join(labels, "id")
+    votes = marked.groupBy("x", "c", "label").agg(F.count(F.lit(1)).alias("v"), F.max("small").alias("s"), F.min("small").alias("l"))
     mixed = votes.groupBy("x", "c").agg(F.max_by("label", "v").alias("top"), F.min("label").alias("low"), F.max("label").alias("high"), F.max("s").alias("s"), F.min("l").alias("l")).where("low != high and s and not l").select("x", "c", "top")
-    live = cut(keys.join(mixed, ["x", "c"]).withColumn("other", F.col("label") != F.col("top")).drop("top"), "mixed-prefixes")
-    side = lambda small, mark: live.where(F.col("small") == small).select("x", "c", *(F.col(k).alias(f"{k}_{mark}") for k in ("id", "n", "label", "at", "other")))
+    return cut(marked.join(mixed, ["x", "c"]).withColumn("other", F.col("label") != F.col("top")).drop("top"), "mixed-prefixes")
+
+
+def hub_pairs(live: DataFrame, similarity: float, hubs: int = 4) -> DataFrame:
+    """For each key a few nodes of the commonest label, others for other keys, with every node of other labels: linear in the keys."""
+    pick = lambda turn: F.min(F.struct(F.xxhash64("id", "x", F.lit(turn)).alias("h"), "id", "n"))
+    picked = live.where("not other").groupBy("x", "c").agg(F.array(*map(pick, range(hubs))).alias("hubs"))
+    met = live.where("other").join(picked, ["x", "c"]).select("id", "n", F.explode(F.array_distinct("hubs")).alias("hub"))
+    fits = F.least("n", "hub.n") + 1e-6 >= similarity * F.greatest("n", "hub.n")
+    return met.where(fits).select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
+
+
+def all_pairs(live: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Every pair (a, b) of nodes of different labels that share a key and may be similar enough. Nodes of a key's commonest label are compared with the others only."""
+    share = similarity / (1 + similarity)
+    live = live.join(sets.select("id", "p"), "id")
+    side = lambda small, mark: live.where(F.col("small") == small).select("x", "c", *(F.col(k).alias(f"{k}_{mark}") for k in ("id", "n", "label", "at", "other", "p")))
     a, b = side(True, "a"), side(False, "b")
     room = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) + 1e-6 >= share * (F.col("n_a") + F.col("n_b"))
     fits = (F.col("label_a") != F.col("label_b")) & (F.col("n_a") <= F.col("n_b")) & (F.col("n_a") + 1e-6 >= similarity * F.col("n_b")) & room
+    differ = sum((F.bit_count(F.col("p_a")[i].bitwiseXOR(F.col("p_b")[i])) for i in range(1, PARITIES)), F.bit_count(F.col("p_a")[0].bitwiseXOR(F.col("p_b")[0])))
+    fits &= differ <= (1 - 2 * share) * (F.col("n_a") + F.col("n_b")) + 1e-6
     met = a.where("other_a").join(b, ["x", "c"]).where(fits).unionByName(a.where("not other_a").join(b.where("other_b"), ["x", "c"]).where(fits))
-    pairs = cut(met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct(), "pairs")
-    drop(keys, live)
-    return pairs
+    return met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
+
+
+def _with(rows: DataFrame, of_label: DataFrame, salts: int = 16) -> DataFrame:
+    """rows left-joined with of_label, which has a row a label; a label that very many rows have is dealt over several tasks."""
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
+    return dealt.join(of_label.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["label", "_salt"], "left").drop("_salt")
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (id, label), written anew, with the labels of linked nodes (a, b) made one; labels has all nodes."""
+    of = lambda c: labels.select(F.col("id").alias(c), F.col("label").alias(f"l{c}"))
+    joined = components(links.join(of("a"), "a").join(of("b"), "b").where("la != lb").select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    new = cut(_with(labels, joined.select(F.col("id").alias("label"), F.col("label").alias("new"))).select("id", F.coalesce("new", "label").alias("label")), "merged-labels")
+    drop(labels, joined)
+    return new
+
+
+def linked_across(rest: DataFrame, sets: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
+    """labels with those of all similar nodes of rest (id, n) made one; every similar pair is met unless its labels are one already.
+
+    First each node is compared with a few nodes of its keys' commonest labels, which merges what has many links; then all
+    pairs of different labels that are left, few by then, are compared.
+    """
+    keys = prefixes(rest, sets, similarity)
+    for pairs_of in (lambda live: hub_pairs(live, similarity), lambda live: all_pairs(live, sets, similarity)):
+        live = live_keys(keys, labels)
+        drop(keys)
+        asked = cut(pairs_of(live), "pairs")
+        links = cut(verified(asked, sets, similarity).where("near").select("a", "b"), "more-links")
+        if links.limit(1).count():
+            labels = merged(labels, links)
+        drop(asked, links)
+        keys = live.select("x", "c", "id", "n", "at", "small")
+        keys._cut_path = live._cut_path
+    drop(keys)
+    return labels
 
 
 def components(edges: DataFrame, what: str = "labels") -> DataFrame:
@@ -250,32 +314,30 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
     shared = cut(members.join(leaders, "bucket").select("bucket", "first", "id", "n"), "buckets")
     stars = cut(shared.where("id != first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct(), "stars")
 
-    @F.pandas_udf("array<bigint>")
-    def occurrences(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: _signed(numbered(*shingles(t))))
+    @F.pandas_udf("s array<bigint>, p array<bigint>")
+    def occurrences(texts: pd.Series) -> pd.DataFrame:
+        every = [numbered(*shingles(t)) for t in texts]
+        return pd.DataFrame({"s": [_signed(x) for x in every], "p": [parities(x) for x in every]})
 
-    involved = stars.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    involved = cut(stars.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "involved")
     wanted = nodes.join(involved, "id").select("id", F.col("digest").alias("_of"), F.col("least").alias("_key"))
     read = docs.select(F.col(key).alias("_k"), digest(F.col(text)).alias("_d"), F.col(text).alias("text"))
     texts = read.join(wanted, (F.col("_d") == F.col("_of")) & F.col("_k").eqNullSafe(F.col("_key"))).groupBy("id").agg(F.first("text").alias("text"))
-    sets = cut(texts.select("id", occurrences("text").alias("s")), "shingles")
+    sets = cut(texts.select("id", occurrences("text").alias("o")).select("id", "o.*"), "shingles")
     linked = cut(verified(stars, sets, similarity).where("near").select("a", "b"), "links")
-    labels = components(linked)
+    stars_labels = components(linked)
+    labels = cut(involved.join(stars_labels, "id", "left").select("id", F.coalesce("label", "id").alias("label")), "star-labels")
     # Members of one bucket in different components, of sizes that allow the similarity: the star has not compared them with each other.
-    placed = shared.join(labels, "id", "left").select("bucket", "id", "n", F.coalesce("label", "id").alias("label"))
-    sized = placed.withColumn("size", F.floor(F.log(F.col("n").cast("double")) / -np.log(similarity))).withColumn("size", F.explode(F.array("size", F.col("size") + 1)))
+    sized = shared.join(labels, "id").withColumn("size", F.floor(F.log(F.col("n").cast("double")) / -np.log(similarity))).withColumn("size", F.explode(F.array("size", F.col("size") + 1)))
     mixed = sized.groupBy("bucket", "size").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("bucket", "size")
-    rest = cut(sized.join(mixed, ["bucket", "size"]).select("id", "n", "label").distinct(), "undecided")
-    pairs = across(rest, sets, similarity)
-    more = cut(verified(pairs.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), sets, similarity).where("near").select("a", "b"), "more-links")
-    if more.limit(1).count():
-        drop(labels)
-        labels = components(linked.union(more), "final-labels")
-    drop(shared, stars, sets, linked, rest, pairs, more)
+    rest = cut(sized.join(mixed, ["bucket", "size"]).select("id", "n").distinct(), "undecided")
+    drop(shared, stars, linked, stars_labels)
+    labels = linked_across(rest, sets, labels, similarity)
+    drop(sets, rest, involved)
     known = nodes.select("digest", "least", "n_rows", "id").join(labels, "id", "left")
     heads = known.where(F.col("label").isNotNull()).groupBy("label").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "id")).alias("head"))
     out = cut(
-        known.join(heads, "label", "left").select(
+        _with(known, heads).select(
             "digest", "least", "n_rows", F.when(F.col("head").isNull(), F.col("least")).otherwise(F.col("head.least")).alias("class_id"), F.coalesce(F.col("head.id") == F.col("id"), F.lit(True)).alias("head")
         ),
         "classes",
