@@ -11,7 +11,8 @@ a block is the coefficient b - 128 at zigzag place k. Blocks fill the luma and c
 segment holds the number of payload blocks. Both DC and AC coefficients go through several scans.
 
 Defined results: null counts as an empty text, which has one block of zeros; equal texts give equal files; repeated rows give
-repeated rows; extra columns are ignored.
+repeated rows; extra columns are ignored; an empty table gives an empty result. In `decode_media`, null files, files that are not progressive
+JPEG, and files that are broken or end before their last marker give nulls. Sides hold 65,535 pixels, so a text may have the 2 GB that a string can.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ BLOCK = 64
 CHUNK = 2_500_000
 #: Blocks in a restart interval of written files: of units in interleaved scans, of a component's blocks in the others.
 INTERVAL = 16
-#: Units in a row of a written image.
-UNITS_A_ROW = 64
+#: Units in a row of a written image, more where the height would not fit the format's 16 bits; units that its sides can have.
+UNITS_A_ROW, MOST_UNITS = 64, 65535 // 16
 
 
 def zigzag() -> np.ndarray:
@@ -228,7 +229,7 @@ def write(payloads: list[bytes]) -> list[bytes]:
     for p in payloads:
         n = len(p) // BLOCK
         units = -(-n // 6)
-        w = min(units, UNITS_A_ROW)
+        w = min(units, max(UNITS_A_ROW, -(-units // MOST_UNITS)))
         h = -(-units // w)
         own = np.zeros((w * h * 6, BLOCK), dtype=np.int16)
         own[:n] = np.frombuffer(p, dtype=np.uint8).reshape(n, BLOCK).astype(np.int16) - 128
@@ -325,7 +326,9 @@ def parse(data: bytes) -> Image:
     if data[:2] != b"\xff\xd8":
         raise ValueError("not a JPEG file")
     out, huff, at, interval = Image(), {}, 2, 0
-    while at < len(data):
+    while True:
+        if at + 1 >= len(data):
+            raise ValueError("the end is missing")
         marker = data[at + 1]
         if data[at] != 0xFF:
             raise ValueError("a marker is missing")
@@ -639,16 +642,38 @@ def _chunks(sizes: pd.Series) -> pd.Series:
     return sizes.cumsum() // CHUNK
 
 
+def _decoded(files: list[bytes]) -> list[np.ndarray | None]:
+    """Tensors of files, null for those that can't be read; a file that breaks its batch is found by reading each alone."""
+    held: dict[int, Image] = {}
+    for i, f in enumerate(files):
+        try:
+            im = parse(f)
+            if im.scans and im.comps and im.width and im.height and len(im.comps) in (1, 3):
+                held[i] = im
+        except (ValueError, IndexError, KeyError):
+            pass
+    out: list[np.ndarray | None] = [None] * len(files)
+    try:
+        images, coef = read_coefficients([files[i] for i in held])
+        for i, im in zip(held, images, strict=True):
+            out[i] = to_rgb(im, coef)
+    except (ValueError, IndexError, KeyError, TypeError, OverflowError):
+        if len(files) > 1:
+            return [_decoded([f])[0] for f in files]
+        return [None]
+    return out
+
+
 def decode_media(media: DataFrame, key: str, column: str = "media") -> DataFrame:
-    """key, width, height and rgb (bytes of the tensor, rows of pixels of three channels) of progressive JPEG files; null files give nulls."""
+    """key, width, height and rgb (bytes of the tensor, rows of pixels of three channels) of progressive JPEG files; nulls where there is none to be read."""
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
             for _, b in whole.groupby(_chunks(whole[column].str.len().fillna(0)), sort=False):
                 held = b[b[column].notna()]
-                images, coef = read_coefficients([bytes(x) for x in held[column]])
-                tensors = {i: to_rgb(im, coef) for i, im in zip(held.index, images, strict=True)}
-                yield pd.DataFrame([(k, *((t.shape[1], t.shape[0], t.tobytes()) if (t := tensors.get(i)) is not None else (None, None, None))) for i, k in zip(b.index, b[key], strict=True)], columns=[key, "width", "height", "rgb"])
+                tensors = dict(zip(held.index, _decoded([bytes(x) for x in held[column]]), strict=True))
+                rows = [(k, *((t.shape[1], t.shape[0], t.tobytes()) if (t := tensors.get(i)) is not None else (None, None, None))) for i, k in zip(b.index, b[key], strict=True)]
+                yield pd.DataFrame(rows, columns=[key, "width", "height", "rgb"]).astype({"width": "Int32", "height": "Int32"})
 
     kind = media.schema[key].dataType.simpleString()
     return media.select(key, column).mapInPandas(decode, f"{key} {kind}, width int, height int, rgb binary")
