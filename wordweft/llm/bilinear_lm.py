@@ -1,10 +1,12 @@
 """Language-model scoring with a log-bilinear neural model trained in numpy by noise-contrastive estimation.
 
-Three things are gathered from all training texts: token counts, and counts of (two tokens before, token) over classes. Classes
-are the CLASSES - 1 most frequent tokens and one for all others, so the class counts have at most (CLASSES + 1)^2 * CLASSES
-cells whatever the input, and the network is fitted to the whole corpus through them. Inside the class of all others
-a token has its smoothed share of the counts. Batched matrix products over all contexts give normalised
-log-probabilities of the classes.
+The output has two levels, so that normalising stays a small matrix product. Classes: the FIRST most frequent tokens have one each, all
+others share BUCKETS classes by a hash of their last two bytes, whose mix of languages and forms a context tells a lot about. Units: inside its class, a
+token of at least 1 / SECOND of all counts has a unit of its own, and the class's other tokens share one, inside which each has its
+smoothed share of the counts. A network predicts the class from the classes of the two tokens before, another the unit from the class
+and the class of the token before. Both are fitted to counts over all training texts - class counts with at most
+(CLASSES + 1)^2 * CLASSES cells, unit counts with at most (SECOND + BUCKETS) * (CLASSES + 1) - and batched matrix products give both normalised
+log-probabilities for every context.
 
 Tokens with at least 1 / FREQUENT of all counts - there are at most FREQUENT - are sent to every worker; the others are looked up
 by a join on the token, so no vocabulary is collected.
@@ -17,19 +19,24 @@ and classes are equally likely; extra columns are ignored.
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordweft.llm.common import cut, in_fold
 
-CLASSES = 127
+FIRST, BUCKETS = 64, 96
+CLASSES = FIRST + BUCKETS
+SECOND = 20_000
 FREQUENT = 400_000
+#: Fewer occurrences than this tell nothing about contexts.
+LEAST = 5
 #: The end of a text; no word is empty.
 END = b""
 _FLUSH = 400_000
@@ -62,6 +69,24 @@ def count_tokens(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(text).mapInPandas(counted, "token string, c bigint").groupBy("token").agg(F.sum("c").alias("c"))
 
 
+def bucket(token: bytes) -> int:
+    """The class of a token that has none of its own."""
+    return FIRST + zlib.crc32(token[-2:]) % BUCKETS
+
+
+def bucket_column(token: Column) -> Column:
+    raw = F.encode(token, "UTF-8")
+    return F.crc32(F.when(F.octet_length(raw) <= 2, raw).otherwise(F.substring(raw, -2, 2))) % BUCKETS + FIRST
+
+
+class _Buckets(dict):
+    """bucket by the last two bytes, remembered."""
+
+    def __missing__(self, end: bytes) -> int:
+        self[end] = found = bucket(end)
+        return found
+
+
 def _dealt(counts: np.ndarray, batches: int, rng: np.random.Generator) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """One epoch: places of cells and weights that add up to every cell's count. Heavy cells are split over all batches, so that no batch is one cell's."""
     heavy = np.flatnonzero(counts * batches * 10 > counts.sum())
@@ -130,28 +155,101 @@ def train(cells: np.ndarray, counts: np.ndarray, classes: int = CLASSES, width:
     return table
 
 
+def train_units(cells: np.ndarray, counts: np.ndarray, unit_class: np.ndarray, mass: np.ndarray, classes: int = CLASSES, width: int = 32, noise: int = 4, seed: int = 11, epochs: int = 6, batch: int = 32_768) -> np.ndarray:
+    """log10 P(unit | its class, class before) of shape (units, classes + 1), fitted by NCE to counted cells unit * (classes + 1) + class before.
+
+    unit_class gives the class of every unit and mass its smoothed count. Noise for a unit comes from its own class, by mass. Every epoch goes over every
+    cell whose unit is not alone in its class, weighted by its count; batch bounds the cells held at once.
+    """
+    rng = np.random.default_rng(seed)
+    sorted_cells = np.argsort(cells, kind="stable")
+    cells, counts = cells[sorted_cells], counts[sorted_cells]
+    units = len(unit_class)
+    order = np.argsort(unit_class, kind="stable")
+    inside = np.bincount(unit_class, mass, classes)
+    share = mass / inside[unit_class]
+    # Units of one class stand together; the running sum of their shares finds the unit of a random place.
+    cum = np.cumsum(share[order])
+    of_class = unit_class[order]
+    low = np.searchsorted(of_class, np.arange(classes), side="left")
+    size = np.searchsorted(of_class, np.arange(classes), side="right") - low
+    r, q = rng.normal(0, 0.1, (classes + 1, width)).astype(np.float32), rng.normal(0, 0.1, (units, width)).astype(np.float32)
+    bias = np.log(share).astype(np.float32)
+    log_noise = np.log(noise * share).astype(np.float32)
+    weights = [r, q, bias]
+    squares = [np.full_like(w, 1e-6) for w in weights]
+    unit, before = cells // (classes + 1), cells % (classes + 1)
+    live = size[unit_class[unit]] > 1
+    unit, before, counts = unit[live], before[live], counts[live]
+    batches = max(40, -(-len(unit) // batch)) if len(unit) else 0
+    steps, step = batches * epochs, 0
+    for _ in range(epochs if batches else 0):
+        for cell, times in _dealt(counts, batches, rng):
+            if not len(cell):
+                continue
+            u, p, m = unit[cell], before[cell], times.astype(np.float32)
+            x = unit_class[u]
+            start = np.where(low[x] > 0, cum[low[x] - 1], 0.0)
+            at = np.searchsorted(cum, start[:, None] + rng.random((len(u), noise)) * (cum[low[x] + size[x] - 1] - start)[:, None], side="right")
+            n = order[np.clip(at, low[x][:, None], (low[x] + size[x] - 1)[:, None])]
+            every = np.concatenate([u[:, None], n], axis=1)
+            guess, rows = r[p], q[every]
+            score = np.einsum("bd,bkd->bk", guess, rows) + bias[every] - log_noise[every]
+            wrong = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
+            wrong[:, 0] -= 1
+            wrong *= m[:, None]
+            flat = every.ravel()
+            d_q = np.zeros_like(q)
+            np.add.at(d_q, flat, (wrong[:, :, None] * guess[:, None, :]).reshape(-1, width))
+            d_r = np.zeros_like(r)
+            np.add.at(d_r, p, np.einsum("bk,bkd->bd", wrong, rows))
+            d_b = np.bincount(flat, wrong.ravel(), units).astype(np.float32)
+            rate = np.float32(0.15 * (1 - step / steps) + 0.005)
+            step += 1
+            for w, d, s in zip(weights, (d_r, d_q, d_b), squares, strict=True):
+                d /= np.float32(max(m.sum(), 1e-30))
+                s += d * d
+                w -= rate * d / np.sqrt(s)
+    table = q @ r.T + bias[:, None]
+    for x in range(classes):
+        own = order[low[x] : low[x] + size[x]]
+        if len(own):
+            z = table[own] - table[own].max(0, keepdims=True)
+            table[own] = (z - np.log(np.exp(z).sum(0, keepdims=True))) / math.log(10)
+    return table
+
+
 @dataclass
 class Vocabulary:
-    """What every worker gets: frequent tokens with their counts, classes first, and the totals."""
+    """What every worker gets: frequent tokens with their counts by falling count, and the totals.
+
+    class_of and unit_of: by place in frequent. The units are those of the first n_units tokens, then one of every class for the rest; rest: for each class the
+    smoothed mass of its tokens without a unit, unseen ones included.
+    """
 
     frequent: dict[bytes, int]
     c: np.ndarray
-    n_classes: int
+    n_units: int
     total: int
     distinct: int
+    class_of: np.ndarray
+    rest: np.ndarray
 
     @property
     def z(self) -> float:
         return self.total + 0.1 * (self.distinct + 1)
 
     @property
-    def rare_z(self) -> float:
-        """Smoothed mass of all tokens that share the last class, unseen ones included."""
-        return self.total - float(self.c[: self.n_classes].sum()) + 0.1 * (self.distinct - self.n_classes) + 0.1
+    def unit_of(self) -> np.ndarray:
+        return np.where(np.arange(len(self.c)) < self.n_units, np.arange(len(self.c)), self.n_units + self.class_of)
 
-    def class_of(self) -> np.ndarray:
-        """By place in frequent; the last entry, which -1 finds, is for all tokens that aren't there."""
-        return np.append(np.minimum(np.arange(len(self.c)), CLASSES - 1) if self.n_classes == CLASSES - 1 else np.where(np.arange(len(self.c)) < self.n_classes, np.arange(len(self.c)), CLASSES - 1), CLASSES - 1)
+    @property
+    def unit_class(self) -> np.ndarray:
+        return np.concatenate([self.class_of[: self.n_units], np.arange(CLASSES)])
+
+    @property
+    def unit_mass(self) -> np.ndarray:
+        return np.concatenate([self.c[: self.n_units] + 0.1, self.rest])
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
@@ -159,19 +257,31 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     rows = counts.where(F.col("c") * FREQUENT >= total).toPandas() if total else pd.DataFrame({"token": [], "c": []})
     rows = rows.sort_values(["c", "token"], ascending=[False, True])
     names = [t.encode() for t in rows["token"]]
-    return Vocabulary({t: i for i, t in enumerate(names)}, rows["c"].to_numpy(dtype=np.int64), min(CLASSES - 1, len(names)), int(total), int(distinct))
-
-
-def _flat(texts: list[str | None], vocab: dict[bytes, int], end: int) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
-    """Places of all tokens of a batch, where each text starts, and the tokens themselves."""
+    c = rows["c"].to_numpy(dtype=np.int64)
+    class_of = np.array([i if i < FIRST else bucket(t) for i, t in enumerate(names)], dtype=np.int64)
+    n_units = int(((c >= LEAST) & (c * SECOND >= total)).sum()) if len(c) else 0
+    n_units = max(n_units, min(FIRST, len(c)))
+    # Mass by class: of all tokens by their hash, a row a bucket, less those that have a unit.
+    mass = np.zeros(CLASSES)
+    for x, s, n in counts.groupBy(bucket_column(F.col("token")).alias("x")).agg(F.sum("c"), F.count(F.lit(1))).collect():
+        mass[x] = s + 0.1 * n
+    own = np.array([bucket(t) for t in names[:n_units]], dtype=np.int64)
+    rest = np.maximum(mass - np.bincount(own, c[:n_units] + 0.1, CLASSES), 0.0) + 0.1
+    rest[:FIRST] = 1e-9  # no token without a unit has one of these classes
+    return Vocabulary({t: i for i, t in enumerate(names)}, c, n_units, int(total), int(distinct), class_of, rest)
+
+
+def _flat(texts: list[str | None], vocab: dict[bytes, int], end: int, buckets: _Buckets) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
+    """Places of all tokens of a batch, ~class where they are not in vocab, where each text starts, and the tokens themselves."""
     ids: list[int] = []
     starts, toks = [], []
     get = vocab.get
+    last = end if end >= 0 else ~buckets[END]
     for t in texts:
         own = tokens(t)
         starts.append(len(ids))
-        ids += [get(w, -1) for w in own]
-        ids.append(end)
+        ids += [i if (i := get(w, -1)) >= 0 else ~buckets[w[-2:]] for w in own]
+        ids.append(last)
         toks.append(own)
     return np.array(ids, dtype=np.int64), np.array(starts, dtype=np.int64), toks
 
@@ -193,26 +303,38 @@ def _batches(b: pd.DataFrame, text: str, chars: int = 4_000_000) -> Iterator[pd.
         yield part
 
 
-def class_counts(docs: DataFrame, vocab: Vocabulary, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """Cells and counts over all texts; at most (CLASSES + 1)^2 * CLASSES cells."""
-    shared = docs.sparkSession.sparkContext.broadcast(({t: i for t, i in vocab.frequent.items() if i < vocab.n_classes}, vocab.frequent.get(END, -1)))
+def _placed(ids: np.ndarray, of: np.ndarray, rare: np.ndarray) -> np.ndarray:
+    """of by place, rare where a token is not in the vocabulary."""
+    return np.where(ids >= 0, np.append(of, 0)[np.maximum(ids, -1)], rare)
+
+
+def context_counts(docs: DataFrame, vocab: Vocabulary, text: str = "text") -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Cells and counts over all texts, of classes after two classes and of units after one class."""
+    n_class = (CLASSES + 1) ** 2 * CLASSES
+    shared = docs.sparkSession.sparkContext.broadcast((vocab.frequent, vocab.class_of, vocab.unit_of, vocab.n_units))
 
     def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, end = shared.value
-        found = np.zeros((CLASSES + 1) ** 2 * CLASSES, dtype=np.int64)
+        names, class_of, unit_of, n_units = shared.value
+        end, buckets = names.get(END, -1), _Buckets()
+        found = np.zeros(n_class, dtype=np.int32)
+        units = np.zeros((n_units + CLASSES) * (CLASSES + 1), dtype=np.int32)
         for whole in batches:
             for b in _batches(whole, text):
-                ids, starts, _ = _flat(b[text].tolist(), names, end)
-                cls = np.where((ids < 0) | (ids >= CLASSES - 1), CLASSES - 1, ids)
+                ids, starts, _ = _flat(b[text].tolist(), names, end, buckets)
+                cls = _placed(ids, class_of, ~ids)
                 p1, p2 = _contexts(cls, starts)
-                at, n = np.unique((p2 * (CLASSES + 1) + p1) * CLASSES + cls, return_counts=True)
-                found[at] += n
-        at = np.flatnonzero(found)
-        if len(at):
-            yield pd.DataFrame({"cell": at.astype(np.int32), "n": found[at]})
+                for into, at in ((found, (p2 * (CLASSES + 1) + p1) * CLASSES + cls), (units, _placed(ids, unit_of, n_units + ~ids) * (CLASSES + 1) + p1)):
+                    cell, n = np.unique(at, return_counts=True)
+                    into[cell] += n.astype(np.int32)
+        for held, base in ((found, 0), (units, n_class)):
+            at = np.flatnonzero(held)
+            if len(at):
+                yield pd.DataFrame({"cell": (at + base).astype(np.int32), "n": held[at].astype(np.int64)})
 
     got = docs.select(text).mapInPandas(cells, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    return got["cell"].to_numpy(dtype=np.int64), got["n"].to_numpy(dtype=np.float64)
+    cell, n = got["cell"].to_numpy(dtype=np.int64), got["n"].to_numpy(dtype=np.float64)
+    own = cell < n_class
+    return (cell[own], n[own]), (cell[~own] - n_class, n[~own])
 
 
 def score(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -220,23 +342,26 @@ def score(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str =
     spark = docs.sparkSession
     counts = cut(count_tokens(training, text), "token-counts")
     vocab = vocabulary(counts)
-    table = train(*class_counts(training, vocab, text))
-    shared = spark.sparkContext.broadcast((vocab, table))
-    log_z, log_rare = math.log10(vocab.z), math.log10(vocab.rare_z)
+    classes, units = context_counts(training, vocab, text)
+    shared = spark.sparkContext.broadcast((vocab, train(*classes), train_units(*units, vocab.unit_class, vocab.unit_mass)))
+    log_z = math.log10(vocab.z)
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocab, table = shared.value
-        end = vocab.frequent.get(END, -1)
-        class_of = vocab.class_of()
-        logs = np.log10(vocab.c + 0.1)
-        base = np.append(logs - math.log10(vocab.z), 0.0)
-        inside = np.append(np.where(class_of[:-1] == CLASSES - 1, logs - math.log10(vocab.rare_z), 0.0), 0.0)
+        vocab, table, unit_table = shared.value
+        end, buckets = vocab.frequent.get(END, -1), _Buckets()
+        logs, log_rest = np.log10(vocab.c + 0.1), np.log10(vocab.rest)
+        base = logs - math.log10(vocab.z)
+        inside = np.where(np.arange(len(vocab.c)) < vocab.n_units, 0.0, logs - log_rest[vocab.class_of]) if len(logs) else logs
         for whole in batches:
             for b in _batches(whole, text):
-                ids, starts, toks = _flat(b[text].tolist(), vocab.frequent, end)
-                cls = class_of[ids]
+                ids, starts, toks = _flat(b[text].tolist(), vocab.frequent, end, buckets)
+                known = ids >= 0
+                cls = _placed(ids, vocab.class_of, ~ids)
+                unit = _placed(ids, vocab.unit_of, vocab.n_units + ~ids)
                 p1, p2 = _contexts(cls, starts)
                 add = lambda x: np.add.reduceat(x, starts)  # noqa: B023, E731
+                # Of a token that is looked up, only the logarithm of its count is still to come.
+                share = _placed(ids, inside, -log_rest[np.where(known, 0, ~ids)])
                 rare = [Counter([w for w in t if w not in vocab.frequent]) for t in toks]
                 if end < 0:
                     for r in rare:
@@ -246,9 +371,9 @@ def score(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str =
                         key: b[key].to_numpy(),
                         "row": b["row"].to_numpy(),
                         "n_tokens": [len(t) + 1 for t in toks],
-                        "known": add((ids >= 0).astype(np.int64)),
-                        "base": add(base[ids]),
-                        "model": add(table[p2, p1, cls].astype(np.float64) + inside[ids]),
+                        "known": add(known.astype(np.int64)),
+                        "base": add(_placed(ids, base, np.zeros(len(ids)))),
+                        "model": add(table[p2, p1, cls].astype(np.float64) + unit_table[unit, p1] + share),
                         "rare": [[w.decode("utf-8", "replace") for w in r] for r in rare],
                         "times": [list(r.values()) for r in rare],
                     }
@@ -272,7 +397,7 @@ def score(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str =
         (F.col("known") + zero("seen")).cast("long").alias("n_known"),
         F.lit(vocab.total).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("logs", F.lit(0.0)) - zero("times") * log_z).alias("base_score"),
-        (F.col("model") + F.coalesce("logs", F.lit(0.0)) - zero("times") * log_rare).alias("score"),
+        (F.col("model") + F.coalesce("logs", F.lit(0.0))).alias("score"),
     )
 
 
