@@ -53,6 +53,49 @@ def test_rule_ensemble_learns_and_scores_everything(spark, texts):
     assert rule_ensemble.classify(docs.where("false"), ensemble).count() == 0
 
 
+def statistics_by_hand(text):
+    t = text or ""
+    w = [x for x in re.split(r"[\x20\x09-\x0D]+", t) if x]
+    lines = t.split("\n")
+    n = max(1, len(w))
+    upper = {chr(c) for c in [*range(0x41, 0x5B), *range(0xC0, 0xDF)] if c != 0xD7}
+    count = lambda chars: sum(c in chars for c in t)
+    return {
+        "words": len(w),
+        "chars_a_word": (len(t) - count(" \t\n\x0b\f\r")) / n,
+        "symbols_a_word": count("#*$%&<>@\\^~{}[]_+=") / n,
+        "bars_a_word": count("|") / n,
+        "shouts_a_word": count("!?") / n,
+        "stops_a_word": count(".,;:") / n,
+        "digits_a_char": count("0123456789") / max(1, len(t)),
+        "upper_a_char": count(upper) / max(1, len(t)),
+        "repeated_lines": 1 - len(set(lines)) / len(lines),
+        "repeated_words": 1 - len(set(w)) / n,
+        "stutter": sum(x == y for x, y in zip(w, w[1:])) / n,
+    }
+
+
+def test_statistics_and_compiled_rules_by_brute_force(spark, texts):
+    rng = random.Random(12)
+    own = [*texts, "A|B ! ? 12 a a a\n\nÀÖ×ß #x\n\n", *("".join(rng.choice("ab A1.!|#\n\t é") for _ in range(rng.randrange(200))) for _ in range(120))]
+    docs = documents(spark, own, words=["x"] * len(own))
+    got = {r.doc_id: r["_stats"].asDict() for r in rule_ensemble.with_statistics(docs).collect()}
+    for i, t in enumerate(own):
+        wanted = statistics_by_hand(t)
+        assert got[i].keys() == wanted.keys() and all(abs(got[i][k] - v) < 1e-12 for k, v in wanted.items())
+    x = {k: np.array([got[i][k] for i in range(len(own))]) for k in got[0]}
+    y = (x["digits_a_char"] + 0.3 * x["stutter"] > 0.08).astype(float)
+    rows = spark.createDataFrame([(got[i], int(v)) for i, v in enumerate(y)], "_stats struct<" + ",".join(f"{k}:double" for k in got[0]) + ">, quality int")
+    ensemble = rule_ensemble.fit(rows, "quality", 10_000)
+    assert ensemble.terms and any(len(rule.conditions) > 1 for rule, _ in ensemble.terms)
+    wanted = np.full(len(own), ensemble.intercept)
+    for rule, weight in ensemble.terms:
+        wanted += weight * np.array([all(x[n][i] > b if above else x[n][i] <= b for n, above, b in rule.conditions) for i in range(len(own))])
+    scored = {r.doc_id: r.score for r in rule_ensemble.classify(docs, ensemble).collect()}
+    assert all(abs(scored[i] - 1 / (1 + np.exp(-wanted[i]))) < 1e-9 for i in range(len(own)))
+    assert np.mean([(scored[i] >= 0.5) == bool(y[i]) for i in range(len(own))]) > 0.97
+
+
 # ---------------------------------------------------------------- 2
 
 
@@ -370,9 +413,9 @@ def test_best_boundaries_are_best():
     rng = random.Random(9)
     from itertools import combinations
 
-    for _ in range(20):
+    for spread in range(60):
         lengths = np.array(sorted(rng.sample(range(1, 200), 8)))
-        counts = np.array([rng.randrange(1, 50) for _ in lengths])
+        counts = np.array([rng.randrange(1, 50) ** (1 + spread % 3) for _ in lengths])
         cost = lambda ends: sum(c * (min(e for e in ends if e >= n) - n) for n, c in zip(lengths.tolist(), counts.tolist()))  # noqa: B023, E731
         wanted = min(cost([*e, int(lengths[-1])]) for e in combinations(lengths[:-1].tolist(), 2))
         assert cost(length_buckets.best_boundaries(lengths, counts, 3)) == wanted
@@ -380,14 +423,24 @@ def test_best_boundaries_are_best():
 
 
 def test_packing(spark, texts):
-    docs = documents(spark, texts, length=["x"] * len(texts)).select("doc_id", "text")
+    docs = documents(spark, [*texts, *texts[:5]], media=["x"] * (len(texts) + 5))
+    docs = docs.unionByName(docs.limit(4).withColumn("doc_id", F.lit(None).cast("long")))
     n = F.size(F.split(F.coalesce("text", F.lit("")), " "))
     out = length_buckets.pack(docs, n, buckets=4, token_budget=600).collect()
-    assert len(out) == len(texts)
+    assert len(out) == len(texts) + 9
+    lengths = Counter(len((r.text or "").split(" ")) for r in out)
+    ends = length_buckets.best_boundaries(np.array(sorted(lengths)), np.array([lengths[x] for x in sorted(lengths)]), 4)
     held = Counter((r.bucket, r.batch_id) for r in out)
+    full, batches, rows = {}, Counter(b for b, _ in held), Counter(r.bucket for r in out)
     for r in out:
-        assert r.length <= r.bucket_len and held[(r.bucket, r.batch_id)] <= max(1, 600 // max(1, r.bucket_len))
+        assert r.length == len((r.text or "").split(" ")) and r.bucket_len == min(e for e in ends if e >= r.length) and r.bucket == ends.index(r.bucket_len)
+        full[r.bucket] = max(1, 600 // max(1, r.bucket_len))
+        assert held[(r.bucket, r.batch_id)] <= full[r.bucket] and r.batch_id.startswith(f"{r.bucket}-")
+    # All rows of a bucket of few rows are one group, so no batch but the last is short.
+    assert all(batches[b] == -(-rows[b] // full[b]) for b in rows)
     assert length_buckets.pack(docs.where("false"), n).count() == 0
+    with pytest.raises(ValueError):
+        length_buckets.pack(docs.withColumn("bucket", F.lit(1)), n)
 
 
 # ---------------------------------------------------------------- 10
@@ -412,6 +465,53 @@ def test_language_model(spark):
     assert all(r.base_score == 0 for r in bilinear_lm.score(docs, docs.where("false")).collect())
 
 
+def test_model_scores_by_brute_force(spark):
+    import math
+
+    lm = bilinear_lm
+    rng = random.Random(20)
+    # Two languages whose words never mix; most words are rare.
+    words = {0: [f"aw{i}um" for i in range(300)], 1: [f"be{i}en" for i in range(300)]}
+    own = [" ".join(rng.choice(["the", "of", *(rng.choices(words[i % 2], k=4))]) for _ in range(rng.randrange(5, 60))) for i in range(300)] + ["", None, "unseen words only"]
+    docs = documents(spark, own)
+    trained = [t for i, t in enumerate(own) if i % 10]
+    out = {r.doc_id: r for r in lm.score(docs, docs.where("doc_id % 10 <> 0")).collect()}
+    counts = Counter(w for t in trained for w in [*lm.tokens(t), b""])
+    total = sum(counts.values())
+    names = sorted(counts, key=lambda w: (-counts[w], w))
+    class_of = {w: i if i < lm.FIRST else lm.bucket(w) for i, w in enumerate(names)}
+    units = [w for i, w in enumerate(names) if i < lm.FIRST or counts[w] >= lm.LEAST and counts[w] * lm.SECOND >= total]
+    cls = lambda w: class_of.get(w, lm.bucket(w))
+    unit = lambda w: units.index(w) if w in units else len(units) + cls(w)
+    rest = np.full(lm.CLASSES, 0.1)
+    for w in names[len(units) :]:
+        rest[cls(w)] += counts[w] + 0.1
+    rest[: lm.FIRST] = 1e-9
+    class_cells, unit_cells = Counter(), Counter()
+
+    def walk(t):
+        p2 = p1 = lm.CLASSES
+        for w in [*lm.tokens(t), b""]:
+            yield p2, p1, w
+            p2, p1 = p1, cls(w)
+
+    for t in trained:
+        for p2, p1, w in walk(t):
+            class_cells[(p2 * (lm.CLASSES + 1) + p1) * lm.CLASSES + cls(w)] += 1
+            unit_cells[unit(w) * (lm.CLASSES + 1) + p1] += 1
+    arrays = lambda c: (np.array(list(c)), np.array(list(c.values()), dtype=float))
+    mass = np.concatenate([[counts[w] + 0.1 for w in units], rest])
+    of_unit = np.concatenate([[class_of[w] for w in units], np.arange(lm.CLASSES)]).astype(int)
+    table, unit_table = lm.train(*arrays(class_cells)), lm.train_units(*arrays(unit_cells), of_unit, mass)
+    for x in set(of_unit):
+        assert np.allclose((10.0 ** unit_table[of_unit == x]).sum(0), 1, atol=1e-4)
+    for i, t in enumerate(own):
+        wanted = sum(table[p2, p1, cls(w)] + unit_table[unit(w), p1] + (0 if w in units else math.log10((counts[w] + 0.1) / rest[cls(w)])) for p2, p1, w in walk(t))
+        assert abs(out[i].score - wanted) < 1e-3 + 1e-5 * abs(wanted)
+    held = range(0, 300, 10)
+    assert sum(out[i].score - out[i].base_score for i in held) > 0.15 * sum(out[i].n_tokens for i in held)
+
+
 def test_class_probabilities_are_normalised():
     table = bilinear_lm.train(np.array([5, 700, 9000]), np.array([10.0, 4.0, 2.0]), steps=20)
     assert np.allclose((10.0 ** table.astype(np.float64)).sum(-1), 1, atol=1e-4)
