@@ -8,10 +8,7 @@ than their successor are sorted directly, the rest is induced by scanning the bu
 which starts share WIDTH bytes. Keys with more than MOST distinct segments (a passage that very many documents
 share has one for each different neighbourhood) would outgrow a block; their strings are compared exactly by 128-bit hashes, dealt by hash.
 
-Before any text moves, a second and finer filter looks at the segments of keys that repeat: the starts of a segment stand at given distances before
-its key's string, and for each SLICES-th of these distances a hash is taken of the bytes that all strings from there have in
-common, nearly WIDTH. Segments without a repeated hash hold no repeated string. Equal texts are one node throughout.
-Positions are UTF-8 bytes. All occurrences are removed, the first included.
+Equal texts are one node throughout. Positions are UTF-8 bytes. All occurrences are removed, the first included.
 
 Defined results: null counts as empty; texts shorter than WIDTH bytes keep everything; repeated rows are separate documents, so
 what they say is repeated; extra columns are ignored; an empty table gives an empty result.
@@ -31,8 +28,6 @@ from pyspark.sql import functions as F
 from wordweft.llm.common import cut, digest, drop
 
 WIDTH = 400
-#: Parts of the distances between a string's start and its key's string.
-SLICES = 8
 #: Starts a segment has at most; distinct segments a key has at most in a block; bytes of a block (more if one key has more).
 LONGEST, MOST, BLOCK = 256, 2000, 400_000
 
@@ -105,20 +100,6 @@ def runs(data: np.ndarray, width: int = WIDTH, longest: int = LONGEST) -> tuple[
     return keys.view(np.int64), first, end - first, twice
 
 
-def slice_hashes(data: np.ndarray, keys: np.ndarray, first: np.ndarray, n: np.ndarray, width: int = WIDTH) -> list[np.ndarray]:
-    """For each of these segments, whose key's string comes once, the hashes of what the strings of each slice of its starts have in common."""
-    gram = gram_of(width)
-    step = max(1, (width - gram) // SLICES)
-    h, long = window_hashes(data, gram).view(np.int64), window_hashes(data, width - step + 1)
-    out = []
-    for k, f, m in zip(keys, first, n, strict=True):
-        at = f + int(np.argmax(h[f : f + m + width - gram] == k))
-        part = np.arange(max(0, at - f - m + 1) // step, (at - f) // step + 1)
-        with np.errstate(over="ignore"):
-            out.append(_mix(long[at - part * step] + (part.astype(np.uint64) + np.uint64(1)) * _M1).view(np.int64))
-    return out
-
-
 def suffix_array(data: np.ndarray, depth: int = WIDTH) -> np.ndarray:
     """Starts of all suffixes in order of their first `depth` bytes, an ended suffix before longer ones.
 
@@ -222,34 +203,17 @@ def _keys(texts: DataFrame, width: int) -> DataFrame:
     return texts.mapInPandas(keyed, f"digest binary, key {kind}, c bigint, keys array<bigint>").groupBy("digest").agg(F.min("key").alias("key"), F.sum("c").alias("c"), F.first("keys").alias("keys"))
 
 
-def _slices(texts: DataFrame, width: int) -> DataFrame:
-    """digest, c, first and slice hashes of the segments whose key is among the text's repeated ones; no hashes where the key's string comes twice."""
-
-    def sliced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for d, t, repeated, c in zip(b["digest"], b["text"], b["repeated"], b["c"], strict=True):
-                data = np.frombuffer(t.encode("utf-8", "surrogatepass"), dtype=np.uint8)
-                keys, first, n, twice = runs(data, width)
-                use = np.isin(keys, repeated)
-                once = use & ~twice
-                firsts = np.concatenate([first[once], first[use & twice]])
-                hashes = slice_hashes(data, keys[once], first[once], n[once], width) + [np.empty(0, dtype=np.int64)] * int((use & twice).sum())
-                yield pd.DataFrame({"digest": [d] * len(firsts), "c": c, "first": firsts, "hashes": hashes})
-
-    return texts.mapInPandas(sliced, "digest binary, c bigint, first int, hashes array<bigint>")
-
-
 def _segments(texts: DataFrame, width: int) -> DataFrame:
-    """digest, key, sid, first, n, bytes and twice of the segments whose first start is among the text's live ones."""
+    """digest, key, sid, first, n, bytes and twice of the segments whose key is among the text's repeated ones."""
 
     def segment(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["digest", "key", "sid", "first", "n", "bytes", "twice", "c"]
         for b in batches:
             out, size = [], 0
-            for d, t, live, c in zip(b["digest"], b["text"], b["live"], b["c"], strict=True):
+            for d, t, repeated, c in zip(b["digest"], b["text"], b["repeated"], b["c"], strict=True):
                 raw = t.encode("utf-8", "surrogatepass")
                 keys, first, n, twice = runs(np.frombuffer(raw, dtype=np.uint8), width)
-                for i in np.flatnonzero(np.isin(first, live)):
+                for i in np.flatnonzero(np.isin(keys, repeated)):
                     s = raw[first[i] : first[i] + n[i] + width - 1]
                     out.append((d, keys[i], xxhash.xxh3_128_digest(s), first[i], n[i], s, twice[i], c))
                     size += len(s)
@@ -357,13 +321,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wit
     read = texts_of.join(wanted, (F.col("digest") == F.col("of")) & F.col("key").eqNullSafe(F.col("_k")))
     texts = cut(read.select("digest", "text", "repeated", "c").dropDuplicates(["digest"]), "repeat-texts")
     drop(wanted)
-    slices = cut(_slices(texts, width), "slices")
-    one = slices.select("digest", "first", "c", F.explode("hashes").alias("h"))
-    again = one.groupBy("h").agg(F.sum("c").alias("n")).where("n > 1").select("h")
-    live = one.join(again, "h").select("digest", "first").unionByName(slices.where(F.size("hashes") == 0).select("digest", "first"))
-    live = live.groupBy("digest").agg(F.collect_set("first").alias("live"))  # bounded by the text's length
-    segments = cut(_segments(texts.select("digest", "text", "c").join(live, "digest"), width), "segments")
-    drop(slices)
+    segments = cut(_segments(texts, width), "segments")
     distinct = segments.groupBy("key", "sid").agg(F.sum("c").alias("weight"), F.max("twice").alias("twice"), F.first("bytes").alias("bytes"))
     distinct = cut(distinct, "distinct-segments")
     places = cut(segments.select("digest", "sid", "first", "n"), "segment-places")
