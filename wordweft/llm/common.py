@@ -43,11 +43,22 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
+def _at(spark: SparkSession, path: str):
+    """The Hadoop path and its file system."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def cut(df: DataFrame, what: str) -> DataFrame:
-    """df written once to the shared folder and read again, so that later steps neither recompute it nor depend on its executors."""
+    """df written once to the shared folder and read again, so that later steps neither recompute it nor depend on its executors.
+
+    A table that nobody drops, because a result reads it, goes when the driver ends.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    at, files = _at(spark, path)
+    files.deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out
@@ -55,13 +66,11 @@ def cut(df: DataFrame, what: str) -> DataFrame:
 
 def drop(*written: DataFrame) -> None:
     """Deletes tables that cut() wrote and nothing reads any more, and lets Spark drop the shuffle files of what made them."""
-    spark = written[0].sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for df in written:
-        path = jvm.org.apache.hadoop.fs.Path(df._cut_path)
-        path.getFileSystem(conf).delete(path, True)
+        at, files = _at(df.sparkSession, df._cut_path)
+        files.delete(at, True)
     gc.collect()
-    jvm.System.gc()  # else the files of finished shuffles stay until the driver happens to collect its garbage
+    written[0].sparkSession.sparkContext._jvm.System.gc()  # else the files of finished shuffles stay until the driver happens to collect its garbage
 
 
 def in_fold(doc_id: Column, modulus: int, remainder: int) -> Column:
