@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordweft.llm import dart_minhash, length_buckets, rule_ensemble, secret_scan, suffix_dedup
-from wordweft.llm.common import WORD, cut
+from wordweft.llm.common import WORD, cut, drop
 
 BESIDE = "_beside"
 #: What counts as a repeated passage is said in words: more than fifty. Fifty words of running text take at least this many bytes; 400 bytes,
@@ -76,7 +76,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The result of the last stage over the whole documents table."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir), name)
+        if before:
+            drop(*before)  # nothing reads the stage before any more
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
