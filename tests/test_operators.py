@@ -168,3 +168,23 @@ def test_partial_strip(spark):
     rows = df.select(half.alias("half"), unicode.partial_strip(F.col("t"), 0.0, F.col("k")).alias("none"), unicode.partial_strip(F.col("t"), 1.0, F.col("k")).alias("all")).collect()
     assert rows[0].none == unicode.strip_diacritics(SAMPLES["vie"]) and rows[0]["all"] == SAMPLES["vie"] and rows[1].half is None
     assert rows[0].none != rows[0].half != rows[0]["all"] and unicode.strip_diacritics(rows[0].half) == rows[0].none
+
+
+def test_nearest_vectors(spark, monkeypatch):
+    import numpy as np
+
+    from wordweft.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "BLOCK", 3)
+    monkeypatch.setattr(retrieval, "CHUNK", 7)
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(40, 5))
+    v[7] = v[3]
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<float>")
+    found = retrieval.top_k(rows.where("id % 5 = 0").withColumnRenamed("id", "query_id"), rows, 4).collect()
+    u = v.astype(np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    for q in range(0, 40, 5):
+        own = [(r.rank, r.id) for r in sorted(found, key=lambda r: r.rank) if r.query_id == q]
+        scores = u @ u[q]
+        assert [i for _, i in own] == sorted(range(40), key=lambda i: (-round(scores[i], 12), i))[:4]

@@ -48,11 +48,13 @@ def mask_pii(text: Column) -> Column:
 
 def pii_findings(text: Column) -> Column:
     """Struct of counts by kind, each counted on what the kinds before have left, as masking would replace them."""
-    counts = []
-    for name, pattern in PII_PATTERNS.items():
-        counts.append(F.regexp_count(text, F.lit(pattern)).alias(name.lower()))
-        text = F.regexp_replace(text, pattern, f"[{name}]")
-    return F.struct(*counts)
+    names, patterns = list(PII_PATTERNS), list(PII_PATTERNS.values())
+
+    def counted(t: Column, i: int, so_far: list[Column]) -> Column:
+        counts = [*so_far, F.regexp_count(t, F.lit(patterns[i])).alias(names[i].lower())]
+        return F.struct(*counts) if i + 1 == len(names) else let(_masking(names[i], patterns[i])(t), lambda left: counted(left, i + 1, counts))
+
+    return let(text, lambda t: counted(t, 0, []))
 
 
 def clean_text(text: Column, remove_urls: bool = True, remove_html: bool = True) -> Column:

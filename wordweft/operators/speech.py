@@ -21,7 +21,8 @@ class ExperimentalWarning(UserWarning):
 class _Part(ABC):
     def __init_subclass__(cls, **kwargs) -> None:
         super().__init_subclass__(**kwargs)
-        warnings.warn(f"{cls.__name__} builds on an experimental interface", ExperimentalWarning, stacklevel=2)
+        if cls.__module__ != __name__:
+            warnings.warn(f"{cls.__name__} builds on an experimental interface", ExperimentalWarning, stacklevel=2)
 
     @abstractmethod
     def load_weights(self, path: str) -> None: ...
