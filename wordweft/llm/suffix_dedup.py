@@ -147,23 +147,24 @@ def suffix_array(data: np.ndarray, depth: int = WIDTH) -> np.ndarray:
 
 
 def adjacent_prefixes(data: np.ndarray, order: np.ndarray, cap: int = WIDTH) -> np.ndarray:
-    """Bytes that each suffix of order shares with the next one, at most cap."""
+    """Bytes that each suffix of order shares with the next one, at most cap; eight bytes are compared at once."""
     padded = np.concatenate([data, np.zeros(cap + 8, dtype=np.uint8)])
-    words = np.lib.stride_tricks.as_strided(padded, (len(data) + cap, 8), (1, 1))
+    words = np.ascontiguousarray(np.lib.stride_tricks.as_strided(padded, (len(data) + cap, 8), (1, 1))).view("<u8").ravel()
     a, b = order[:-1], order[1:]
-    room = len(data) - np.maximum(a, b)
-    shared = np.zeros(len(a), dtype=np.int64)
-    live = np.arange(len(a))
+    shared = np.full(len(a), cap, dtype=np.int64)
+    live, x, y = np.arange(len(a)), a, b
     for d in range(0, cap, 8):
-        x = np.ascontiguousarray(words[a[live] + d]) != np.ascontiguousarray(words[b[live] + d])
-        differs = x.any(1)
-        shared[live] = d + np.where(differs, x.argmax(1), 8)
-        live = live[~differs]
-        live = live[a[live] + d < len(data)]
-        live = live[b[live] + d < len(data)]
-        if not len(live):
-            break
-    return np.minimum(np.minimum(shared, room), cap)
+        differ = words[x + d] ^ words[y + d]
+        found = np.flatnonzero(differ)
+        if len(found):
+            bits = differ[found]
+            # The lowest bit that differs lies in the first byte that does.
+            shared[live[found]] = d + (np.log2((bits & (~bits + np.uint64(1))).astype(np.float64)).astype(np.int64) >> 3)
+            rest = np.flatnonzero(differ == 0)
+            live, x, y = live[rest], x[rest], y[rest]
+            if not len(live):
+                break
+    return np.minimum(np.minimum(shared, len(data) - np.maximum(a, b)), cap)
 
 
 def repeated_starts(segments: list[bytes], weights: list[int], width: int = WIDTH) -> list[np.ndarray]:
