@@ -33,7 +33,7 @@ from wordweft.llm.common import cut, in_fold
 
 FIRST, BUCKETS = 64, 96
 CLASSES = FIRST + BUCKETS
-SECOND = 20_000
+SECOND = 10_000
 FREQUENT = 400_000
 #: Fewer occurrences than this tell nothing about contexts.
 LEAST = 5
@@ -90,7 +90,7 @@ class _Buckets(dict):
 def _dealt(counts: np.ndarray, batches: int, rng: np.random.Generator) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """One epoch: places of cells and weights that add up to every cell's count. Heavy cells are split over all batches, so that no batch is one cell's."""
     heavy = np.flatnonzero(counts * batches * 10 > counts.sum())
-    light = rng.permutation(np.flatnonzero(counts * batches * 10 <= counts.sum()))
+    light = rng.permutation(np.flatnonzero(counts * batches * 10 <= counts.sum()).astype(np.int32))
     for part in np.array_split(light, batches):
         yield np.concatenate([heavy, part]), np.concatenate([counts[heavy] / batches, counts[part]])
 
@@ -108,9 +108,11 @@ def train(cells: np.ndarray, counts: np.ndarray, classes: int = CLASSES, width:
     bias = np.full(classes, -math.log(classes))
     if len(cells):
         order = np.argsort(cells)
-        cells, counts = cells[order], counts[order]
-        target, ctx = cells % classes, cells // classes
-        p1, p2 = ctx % (classes + 1), ctx // (classes + 1)
+        cells, counts = cells[order], counts[order].astype(np.float64)
+        del order
+        # An int16 holds any class.
+        target, p1 = (cells % classes).astype(np.int16), (cells // classes % (classes + 1)).astype(np.int16)
+        p2 = (cells // classes // (classes + 1)).astype(np.int16)
         share = (np.bincount(target, counts, classes) + 1) / (counts.sum() + classes)
         bias = np.log(share)
         log_noise = np.log(noise * share)
@@ -155,15 +157,16 @@ def train(cells: np.ndarray, counts: np.ndarray, classes: int = CLASSES, width:
     return table
 
 
-def train_units(cells: np.ndarray, counts: np.ndarray, unit_class: np.ndarray, mass: np.ndarray, classes: int = CLASSES, width: int = 32, noise: int = 4, seed: int = 11, epochs: int = 6, batch: int = 32_768) -> np.ndarray:
+def train_units(cells: np.ndarray, counts: np.ndarray, unit_class: np.ndarray, mass: np.ndarray, classes: int = CLASSES, width: int = 32, noise: int = 4, seed: int = 11, epochs: int = 6, batch: int = 16_384) -> np.ndarray:
     """log10 P(unit | its class, class before) of shape (units, classes + 1), fitted by NCE to counted cells unit * (classes + 1) + class before.
 
     unit_class gives the class of every unit and mass its smoothed count. Noise for a unit comes from its own class, by mass. Every epoch goes over every
     cell whose unit is not alone in its class, weighted by its count; batch bounds the cells held at once.
     """
     rng = np.random.default_rng(seed)
-    sorted_cells = np.argsort(cells, kind="stable")
-    cells, counts = cells[sorted_cells], counts[sorted_cells]
+    in_order = np.argsort(cells, kind="stable")
+    cells, counts = cells[in_order], counts[in_order].astype(np.float64)
+    del in_order
     units = len(unit_class)
     order = np.argsort(unit_class, kind="stable")
     inside = np.bincount(unit_class, mass, classes)
@@ -178,7 +181,7 @@ def train_units(cells: np.ndarray, counts: np.ndarray, unit_class: np.ndarray, m
     log_noise = np.log(noise * share).astype(np.float32)
     weights = [r, q, bias]
     squares = [np.full_like(w, 1e-6) for w in weights]
-    unit, before = cells // (classes + 1), cells % (classes + 1)
+    unit, before = (cells // (classes + 1)).astype(np.int32), (cells % (classes + 1)).astype(np.int16)
     live = size[unit_class[unit]] > 1
     unit, before, counts = unit[live], before[live], counts[live]
     batches = max(40, -(-len(unit) // batch)) if len(unit) else 0
@@ -258,6 +261,7 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     rows = rows.sort_values(["c", "token"], ascending=[False, True])
     names = [t.encode() for t in rows["token"]]
     c = rows["c"].to_numpy(dtype=np.int64)
+    del rows
     class_of = np.array([i if i < FIRST else bucket(t) for i, t in enumerate(names)], dtype=np.int64)
     n_units = int(((c >= LEAST) & (c * SECOND >= total)).sum()) if len(c) else 0
     n_units = max(n_units, min(FIRST, len(c)))
@@ -331,8 +335,11 @@ def context_counts(docs: DataFrame, vocab: Vocabulary, text: str = "text") -> tu
             if len(at):
                 yield pd.DataFrame({"cell": (at + base).astype(np.int32), "n": held[at].astype(np.int64)})
 
-    got = docs.select(text).mapInPandas(cells, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    cell, n = got["cell"].to_numpy(dtype=np.int64), got["n"].to_numpy(dtype=np.float64)
+    summed = docs.select(text).mapInPandas(cells, "cell int, n bigint").groupBy("cell").agg(F.sum("n").cast("float").alias("n"))
+    got = summed.toArrow()  # eight bytes a cell
+    shared.destroy()
+    cell, n = got["cell"].to_numpy(), got["n"].to_numpy()
+    del got
     own = cell < n_class
     return (cell[own], n[own]), (cell[~own] - n_class, n[~own])
 
@@ -343,7 +350,11 @@ def score(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str =
     counts = cut(count_tokens(training, text), "token-counts")
     vocab = vocabulary(counts)
     classes, units = context_counts(training, vocab, text)
-    shared = spark.sparkContext.broadcast((vocab, train(*classes), train_units(*units, vocab.unit_class, vocab.unit_mass)))
+    table = train(*classes)
+    del classes
+    unit_table = train_units(*units, vocab.unit_class, vocab.unit_mass).astype(np.float32)
+    del units
+    shared = spark.sparkContext.broadcast((vocab, table, unit_table))
     log_z = math.log10(vocab.z)
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
