@@ -184,4 +184,4 @@ def reveal(images: DataFrame, load: Callable) -> DataFrame:
         for hs, ws, raws in batches:
             yield pd.Series([None if r is None else list(map(float, model(resized(np.frombuffer(r, np.uint8).reshape(int(h), int(w), 3) / 255, SIDE, SIDE)))) for h, w, r in zip(hs, ws, raws, strict=True)], dtype=object)
 
-    return images.withColumn("message", text_of_bits(bits("height", "width", "rgb")))
+    return images.withColumn("_bits", bits("height", "width", "rgb")).withColumn("message", text_of_bits(F.col("_bits"))).drop("_bits")
