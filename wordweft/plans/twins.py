@@ -268,7 +268,7 @@ SELECT pos, committed, CASE WHEN pos % 5 = 0 OR confidence < 0.5 THEN typed ELSE
     "labels_encode": f"{_SPACE} SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE c.id IS NULL) AS unknown, sum(coalesce(c.id, 1) * (pos % 7 + 1))::BIGINT AS checksum FROM placed LEFT JOIN chars c ON c.char = placed.g GROUP BY doc_id",
     "labels_gold": f"{_SPACE} SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE s.id > 0) AS shapes, count(*) FILTER (WHERE t.id > 0) AS tones FROM alphabetic a LEFT JOIN shapes s ON s.shape = a.shape LEFT JOIN tones t ON t.tone = a.tone GROUP BY doc_id",
     "eligible_mask": f"{_SPACE}, n AS (SELECT lang, base, count(*) AS n FROM legal GROUP BY lang, base), b AS (SELECT DISTINCT g, base FROM facts) SELECT l.lang, c.char, coalesce(n.n, 1) AS n_legal, coalesce(n.n, 1) > 1 AS eligible FROM (SELECT DISTINCT lang FROM legal) l CROSS JOIN chars c LEFT JOIN b ON b.g = c.char LEFT JOIN n ON n.lang = l.lang AND n.base = coalesce(b.base, c.char)",
-    "labelspace_from_spec": f"SELECT * FROM (VALUES {_values([(lang, len(labels._PLAIN) * (1 + len(t)) * (1 + len(o)) + len(letters), len(labels._PLAIN)) for lang, (t, o, letters) in unicode.ALPHABETS.items()])}) v(lang, legal, bases)",
+    "labelspace_from_spec": f"SELECT lang, legal::BIGINT AS legal, bases::BIGINT AS bases FROM (VALUES {_values([(lang, len(labels._PLAIN) * (1 + len(t)) * (1 + len(o)) + len(letters), len(labels._PLAIN)) for lang, (t, o, letters) in unicode.ALPHABETS.items()])}) v(lang, legal, bases)",
     "der_metrics": f"WITH {_FACTORS} SELECT lang, round(avg(CASE WHEN g <> base THEN 1.0 ELSE 0.0 END), 6) AS der, round(avg(CASE WHEN shape <> '' THEN 1.0 ELSE 0.0 END), 6) AS shape_der, round(avg(CASE WHEN tone <> '' THEN 1.0 ELSE 0.0 END), 6) AS tone_der FROM alphabetic WHERE regexp_matches(base, '^\\p{{L}}$') GROUP BY lang",
     "exact_match": "SELECT lang, round(avg(CASE WHEN text = strip_accents(text) THEN 1.0 ELSE 0.0 END), 6) AS exact, 1.0::DOUBLE AS compliance FROM documents GROUP BY lang",
     "correct_words": f"""{_LEXICON}, forms AS (SELECT key AS plain, list(variant ORDER BY cnt DESC, variant) AS forms FROM lexicon WHERE lang = 'fr' GROUP BY key),
