@@ -1,0 +1,31 @@
+"""Queries that once grew by characters or words, against plain definitions on odd texts."""
+
+import random
+
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from wordweft.operators import subwords
+
+
+def _odd(n, seed=3):
+    r = random.Random(seed)
+    some = ["a", " ", "  ", "\n", "\x1c", "́", "é", "'s", "<|endoftext|>", "12", "İ", "ß", "Σ", "\x85", "\xa0", "　", "foo", " bar", "Z", "=", "日", "ﬁ", "\t", "😀", " ola"]
+    return [None, "", *("".join(r.choice(some) for _ in range(r.randrange(1, 40))) for _ in range(n))]
+
+
+def test_tokens_by_pieces_are_the_librarys(spark):
+    """Counting holds no text's tokens, and cuts nothing where a vocabulary's word goes on."""
+    texts = _odd(600)
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, text string").repartition(3)
+    paths = [public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json")]
+    cols = [c for k, p in enumerate(paths) for c in (subwords.count(F.col("text"), p).alias(f"n{k}"), subwords.round_trip(F.col("text"), p).alias(f"r{k}"), subwords.encode(F.col("text"), p).alias(f"ids{k}"))]
+    rows = df.select("i", *cols).collect()
+    assert len(rows) == len(texts)
+    for k, p in enumerate(paths):
+        t = subwords._tokenizer(p)
+        for r in rows:
+            ids = t.encode(texts[r.i] or "").ids
+            assert r[f"n{k}"] == r[f"r{k}"].n_tokens == len(ids) and r[f"ids{k}"] == ids
+            if k == 0:
+                assert r.r0.same == (None if texts[r.i] is None else t.decode(ids) == texts[r.i])
