@@ -5,7 +5,9 @@ import random
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from wordweft.operators import subwords
+from wordweft.functions import unicode
+from wordweft.operators import labels, lexicon, subwords
+from wordweft.plans import catalog
 
 
 def _odd(n, seed=3):
@@ -29,3 +31,53 @@ def test_tokens_by_pieces_are_the_librarys(spark):
             assert r[f"n{k}"] == r[f"r{k}"].n_tokens == len(ids) and r[f"ids{k}"] == ids
             if k == 0:
                 assert r.r0.same == (None if texts[r.i] is None else t.decode(ids) == texts[r.i])
+
+
+def _graphemes_table(spark, tmp_path):
+    texts = [*_odd(60), "à" * 40, "ñ" * 30, "é̂" * 9, "a" * 50, "ç" * 25, *["año día è"] * 9]
+    rows = [(i, t, ("fr", "es", "de", None)[i % 4]) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    return rows
+
+
+def test_graphemes_are_counted_once(spark, tmp_path):
+    """Label tables read what was counted, not the texts; counts are those of the graphemes of every text."""
+    from collections import Counter
+
+    rows = _graphemes_table(spark, tmp_path)
+    counted = labels.count_graphemes(spark.read.parquet(f"{tmp_path}/documents.parquet"))
+    want = Counter((lang, g) for _, t, lang in rows for g in unicode.graphemes(t or ""))
+    assert {(r.lang, r.g): r.n for r in counted.collect()} == want
+    space = labels.build(counted)
+    for part in space:
+        assert "documents.parquet" not in " ".join(part.inputFiles())
+
+
+def test_labels_of_whole_texts(spark, tmp_path):
+    """Arrays of ids are what the rows of graphemes give."""
+    rows = _graphemes_table(spark, tmp_path)
+    space = catalog._space(spark, str(tmp_path))
+    docs = catalog._alphabetic(spark, str(tmp_path))
+    by_row = lambda df, *cs: {k: [v for _, v in sorted(x)] for k, x in _grouped(df, cs).items()}
+    ids = by_row(labels.encode(labels.placed(docs), space), "id")
+    assert {r.doc_id: [(x,) for x in r.ids] for r in docs.select("doc_id", labels.encode_texts(F.col("text"), space).alias("ids")).collect() if r.ids} == ids
+    assert {r.doc_id: (r.n, r.unknown, r.checksum) for r in catalog.labels_encode(spark, str(tmp_path)).collect()} == {k: (len(v), sum(x == (labels.UNKNOWN,) for x in v), sum(x * (i % 7 + 1) for i, (x,) in enumerate(v))) for k, v in ids.items()}
+    gold = by_row(labels.gold(labels.placed(docs), space), "shape_id", "tone_id")
+    assert {r.doc_id: (r.n, r.shapes, r.tones) for r in catalog.labels_gold(spark, str(tmp_path)).collect()} == {k: (len(v), sum(a > 0 for a, _ in v), sum(b > 0 for _, b in v)) for k, v in gold.items()}
+    assert any(a or b for v in gold.values() for a, b in v)
+
+
+def _grouped(df, columns):
+    out = {}
+    for r in df.collect():
+        out.setdefault(r.doc_id, []).append((r.pos, tuple(r[c] for c in columns)))
+    return out
+
+
+def test_error_rates_of_counted_places(spark):
+    g = "struct<g:string,shape:array<string>,tone:string>"
+    rows = [(("é", [], "ACUTE"), ("e", [], ""), True), (("e", [], ""), ("e", [], ""), True), (("!", [], ""), ("?", [], ""), False)]
+    counted = spark.createDataFrame([(*rows[0], 3), (*rows[1], 1), (*rows[2], 5)], f"gold {g}, restored {g}, eligible boolean, n long")
+    each = spark.createDataFrame([rows[0]] * 3 + [rows[1]] + [rows[2]] * 5, f"gold {g}, restored {g}, eligible boolean")
+    assert lexicon.error_rates(counted).collect() == lexicon.error_rates(each).collect()
+    assert lexicon.error_rates(counted).first().der == 0.75

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import gc
-import re
-import tempfile
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from wordweft.session import cut, drop, shared_folder  # noqa: F401
+
 #: Words of every contract: runs of anything but space, tab, line feed, vertical tab, form feed, carriage return.
 GAP = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -32,47 +30,6 @@ def digest(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """Where written intermediate tables go: the folder that spark.checkpoint.dir names. Only a session without a cluster gets one of its own."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        named = tempfile.mkdtemp(prefix="wordweft-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
-
-
-def _at(spark: SparkSession, path: str):
-    """The Hadoop path and its file system."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def cut(df: DataFrame, what: str) -> DataFrame:
-    """df written once to the shared folder and read again, so that later steps neither recompute it nor depend on its executors.
-
-    A table that nobody drops, because a result reads it, goes when the driver ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    at, files = _at(spark, path)
-    files.deleteOnExit(at)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._cut_path = path
-    return out
-
-
-def drop(*written: DataFrame) -> None:
-    """Deletes tables that cut() wrote and nothing reads any more, and lets Spark drop the shuffle files of what made them."""
-    for df in written:
-        at, files = _at(df.sparkSession, df._cut_path)
-        files.delete(at, True)
-    gc.collect()
-    written[0].sparkSession.sparkContext._jvm.System.gc()  # else the files of finished shuffles stay until the driver happens to collect its garbage
-
-
 def in_fold(doc_id: Column, modulus: int, remainder: int) -> Column:
     """Whether crc32(doc_id as text) leaves this remainder; a null id leaves none."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == remainder, F.lit(False))

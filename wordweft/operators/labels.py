@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wordweft.functions import unicode
+from wordweft.session import cut
 
 # The first five character ids, the key of the empty shape, the version of the grapheme rules.
 RESERVED = ("<pad>", "<unk>", "<mask>", "<bos>", "<eos>")
@@ -38,8 +39,8 @@ def shape_key(shape: Column) -> Column:
 
 
 def count_graphemes(docs: DataFrame) -> DataFrame:
-    """(lang, g, n) over texts (lang, text)."""
-    return docs.select("lang", F.explode(unicode.graphemes_column(F.col("text"))).alias("g")).groupBy("lang", "g").agg(F.count(F.lit(1)).alias("n"))
+    """(lang, g, n) over texts (lang, text). Texts are read once, here: every table of a label space is made from what is written."""
+    return cut(unicode.grapheme_counts(docs), "graphemes")
 
 
 def _numbered(counts: DataFrame, name: str, zero: str) -> DataFrame:
@@ -99,6 +100,23 @@ def gold(placed: DataFrame, space: LabelSpace) -> DataFrame:
     return placed.join(known, ["lang", "g"])
 
 
+def encode_texts(text: Column, space: LabelSpace) -> Column:
+    """Array of a text's ids, as encode gives them one a row. The characters of the space, an alphabet's size, are collected."""
+    ids = {r["char"]: (r["id"],) for r in space.chars.collect()}
+    return unicode.grapheme_values(text, F.lit(""), {"": ids}, (UNKNOWN,))["v0"]
+
+
+def gold_texts(text: Column, lang: Column, space: LabelSpace, counted: DataFrame) -> Column:
+    """Struct of a text's shape ids v0 and tone ids v1, as gold gives them one a row; counted (lang, g, n) has the graphemes of all texts.
+
+    Those that have a shape or tone of the space, an alphabet's size, are collected.
+    """
+    found: dict[str, dict[str, tuple[int, int]]] = {}
+    for r in gold(counted.select("lang", "g"), space).where("shape_id > 0 or tone_id > 0").collect():
+        found.setdefault(r["lang"], {})[r["g"]] = r["shape_id"], r["tone_id"]
+    return unicode.grapheme_values(text, lang, found, (0, 0))
+
+
 def decode_chars(rows: DataFrame, space: LabelSpace) -> DataFrame:
     """rows (base, shape_id, tone_id, ...) with char, the base where there is no such letter; each distinct triple is composed once."""
 

@@ -100,12 +100,14 @@ def oov_rate(docs: DataFrame, lexicon: DataFrame, stripped: Column) -> DataFrame
 
 def error_rates(pairs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Character error rates of restored graphemes against gold ones: pairs (gold, restored, eligible) with factor structs (g, shape, tone); with confidence
-    and threshold columns also the coverage, the share of eligible places that are sure enough."""
+    and threshold columns also the coverage, the share of eligible places that are sure enough. With n, a row stands for so many places."""
     eligible = F.col("eligible")
-    wrong = lambda f: F.avg(F.when(eligible, (F.col(f"gold.{f}") != F.col(f"restored.{f}")).cast("double")))
+    n = F.col("n") if "n" in pairs.columns else F.lit(1).cast("long")
+    share = lambda c: F.sum(F.when(eligible & c, n).when(eligible & ~c, 0)) / F.sum(F.when(eligible & c.isNotNull(), n))
+    wrong = lambda f: share(F.col(f"gold.{f}") != F.col(f"restored.{f}"))
     out = [wrong("g").alias("der"), wrong("shape").alias("shape_der"), wrong("tone").alias("tone_der")]
     if "confidence" in pairs.columns:
-        out.append(F.avg(F.when(eligible, (F.col("confidence") >= F.col("threshold")).cast("double"))).alias("coverage"))
+        out.append(share(F.col("confidence") >= F.col("threshold")).alias("coverage"))
     return pairs.groupBy(*by).agg(*out)
 
 
