@@ -81,3 +81,34 @@ def test_error_rates_of_counted_places(spark):
     each = spark.createDataFrame([rows[0]] * 3 + [rows[1]] + [rows[2]] * 5, f"gold {g}, restored {g}, eligible boolean")
     assert lexicon.error_rates(counted).collect() == lexicon.error_rates(each).collect()
     assert lexicon.error_rates(counted).first().der == 0.75
+
+
+def test_one_pass_marks_are_the_plain_ones(spark):
+    """Stripping, round trips and foreign letters by tables of characters, against one grapheme at a time."""
+    texts = _odd(300)
+    t = F.col("text")
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, text string")
+    cols = [unicode.same_letters(t, F.concat(t, F.lit("é"))).alias("more"), unicode.same_letters(t, unicode.strip_column(t)).alias("kept"), unicode.recomposed_column(t, "spa").alias("again"), unicode.roundtrip_column(t, "fra").alias("back"), unicode.foreign_count(t, "spa").alias("foreign")]
+    old = unicode.compose_column(unicode.factorize_column(t, "spa")).alias("old")
+    for r in df.select("i", *cols, old, *(unicode.strip_column(t, how).alias(f"s_{how}") for how in ("diacritics", "marks", "all", "tones"))).collect():
+        x = texts[r.i]
+        if x is None:
+            assert not any(v is not None for v in r[1:])
+            continue
+        assert not r.more and r.kept and r.again == r.old
+        assert r.back == unicode.roundtrip_ok(x, "fra") and r.foreign == sum(not unicode.in_inventory(g, "spa") for g in unicode.graphemes(x))
+        assert (r.s_diacritics, r.s_marks, r.s_all, r.s_tones) == tuple(f(x) for f in (unicode.strip_diacritics, unicode.strip_marks, unicode.strip_all, unicode.remove_tones))
+
+
+def _shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+def test_restoring_without_tables_stays_in_the_row(spark):
+    from wordweft.operators import restoration, restorer
+
+    empty = [spark.createDataFrame([], s) for s in ("plain string, idx int, form string", "form string, logp double", "prev string, cur string, logp double")]
+    docs = spark.createDataFrame(list(enumerate([*_odd(200), "Ola eBay. KO"])), "doc_id long, text string")
+    found = restorer.Restorer("yor-viterbi").restore(docs)
+    assert _shuffles(found) == 0
+    assert dict(found.collect()) == dict(restoration.viterbi_decode(docs, *empty).collect())

@@ -239,7 +239,7 @@ def lexicon_rerank(chars: DataFrame, joint: DataFrame, space: LabelSpace, lexico
 
 def strip_invariant(typed: Column, restored: Column) -> Column:
     """Whether a restored text has the typed text's letters."""
-    return unicode.strip_column(unicode.nfc_column(typed)) == unicode.strip_column(unicode.nfc_column(restored))
+    return unicode.same_letters(typed, restored)
 
 
 def restore(docs: DataFrame, space: LabelSpace, load: Callable, config: Config = Config(), lexicon: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
