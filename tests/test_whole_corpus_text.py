@@ -112,3 +112,19 @@ def test_restoring_without_tables_stays_in_the_row(spark):
     found = restorer.Restorer("yor-viterbi").restore(docs)
     assert _shuffles(found) == 0
     assert dict(found.collect()) == dict(restoration.viterbi_decode(docs, *empty).collect())
+
+
+def test_corrections_of_long_texts(spark):
+    """Texts of many words, repeated words, free-standing punctuation and no prediction; a prediction may be a column or a table."""
+    from wordweft.operators import restoration
+
+    long = "Oko ile oko, OKO ! " * 4000
+    docs = spark.createDataFrame([(1, long), (2, "ile oko"), (3, ""), (4, None), (5, "a\x1cb oko")], "doc_id long, text string")
+    candidates = spark.createDataFrame([("oko", ["ọkọ"]), ("ile", ["ilé", "ile"])], "plain string, forms array<string>")
+    found = restoration.correct_words(docs, F.col("text"), candidates)
+    wanted, guesses = iter([]), long.split()
+    fixed = ["Ọkọ" if g in ("Oko", "OKO") else "ọkọ" if g == "oko" else g for g in guesses]
+    wanted = iter(fixed)
+    assert dict(found.collect()) == {1: restoration._WORD.sub(lambda m: next(wanted, m[0]), long), 2: "ile ọkọ", 3: "", 4: None, 5: "a\x1cb ọkọ"}
+    table = docs.where("doc_id <> 2").select("doc_id", F.col("text").alias("predicted"))
+    assert dict(restoration.correct_words(docs, table, candidates).collect())[2] == "ile oko"
