@@ -4,7 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from wordweft.operators import chunks, language_id
+from wordweft.functions import unicode
+from wordweft.operators import chunks, language_id, restoration
 from wordweft.plans import catalog
 
 WORDS = ["ola", "oko", "ọkọ", "Año", "ano", "İs", "ΟΔΟΣ", "x_1", "12", "naïve", "Été", "été", "ete", "ETÉ", "áb", "日本", "wá"]
@@ -49,3 +50,18 @@ def test_no_row_for_each_term_of_a_text(spark):
         plan = _plan(catalog.QUERIES[name](spark, sf_dir))
         assert "explode(term_counts" not in plan and "array_distinct" not in plan and "sort_array" not in plan, name
         assert "FlatMapCoGroupsInPandas" in plan, name
+
+
+def test_own_viterbi_is_that_of_the_joined_tables(spark, monkeypatch):
+    """Chunks that ask for forms and transitions give the text that candidate, unigram and transition tables give."""
+    monkeypatch.setattr(chunks, "CHUNK", 900)
+    monkeypatch.setattr(chunks, "BUCKET", 500)
+    docs = _docs(spark, 200).withColumn("lang", F.coalesce("lang", F.lit("und"))).dropDuplicates(["doc_id"])
+    odd = spark.createDataFrame([(900, "été \u212b été ETE \u212b ete", "fr"), (901, "\u212b", "xx\n y"), (902, "", "fr"), (903, None, "zz")], "doc_id long, text string, lang string")
+    docs = docs.unionByName(odd).cache()
+    tables = restoration.viterbi_train(docs, unicode.strip_native(F.col("word")), ("lang",))
+    want = restoration.viterbi_decode(docs.select("doc_id", "lang", unicode.strip_native(F.col("text")).alias("text")), *tables, ("lang",))
+    found = restoration.own_viterbi(docs, unicode.strip_plain, "lang")
+    assert dict(map(tuple, found.collect())) == dict(map(tuple, want.collect()))
+    plan = _plan(catalog.viterbi_decode(spark, "/root/testdata/sf0.001"))
+    assert "Window" not in plan and "explode" not in plan

@@ -65,3 +65,49 @@ def unpacked(terms: pd.Series, counts: pd.Series, rows: int) -> tuple[pa.Array,
     offsets = np.concatenate([[0], ends]).astype(np.int64)
     found = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data)])
     return found, np.concatenate([np.zeros((rows, 0), np.int64), *(read_numbers(b, rows) for b in counts)], axis=1), sizes
+
+
+def text_lines(lines: list[str]) -> bytes:
+    """Lines without line feeds inside, packed."""
+    return zlib.compress("\n".join(lines).encode(), 1)
+
+
+def read_lines(blob: bytes) -> list[str]:
+    return zlib.decompress(blob).decode().split("\n")
+
+
+def keyed(chunk: int, rows: dict[str, dict[str, int]], buckets: int) -> pd.DataFrame:
+    """(chunk, bucket, lines) of counts by key and item; a line is a key, then items and their counts, all parted by tabs. Keys and items hold neither tab nor line feed."""
+    dealt: dict[int, list[str]] = {}
+    for key in sorted(rows):
+        dealt.setdefault(zlib.crc32(key.encode()) % buckets, []).append("\t".join([key, *(f"{item}\t{n}" for item, n in rows[key].items())]))
+    return pd.DataFrame({"chunk": chunk, "bucket": list(dealt), "lines": [text_lines(x) for x in dealt.values()]})
+
+
+def summed(p: pd.DataFrame, shown=lambda key, items: "\t".join(f"{i}\t{n}" for i, n in sorted(items.items(), key=lambda x: (-x[1], x[0])))) -> pd.DataFrame:
+    """(chunk, lines) for what keyed() sent to one bucket: to each chunk its keys, each with its items and counts over all chunks, commonest first."""
+    sums: dict[str, dict[str, int]] = {}
+    for blob in p["lines"]:
+        for line in read_lines(blob):
+            key, *rest = line.split("\t")
+            of = sums.setdefault(key, {})
+            for item, n in zip(rest[::2], rest[1::2], strict=True):
+                of[item] = of.get(item, 0) + int(n)
+    told = {key: shown(key, items) for key, items in sums.items()}
+    del sums
+
+    def answer(blob: bytes) -> bytes:
+        keys = (line.split("\t", 1)[0] for line in read_lines(blob))
+        return text_lines([f"{k}\t{told[k]}" if told[k] else k for k in keys])
+
+    return pd.DataFrame({"chunk": p["chunk"], "lines": [answer(b) for b in p["lines"]]})
+
+
+def answered(lines: pd.Series) -> dict[str, list[tuple[str, int]]]:
+    """Keys with their items and counts, as summed() sent them."""
+    found = {}
+    for blob in lines:
+        for line in read_lines(blob):
+            key, *rest = line.split("\t")
+            found[key] = [(i, int(n)) for i, n in zip(rest[::2], rest[1::2], strict=True)]
+    return found
