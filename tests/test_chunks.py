@@ -65,3 +65,22 @@ def test_own_viterbi_is_that_of_the_joined_tables(spark, monkeypatch):
     assert dict(map(tuple, found.collect())) == dict(map(tuple, want.collect()))
     plan = _plan(catalog.viterbi_decode(spark, "/root/testdata/sf0.001"))
     assert "Window" not in plan and "explode" not in plan
+
+
+def test_own_knn_is_that_of_the_joined_table(spark, monkeypatch):
+    """Chunks that ask for their contexts give the text that a table of all contexts, joined, gives; no text and word is a row."""
+    monkeypatch.setattr(chunks, "CHUNK", 900)
+    monkeypatch.setattr(chunks, "BUCKET", 500)
+    docs = _docs(spark, 200).withColumn("lang", F.coalesce("lang", F.lit("und"))).dropDuplicates(["doc_id"])
+    # Contexts that only a bare form has, by three and by one character; words of marks, of one letter, of the padding; letters that grow in upper case.
+    odd = [(900, "\u0130x \u0130a a\u0130b xib xib x\u00edb", "fr"), (901, "\u0130", "xx\n y"), (902, "", "fr"), (903, None, "zz"), (904, "!?", "yy"), (905, "_a_ __ a \u00e0 A \u00c0 e\u0301 E\u0301", "fr")]
+    odd += [(906, "Stra\u00dfe STRASSE \u1e9eo \U00020000\u00e9\U00020000 \U00020000e\U00020000 \u01c5a \u03a3\u0391\u03a3 MAN man m\u00e1n M\u00e1N", "de"), (907, "ano a\u00f1o ano a\u00f1o Ano A\u00d1O", "pt")]
+    docs = docs.unionByName(spark.createDataFrame(odd, "doc_id long, text string, lang string")).cache()
+    letters = {"fr": "aceiouy", "de": "aou"}
+    column = F.when(F.col("lang") == "fr", letters["fr"]).when(F.col("lang") == "de", letters["de"]).otherwise("aeioun_")
+    model = restoration.knn_train(docs, unicode.strip_native(F.col("word")), ("lang",))
+    want = restoration.knn_decode(docs.select("doc_id", "lang", unicode.strip_native(F.col("text")).alias("text")), model, column, ("lang",))
+    found = restoration.own_knn(docs, unicode.strip_plain, lambda lang: letters.get(lang, "aeioun_"), "lang")
+    assert dict(map(tuple, found.collect())) == dict(map(tuple, want.collect()))
+    plan = _plan(catalog.knn_decode(spark, "/root/testdata/sf0.001"))
+    assert "explode" not in plan and "array_distinct" not in plan and "FlatMapCoGroupsInPandas" in plan
