@@ -387,6 +387,29 @@ def test_repeated_strings(spark, texts, monkeypatch):
     assert suffix_dedup.remove_repeats(docs.where("false")).count() == 0
 
 
+def test_shorter_passages_are_counted_beside_what_is_removed(spark, texts, tmp_path, monkeypatch):
+    rng = random.Random(18)
+    shared = [" ".join(word for word in prose(rng, 200).split() if len(word) < 6)[:n] for n in (249, 250, 330, 399, 400, 460)]
+    # Each passage in two documents, at a start, inside and at an end; followed by the same bytes and by others; in one document twice.
+    own = [*texts, *(f"{prose(rng, 30)}|{x}|{prose(rng, 40)}" for x in shared for _ in "ab"), *(f"{prose(rng, 60)}#{x}" for x in shared), *(f"{x}#{prose(rng, 60)}" for x in shared)]
+    own += [f"{(x := prose(rng, 60)[:300])} {prose(rng, 40)} {x}", "xyz" * 100, "xyz" * 140, "q" * 700, "r" * 250, "r" * 250, None, ""]
+    docs = documents(spark, own, sha256=["x"] * len(own))
+    removed, passages = removed_by_brute_force(own), removed_by_brute_force(own, 250)
+    assert sum(n == 0 < m for (n, _, _), (m, _, _) in zip(removed, passages, strict=True)) > 10
+    for most in (suffix_dedup.MOST, 1):
+        monkeypatch.setattr(suffix_dedup, "MOST", most)
+        got = {r.doc_id: r for r in suffix_dedup.remove_repeats(docs, with_text=True, passage=250).collect()}
+        assert [(got[i].n_removed, got[i].n_spans, got[i].kept_sha256) for i in range(len(own))] == [(n, s, hashlib.sha256(k).hexdigest()) for n, s, k in removed]
+        assert [got[i].n_passage_bytes for i in range(len(own))] == [n for n, _, _ in passages]
+        assert all((got[i].kept_text is None) == (n == 0) for i, (n, _, _) in enumerate(removed))
+    docs.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    query = suffix_dedup.op8_suffix_dedup(spark, str(tmp_path))
+    assert query.columns[:5] == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    assert {r.doc_id: r.n_passage_bytes for r in query.collect()} == {i: n for i, (n, _, _) in enumerate(passages)}
+    with pytest.raises(ValueError):
+        suffix_dedup.remove_repeats(docs, passage=400)
+
+
 def test_repeats_of_rows_without_a_key_and_with_a_shared_one(spark, texts):
     own = [t for t in texts if t]
     names = [None if i % 5 == 0 else i // 2 for i in range(len(own))]
